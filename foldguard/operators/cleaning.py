@@ -8,16 +8,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.composition import Site, list_items, list_weights, weight_total
+from ..functions.composition import Site, parse_sites, parsed_column
 from ..functions.text import flag_text, numeric_or_null
 
-# The reason texts, in the order in which they are tested.
+# The reason texts; list problems have theirs in ``functions.composition``.
 NOT_NUMERIC = "pce_not_numeric"
 OUT_OF_RANGE = "pce_out_of_range"
 FLAGGED = "module_record"
-LIST_MISSING = "missing_ion_or_coef"
-LENGTH_MISMATCH = "ion_coef_count_mismatch"
-WEIGHT_NOT_NUMERIC = "coef_not_numeric"
 TOTAL_NOT_POSITIVE = "coef_total_not_positive"
 
 
@@ -32,45 +29,40 @@ class CleaningRules:
     sites: Sequence[Site] = field(default_factory=tuple)
 
 
-def _site_reason(site: Site) -> Column:
-    names, weights = F.col(site.names), F.col(site.weights)
-    items, values = list_items(names), list_weights(weights)
-    return (
-        F.when(names.isNull() | weights.isNull(), F.lit(LIST_MISSING))
-        .when((F.size(items) == 0) | (F.size(items) != F.size(values)), F.lit(LENGTH_MISMATCH))
-        .when(F.exists(values, lambda w: w.isNull()), F.lit(WEIGHT_NOT_NUMERIC))
-    )
-
-
 def reject_reason(rules: CleaningRules) -> Column:
-    """The first rule a row breaks, NULL for a valid row."""
+    """The first rule a row breaks, NULL for a valid row (sites must have been parsed)."""
     value = numeric_or_null(F.col(rules.target))
+    sites = [F.col(parsed_column(s)) for s in rules.sites]
     tests = [
         F.when(value.isNull(), F.lit(NOT_NUMERIC)),
         F.when(~value.between(rules.lower, rules.upper), F.lit(OUT_OF_RANGE)),
     ]
     if rules.flag is not None:
         tests.append(F.when(flag_text(F.col(rules.flag)) == 1, F.lit(FLAGGED)))
-    tests += [_site_reason(s) for s in rules.sites]
-    if rules.sites:
-        no_total = F.lit(False)
-        for s in rules.sites:
-            no_total = no_total | (weight_total(list_weights(F.col(s.weights))) <= 0)
-        tests.append(F.when(no_total, F.lit(TOTAL_NOT_POSITIVE)))
+    tests += [s["problem"] for s in sites]
+    tests += [F.when(s["total"] <= 0, F.lit(TOTAL_NOT_POSITIVE)) for s in sites]
     return F.coalesce(*tests)
 
 
 def tag_rejects(df: DataFrame, rules: CleaningRules, reason_col: str = "reason") -> DataFrame:
-    """Append the reason and cast the target; stateless, so it also runs on a stream."""
-    return df.withColumn(reason_col, reject_reason(rules)).withColumn(
-        rules.target, numeric_or_null(F.col(rules.target))
+    """Append the reason and the parsed sites and cast the target; stateless, so it also runs on a stream."""
+    parsed = parse_sites(df, rules.sites) if rules.sites else df
+    return parsed.withColumns(
+        {reason_col: reject_reason(rules), rules.target: numeric_or_null(F.col(rules.target))}
     )
 
 
-def clean_rows(df: DataFrame, rules: CleaningRules, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """The valid rows, and (key, reason) of the others."""
+def clean_rows(
+    df: DataFrame, rules: CleaningRules, key: Sequence[str], keep_parsed: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """The valid rows, and (key, reason) of the others.
+
+    ``keep_parsed`` leaves the parsed sites on the valid rows, for ``add_shares`` to use.
+    """
     tagged = tag_rejects(df, rules)
     clean = tagged.filter(F.col("reason").isNull()).drop("reason")
+    if not keep_parsed:
+        clean = clean.drop(*[parsed_column(s) for s in rules.sites])
     rejected = tagged.filter(F.col("reason").isNotNull()).select(*key, "reason")
     return clean, rejected
 

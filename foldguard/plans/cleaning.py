@@ -29,7 +29,7 @@ RECORD_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 def valid_records(spark, sf_dir):
     """Cleaned records with their share columns."""
-    valid, _ = clean.clean_rows(records(spark, sf_dir), RULES, RECORD_KEY)
+    valid, _ = clean.clean_rows(records(spark, sf_dir), RULES, RECORD_KEY, keep_parsed=True)
     return add_shares(valid, SITES)
 
 
@@ -164,16 +164,16 @@ radii AS (
 ratios AS (
   SELECT *, (ra + rx) / (sqrt(2.0) * (rb + rx)) AS t, rb / rx AS mu, rx / rb - (1.0 - (ra / rb) / ln(ra / rb)) AS tau FROM radii)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
-  round(coalesce(t, (SELECT median(t) FROM ratios)), 8) AS tolerance_factor,
-  round(coalesce(mu, (SELECT median(mu) FROM ratios)), 8) AS octahedral_factor,
-  round(coalesce(tau, (SELECT median(tau) FROM ratios)), 8) AS tau_factor,
+  round(coalesce(t, (SELECT median(t) FROM ratios)), 10) AS tolerance_factor,
+  round(coalesce(mu, (SELECT median(mu) FROM ratios)), 10) AS octahedral_factor,
+  round(coalesce(tau, (SELECT median(tau) FROM ratios)), 10) AS tau_factor,
   CASE WHEN t IS NULL OR mu IS NULL OR tau IS NULL THEN 1 ELSE 0 END AS descriptor_missing
 FROM ratios""")
 def descriptors(spark, sf_dir):
     out = add_descriptors(valid_records(spark, sf_dir)).select(
         *RECORD_KEY, "tolerance_factor", "octahedral_factor", "tau_factor", "descriptor_missing"
     )
-    return rounded(out, {"tolerance_factor": 8, "octahedral_factor": 8, "tau_factor": 8})
+    return rounded(out, {"tolerance_factor": 10, "octahedral_factor": 10, "tau_factor": 10})
 
 
 def _label_sql(prefix: str) -> str:
