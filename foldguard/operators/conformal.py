@@ -52,7 +52,7 @@ def marginal_intervals(
         F.struct(
             F.lit("marginal").alias("method"),
             F.lit(w["target_coverage"]).alias("target_coverage"),
-            F.lit(w["n_calibration"]).alias("n_calibration"),
+            F.lit(w["n_calibration"]).cast("bigint").alias("n_calibration"),
             F.col("n_test"),
             F.lit(w["half_width"]).alias("half_width"),
             F.lit(2 * w["half_width"]).alias("width"),

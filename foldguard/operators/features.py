@@ -172,31 +172,53 @@ def fold_local_fills(df: DataFrame, fold: str, folds: int, columns: Sequence[str
     )
 
 
-def fold_local_features(
+def fold_local_table(
     df: DataFrame, fold: str, folds: int, numeric: Sequence[str], categories: Sequence[str], top_n: int
 ) -> DataFrame:
-    """Impute and bucket every row with what its own training part knows (all folds but its own).
+    """What each training part (all folds but one) knows: one row per fold with medians and top lists.
 
-    Medians and category lists come from totals minus the fold, so the rows are read
-    twice and never copied per fold.  Categories that are rare or unseen in a training
-    part become ``<column>_other``.
+    Everything comes from totals minus the fold, so rows are never copied per fold.
     """
     table = fold_local_fills(df, fold, folds, numeric)
     for c in categories:
         counts = fold_value_counts(df.select(fold, named_category(c).alias("_v")), fold, folds, "_v")
         lists = top_values(counts, ["fold"], "_v", top_n).groupBy("fold").agg(F.collect_set("_v").alias(f"_top_{c}"))
         table = table.join(lists, "fold", "left")
+    return table
+
+
+def fold_local_features(
+    df: DataFrame, fold: str, folds: int, numeric: Sequence[str], categories: Sequence[str], top_n: int
+) -> DataFrame:
+    """Impute and bucket every row with what the training part of its own fold knows.
+
+    This is the held-out side of a fold-local preprocessing; categories that are rare or
+    unseen in a training part become ``<column>_other``.
+    """
+    table = fold_local_table(df, fold, folds, numeric, categories, top_n)
     joined = df.join(F.broadcast(table.withColumnRenamed("fold", fold)), fold, "left")  # one row per fold
-    out = joined.withColumns({f"{c}_missing": F.col(c).isNull().cast("int") for c in numeric}).withColumns(
+    return _preprocessed(joined, numeric, categories).drop(
+        *[f"{c}_median" for c in numeric], *[f"_top_{c}" for c in categories]
+    )
+
+
+def _preprocessed(df: DataFrame, numeric: Sequence[str], categories: Sequence[str]) -> DataFrame:
+    flagged = df.withColumns({f"{c}_missing": F.col(c).isNull().cast("int") for c in numeric})
+    kept = {c: F.array_contains(f"_top_{c}", named_category(c)) for c in categories}
+    return flagged.withColumns(
         {c: F.coalesce(F.col(c), F.col(f"{c}_median")) for c in numeric}
-        | {
-            c: F.when(F.array_contains(f"_top_{c}", named_category(c)), named_category(c)).otherwise(
-                F.lit(f"{c}_other")
-            )
-            for c in categories
-        }
+        | {c: F.when(kept[c], named_category(c)).otherwise(F.lit(f"{c}_other")) for c in categories}
     )
-    return out.drop(*[f"{c}_median" for c in numeric], *[f"_top_{c}" for c in categories])
+
+
+def preprocessed_for_fold(
+    df: DataFrame, table: DataFrame, f: int, numeric: Sequence[str], categories: Sequence[str] = ()
+) -> DataFrame:
+    """All rows, preprocessed with what the training part of fold ``f`` knows (for that fold's model)."""
+    row = table.filter(F.col("fold") == f).first()
+    known = {f"{c}_median": F.lit(row[f"{c}_median"]) for c in numeric}
+    known |= {f"_top_{c}": F.lit(list(row[f"_top_{c}"])) for c in categories}
+    return _preprocessed(df.withColumns(known), numeric, categories).drop(*known)
 
 
 def scale_parameters(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -228,7 +250,7 @@ def standardize_vector(df: DataFrame, vector: str, means: Sequence[float], stds:
 
 
 __all__ = [
-    "FeatureSpec", "add_descriptors", "bucket_rare", "build_features", "fold_local_features", "fold_local_fills",
-    "impute", "median_impute", "medians", "named_category", "one_hot", "raw_features",
+    "FeatureSpec", "add_descriptors", "bucket_rare", "build_features", "fold_local_features", "fold_local_fills", "fold_local_table",
+    "impute", "median_impute", "medians", "named_category", "one_hot", "preprocessed_for_fold", "raw_features",
     "scale_parameters", "standardize", "standardize_vector", "top_categories", "vector_scale_parameters",
 ]

@@ -21,7 +21,9 @@ from .ranking import global_rank
 PREDICTION = "prediction"
 
 
-def model_registry(features: Sequence[str], target: str, rows: int, seed: int = 42) -> dict[str, Pipeline]:
+def model_registry(
+    features: Sequence[str], target: str, rows: int, seed: int = 42, trees: int = 300, rounds: int = 500
+) -> dict[str, Pipeline]:
     """Named estimators over plain columns: scaled ridge, forest, boosted trees.
 
     The ridge penalty of 1 on summed squares is ``1 / rows`` in Spark's averaged loss.
@@ -31,20 +33,33 @@ def model_registry(features: Sequence[str], target: str, rows: int, seed: int =
     ridge = LinearRegression(
         featuresCol="_scaled", labelCol=target, elasticNetParam=0.0, regParam=1.0 / max(1, rows), standardization=False
     )
-    trees = {"featuresCol": "_vector", "labelCol": target, "seed": seed}
+    common = {"featuresCol": "_vector", "labelCol": target, "seed": seed, "maxDepth": 6}
     return {
         "ridge": Pipeline(stages=[assemble, scale, ridge]),
-        "forest": Pipeline(stages=[assemble, RandomForestRegressor(numTrees=300, maxDepth=12, **trees)]),
-        "boosting": Pipeline(stages=[assemble, GBTRegressor(maxIter=100, maxDepth=6, stepSize=0.05, **trees)]),
+        "forest": Pipeline(stages=[assemble, RandomForestRegressor(numTrees=trees, **common)]),
+        "boosting": Pipeline(stages=[assemble, GBTRegressor(maxIter=rounds, stepSize=0.05, **common)]),
     }
 
 
-def out_of_fold(df: DataFrame, estimator: Estimator, fold: str, folds: int) -> DataFrame:
-    """Predict each row by a model that was fitted without its fold."""
+def least_squares(features: Sequence[str], target: str) -> Pipeline:
+    """Unpenalised linear regression over plain columns."""
+    assemble = VectorAssembler(inputCols=list(features), outputCol="_vector", handleInvalid="error")
+    return Pipeline(stages=[assemble, LinearRegression(featuresCol="_vector", labelCol=target, solver="normal")])
+
+
+def out_of_fold(
+    df: DataFrame, estimator: Estimator, fold: str, folds: int,
+    prepare: Callable[[DataFrame, int], DataFrame] | None = None,
+) -> DataFrame:
+    """Predict each row by a model that was fitted without its fold.
+
+    ``prepare(rows, f)`` may preprocess the rows for the model of fold ``f``.
+    """
     out = None
     for f in range(folds):
-        model = estimator.fit(df.filter(F.col(fold) != f))
-        part = model.transform(df.filter(F.col(fold) == f)).select(*df.columns, PREDICTION)
+        rows = df if prepare is None else prepare(df, f)
+        model = estimator.fit(rows.filter(F.col(fold) != f))
+        part = model.transform(rows.filter(F.col(fold) == f)).select(*df.columns, PREDICTION)
         out = part if out is None else out.unionByName(part)
     return out
 

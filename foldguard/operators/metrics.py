@@ -57,16 +57,13 @@ def tolerance_shares(df: DataFrame, y: str, p: str, limits: Sequence[float], by:
 def leave_one_out(per_fold: DataFrame, fold: str, cols: Sequence[str]) -> DataFrame:
     """For each fold the sum of ``cols`` over the other folds (one row per fold in and out)."""
     packed = per_fold.agg(F.collect_list(F.struct(fold, *cols)).alias("_all"))  # one entry per fold
+
+    def others(c: str) -> Column:
+        rest = F.filter("_all", lambda x: x[fold] != F.col(f"_f.{fold}"))
+        return F.aggregate(rest, F.lit(0.0), lambda acc, x: acc + x[c])
+
     return packed.select(F.explode("_all").alias("_f"), "_all").select(
-        F.col(f"_f.{fold}").alias(fold),
-        *[
-            F.aggregate(
-                F.filter("_all", lambda x: x[fold] != F.col(f"_f.{fold}")),
-                F.lit(0.0),
-                lambda acc, x, c=c: acc + x[c],
-            ).alias(c)
-            for c in cols
-        ],
+        F.col(f"_f.{fold}").alias(fold), *[others(c).alias(c) for c in cols]
     )
 
 

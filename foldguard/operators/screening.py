@@ -19,7 +19,7 @@ def top_count(fraction: str | float, n: int) -> int:
 
 def ranked_by_prediction(df: DataFrame, y: str, p: str, key: Sequence[str]) -> DataFrame:
     """(y, rank) with rank 1 for the highest prediction; the key makes the order total."""
-    return global_rank(df.select(y, p, *key), [F.desc(p), *key])
+    return global_rank(df.select(*dict.fromkeys([y, p, *key])), [F.desc(p), *key])
 
 
 def enrichment_table(

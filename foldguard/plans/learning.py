@@ -1 +1,289 @@
-"""Filled below."""
+"""Learning queries: cross-validation, comparisons, attribution.
+
+Linear models have closed forms, so most of these have SQL twins too; tree models are
+checked for rows here and for their behaviour in the tests.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import DecisionTreeRegressor
+from pyspark.sql import functions as F
+
+from ..functions.text import normalize_key
+from ..operators import features, learning, metrics, topk
+from ..operators.cleaning import threshold_subsets
+from ..operators.splits import hash_fold, hash_holdout
+from ..session import new_location, stage
+from .base import SPELLED, TEST_CUT, query, rounded, spelled_orders, sql_bucket, table
+
+FOLDS = 3
+
+# --- least squares in SQL ------------------------------------------------------------------
+
+_R2 = "1 - avg((y - p) * (y - p)) / var_pop(y)"
+
+
+def _fit_one(x: str, y: str) -> str:
+    return f"regr_slope({y}, {x}) AS b1, regr_intercept({y}, {x}) AS b0"
+
+
+def _fit_two(a: str, b: str, y: str) -> str:
+    """Slopes and intercept of y on two columns from their (co)variances."""
+    saa, sbb, sab = f"var_pop({a})", f"var_pop({b})", f"covar_pop({a}, {b})"
+    say, sby = f"covar_pop({a}, {y})", f"covar_pop({b}, {y})"
+    det = f"({saa} * {sbb} - {sab} * {sab})"
+    b1, b2 = f"(({sbb} * {say} - {sab} * {sby}) / {det})", f"(({saa} * {sby} - {sab} * {say}) / {det})"
+    return f"{b1} AS b1, {b2} AS b2, avg({y}) - {b1} * avg({a}) - {b2} * avg({b}) AS b0"
+
+
+def _cv_sql(rows: str, fold: str, fit: str, predict: str, label: str) -> str:
+    """Mean and spread of R² over folds for a closed-form fit on all other folds."""
+    return f"""
+SELECT '{label}' AS label, round(avg(r2), 8) AS r2_mean, round(stddev_pop(r2), 8) AS r2_std FROM (
+  SELECT r.{fold}, {_R2} AS r2 FROM (
+    SELECT t.{fold}, t.y, {predict} AS p FROM {rows} t JOIN (
+      SELECT f.{fold}, {fit} FROM (SELECT DISTINCT {fold} FROM {rows}) f JOIN {rows} o ON o.{fold} <> f.{fold} GROUP BY f.{fold}) m ON m.{fold} = t.{fold}) r
+  GROUP BY r.{fold})"""
+
+
+_LINES = f"""
+lines AS (
+  SELECT l_quantity AS x1, p_retailprice AS x2, l_extendedprice * 0.5::DOUBLE + l_tax * 100000 AS x3, l_extendedprice AS y,
+    CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE l_discount * 100 + l_linenumber END AS x4,
+    CAST({sql_bucket(42, 'l_suppkey')} % 3 AS INTEGER) AS fold, CAST({sql_bucket(7, 'l_suppkey')} % 3 AS INTEGER) AS fold2,
+    CASE WHEN {sql_bucket(42, 'l_suppkey')} < {TEST_CUT} THEN 'test' ELSE 'train' END AS split, l_suppkey
+  FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+
+
+def lines(spark, sf_dir):
+    """Model rows: three plain features, one that leaks the outcome, one with holes; supplier-safe folds."""
+    g = F.col("l_suppkey")
+    line = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"
+    )
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice")
+    rows = line.join(part, "l_partkey").select(
+        F.col("l_quantity").alias("x1"), F.col("p_retailprice").alias("x2"),
+        (F.col("l_extendedprice") * 0.5 + F.col("l_tax") * 100000).alias("x3"),
+        F.when(F.pmod("l_orderkey", F.lit(5)) != 0, F.col("l_discount") * 100 + F.col("l_linenumber")).alias("x4"),
+        F.col("l_extendedprice").alias("y"), hash_fold(g, FOLDS).alias("fold"), hash_fold(g, FOLDS, 7).alias("fold2"),
+        hash_holdout(g, "0.2").alias("split"), "l_suppkey",
+    )
+    return stage(rows, "model-rows")  # every fold's fit reads it again
+
+
+R2_DIGITS = {"r2_mean": 8, "r2_std": 8}
+
+
+def _scores(df, label_col="scope"):
+    return rounded(df.select(F.col(label_col).alias("label"), "r2_mean", "r2_std"), R2_DIGITS)
+
+
+def _plain(features_):
+    return learning.least_squares(features_, "y")
+
+
+@query("L2 A2", f"WITH {_LINES} {_cv_sql('lines', 'fold', _fit_one('x1', 'y'), 'b0 + b1 * t.x1', 'ols')}")
+def ml_cv(spark, sf_dir):
+    out = learning.cross_validated(lines(spark, sf_dir), {"ols": _plain(["x1"])}, "y", "fold", FOLDS)
+    return _scores(out, "model")
+
+
+@query("L5 L6 L7 P17", f"""WITH {_LINES}
+{_cv_sql('lines', 'fold', _fit_one('x1', 'y'), 'b0 + b1 * t.x1', 'base')} UNION ALL
+{_cv_sql('lines', 'fold', _fit_two('x1', 'x2', 'y'), 'b0 + b1 * t.x1 + b2 * t.x2', 'base_price')} UNION ALL
+{_cv_sql('lines', 'fold', _fit_two('x1', 'x3', 'y'), 'b0 + b1 * t.x1 + b2 * t.x3', 'base_leak')}""")
+def ml_scopes(spark, sf_dir):
+    scopes = {"base": ["x1"], "base_price": ["x1", "x2"], "base_leak": ["x1", "x3"]}
+    return _scores(learning.score_scopes(lines(spark, sf_dir), scopes, _plain, "y", "fold", FOLDS))
+
+
+@query("L7 C12", f"""WITH {_LINES}, low AS (SELECT * FROM lines WHERE y <= 80000), lowest AS (SELECT * FROM lines WHERE y <= 40000)
+{_cv_sql('lines', 'fold', _fit_one('x3', 'y'), 'b0 + b1 * t.x3', 'all')} UNION ALL
+{_cv_sql('low', 'fold', _fit_one('x3', 'y'), 'b0 + b1 * t.x3', 'le_80000')} UNION ALL
+{_cv_sql('lowest', 'fold', _fit_one('x3', 'y'), 'b0 + b1 * t.x3', 'le_40000')}""")
+def ml_subsets(spark, sf_dir):
+    subsets = threshold_subsets(lines(spark, sf_dir), "y", [80000, 40000], [])
+    return _scores(learning.score_subsets(subsets, _plain(["x3"]), "y", "fold", FOLDS), "subset")
+
+
+_GLOBAL = "filled AS (SELECT y, fold, coalesce(x4, (SELECT median(x4) FROM lines)) AS x FROM lines)"
+_LOCAL = """
+meds AS (SELECT f.fold AS f, median(x4) AS m FROM (SELECT DISTINCT fold FROM lines) f JOIN lines o ON o.fold <> f.fold GROUP BY f.fold),
+local_rows AS (SELECT f, fold, y, coalesce(x4, m) AS x FROM lines, meds),
+local_fit AS (SELECT f, regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0 FROM local_rows WHERE fold <> f GROUP BY f),
+local_r2 AS (SELECT f, 1 - avg((y - b0 - b1 * x) * (y - b0 - b1 * x)) / var_pop(y) AS r2 FROM local_rows JOIN local_fit USING (f) WHERE fold = f GROUP BY f)"""
+
+
+@query("L8 F7 F2", f"""WITH {_LINES}, {_GLOBAL}, {_LOCAL}
+{_cv_sql('filled', 'fold', _fit_one('x', 'y'), 'b0 + b1 * t.x', 'global')}
+UNION ALL SELECT 'fold_local', round(avg(r2), 8), round(stddev_pop(r2), 8) FROM local_r2""")
+def ml_local_vs_global(spark, sf_dir):
+    """Imputation learned from all rows against imputation learned per training part."""
+    df = lines(spark, sf_dir)
+    everywhere = learning.cross_validated(
+        features.median_impute(df, ["x4"]), {"global": _plain(["x4"])}, "y", "fold", FOLDS
+    )
+    known = features.fold_local_table(df, "fold", FOLDS, ["x4"], [], 0)
+    local = learning.out_of_fold(
+        df, _plain(["x4"]), "fold", FOLDS, lambda rows, f: features.preprocessed_for_fold(rows, known, f, ["x4"])
+    )
+    per_fold = metrics.regression_metrics(local, "y", learning.PREDICTION, ["fold"])
+    out = metrics.metrics_over_folds(per_fold).withColumn("model", F.lit("fold_local"))
+    return _scores(everywhere.unionByName(out), "model")
+
+
+_SPELLED_ROWS = f"""{SPELLED},
+rows_ AS (SELECT o_totalprice AS y, CAST(o_custkey AS DOUBLE) AS x, CAST({sql_bucket(42, "coalesce(raw_key, 'unknown')")} % 3 AS INTEGER) AS raw_fold,
+  CAST({sql_bucket(42, "coalesce(norm_key, 'unknown')")} % 3 AS INTEGER) AS norm_fold FROM normed)"""
+
+
+@query("L9 P12 G3", f"""WITH {_SPELLED_ROWS}
+{_cv_sql('rows_', 'raw_fold', _fit_one('x', 'y'), 'b0 + b1 * t.x', 'raw')} UNION ALL
+{_cv_sql('rows_', 'norm_fold', _fit_one('x', 'y'), 'b0 + b1 * t.x', 'normalized')}""")
+def ml_key_sensitivity(spark, sf_dir):
+    o = spelled_orders(spark, sf_dir)
+    unknown = F.lit("unknown")
+    rows = stage(
+        o.select(
+            F.col("o_totalprice").alias("y"), F.col("o_custkey").cast("double").alias("x"),
+            hash_fold(F.coalesce(F.col("raw_key"), unknown), FOLDS).alias("raw_fold"),
+            hash_fold(F.coalesce(normalize_key(F.col("raw_key")), unknown), FOLDS).alias("norm_fold"),
+        ),
+        "key-sensitivity",
+    )
+    raw = learning.cross_validated(rows, {"raw": _plain(["x"])}, "y", "raw_fold", FOLDS)
+    norm = learning.cross_validated(rows, {"normalized": _plain(["x"])}, "y", "norm_fold", FOLDS)
+    return _scores(raw.unionByName(norm), "model")
+
+
+@query("A27 L2", f"""WITH {_LINES}
+{_cv_sql('lines', 'fold', _fit_one('x3', 'y'), 'b0 + b1 * t.x3', 'seed_42')} UNION ALL
+{_cv_sql('lines', 'fold2', _fit_one('x3', 'y'), 'b0 + b1 * t.x3', 'seed_7')}""")
+def ml_fold_seeds(spark, sf_dir):
+    """The same model under two assignments of groups to folds."""
+    df = lines(spark, sf_dir)
+    a = learning.cross_validated(df, {"seed_42": _plain(["x3"])}, "y", "fold", FOLDS)
+    b = learning.cross_validated(df, {"seed_7": _plain(["x3"])}, "y", "fold2", FOLDS)
+    return _scores(a.unionByName(b), "model")
+
+
+_PARTS_SCORED = f"""{_LINES},
+old_fit AS (SELECT {_fit_two('x1', 'x2', 'y')} FROM lines WHERE split = 'train'), new_fit AS (SELECT {_fit_two('x1', 'x2', 'y')} FROM lines),
+scored AS (SELECT p_partkey, o.b0 + o.b1 * p_size + o.b2 * p_retailprice AS old, n.b0 + n.b1 * p_size + n.b2 * p_retailprice AS new FROM part, old_fit o, new_fit n)"""
+
+
+def rescored_parts(spark, sf_dir):
+    """Parts as candidates, scored by a model of the training side and by its refit on all rows."""
+    df = lines(spark, sf_dir)
+    candidates = table(spark, sf_dir, "part").select(
+        "p_partkey", "p_brand", F.col("p_size").cast("double").alias("x1"), F.col("p_retailprice").alias("x2")
+    )
+    model = _plain(["x1", "x2"])
+    old = learning.refit_and_rescore(df.filter(F.col("split") == "train"), model, candidates)
+    old = old.drop("_vector").withColumnRenamed(learning.PREDICTION, "old")
+    return learning.refit_and_rescore(df, model, old).drop("_vector").withColumnRenamed(learning.PREDICTION, "new")
+
+
+@query("L10 K4", f"WITH {_PARTS_SCORED} SELECT p_partkey, round(old, 3) AS old, round(new, 3) AS new FROM scored")
+def ml_refit(spark, sf_dir):
+    return rounded(rescored_parts(spark, sf_dir).select("p_partkey", "old", "new"), {"old": 3, "new": 3})
+
+
+@query("L10 R5", f"""WITH {_PARTS_SCORED.replace('AS old, n.b0', 'AS old_, n.b0').replace('AS new FROM part', 'AS new_ FROM part')},
+s AS (SELECT scored.*, p_brand, round(old_, 3) AS old, round(new_, 3) AS new FROM scored JOIN part USING (p_partkey)),
+r AS (SELECT *, rank() OVER (ORDER BY old) + (count(*) OVER (PARTITION BY old) - 1) / 2.0 AS ra, rank() OVER (ORDER BY new) + (count(*) OVER (PARTITION BY new) - 1) / 2.0 AS rb,
+  row_number() OVER (ORDER BY old DESC, p_partkey) AS t1, row_number() OVER (ORDER BY new DESC, p_partkey) AS t2 FROM s)
+SELECT count(*) AS n, round(corr(ra, rb), 9) AS rho, count(*) FILTER (t1 <= 30 AND t2 <= 30) AS overlap_top, round(avg(abs(new - old)), 4) AS mean_abs_diff FROM r""")
+def ml_refit_stability(spark, sf_dir):
+    scored = rounded(rescored_parts(spark, sf_dir), {"old": 3, "new": 3})
+    out = topk.rank_stability(scored, "old", "new", ["p_partkey"], ["p_brand"])
+    return rounded(out.select("n", "rho", "overlap_top", "mean_abs_diff"), {"rho": 9, "mean_abs_diff": 4})
+
+
+@query("S10 L1", f"""WITH {_LINES}, fit AS (SELECT {_fit_two('x1', 'x2', 'y')} FROM lines)
+SELECT p_partkey, round(b0 + b1 * p_size + b2 * p_retailprice, 3) AS score FROM part, fit""")
+def model_reload(spark, sf_dir):
+    path = new_location(spark, "model")
+    learning.save_model(_plain(["x1", "x2"]).fit(lines(spark, sf_dir)), path)
+    candidates = table(spark, sf_dir, "part").select(
+        "p_partkey", F.col("p_size").cast("double").alias("x1"), F.col("p_retailprice").alias("x2")
+    )
+    scored = learning.load_model(path).transform(candidates)
+    return scored.select("p_partkey", F.round(learning.PREDICTION, 3).alias("score"))
+
+
+@query("L11", """
+WITH m AS (SELECT avg(l_quantity) AS q, avg(l_discount) AS d, avg(l_tax) AS t, avg(l_extendedprice) AS e FROM lineitem)
+SELECT 'l_quantity' AS feature, round(avg(abs(-1.5::DOUBLE * (l_quantity - q))), 8) AS mean_abs_contribution FROM lineitem, m
+UNION ALL SELECT 'l_discount', round(avg(abs(40.0::DOUBLE * (l_discount - d))), 8) FROM lineitem, m UNION ALL SELECT 'l_tax', round(avg(abs(25.0::DOUBLE * (l_tax - t))), 8) FROM lineitem, m
+UNION ALL SELECT 'l_extendedprice', round(avg(abs(0.0001::DOUBLE * (l_extendedprice - e))), 8) FROM lineitem, m""")
+def linear_attribution(spark, sf_dir):
+    weights = {"l_quantity": -1.5, "l_discount": 40.0, "l_tax": 25.0, "l_extendedprice": 0.0001}
+    out = learning.linear_attribution(table(spark, sf_dir, "lineitem").select(*weights), weights)
+    return rounded(out, {"mean_abs_contribution": 8})
+
+
+_ORDER_ROWS = """
+ord AS (SELECT o_orderkey, CAST(o_custkey AS DOUBLE) AS x1, CAST(month(o_orderdate) AS DOUBLE) AS x2, o_totalprice + o_custkey * 200.0::DOUBLE + month(o_orderdate) * 9000.0::DOUBLE AS y FROM orders)"""
+
+
+def _permuted_sql(column: str) -> str:
+    other = "x2" if column == "x1" else "x1"
+    slopes = ("b1", "b2") if column == "x1" else ("b2", "b1")
+    return f"""
+SELECT '{column}' AS feature, round((avg(pow(a.y - b0 - {slopes[0]} * v.{column} - {slopes[1]} * a.{other}, 2)) - (SELECT avg(pow(y - b0 - b1 * x1 - b2 * x2, 2)) FROM ord, fit)) / 1e6, 3) AS mse_increase
+FROM (SELECT *, row_number() OVER (ORDER BY md5('42|' || o_orderkey), o_orderkey) AS r FROM ord) a
+JOIN (SELECT *, row_number() OVER (ORDER BY md5('42|{column}|' || o_orderkey), o_orderkey) AS r FROM ord) v USING (r), fit"""
+
+
+@query("L11 R1", f"WITH {_ORDER_ROWS}, fit AS (SELECT {_fit_two('x1', 'x2', 'y')} FROM ord) {_permuted_sql('x1')} UNION ALL {_permuted_sql('x2')}")
+def permutation_importance(spark, sf_dir):
+    month = F.month("o_orderdate").cast("double")
+    rows = stage(
+        table(spark, sf_dir, "orders").select(
+            "o_orderkey", F.col("o_custkey").cast("double").alias("x1"), month.alias("x2"),
+            (F.col("o_totalprice") + F.col("o_custkey") * 200.0 + month * 9000.0).alias("y"),
+        ),
+        "permutation-rows",
+    )
+    model = _plain(["x1", "x2"]).fit(rows)
+    out = learning.permutation_importance(rows, model, ["x1", "x2"], "y", "o_orderkey")
+    return out.select("feature", F.round(F.col("mse_increase") / 1e6, 3).alias("mse_increase"))
+
+
+@query("L12", f"""WITH {_LINES}, g AS (SELECT l_suppkey, avg(abs(y - x1 * x2)) - avg(abs(y - x3 * 1.5)) AS d FROM lines GROUP BY l_suppkey)
+SELECT count(*) AS n_groups, round(avg(d), 4) AS mean_diff, round(stddev_samp(d), 4) AS std_diff, round(avg(d) * sqrt(count(*)) / stddev_samp(d), 6) AS t FROM g""")
+def paired_models(spark, sf_dir):
+    df = lines(spark, sf_dir).withColumns({"pa": F.col("x1") * F.col("x2"), "pb": F.col("x3") * 1.5})
+    out = metrics.paired_model_difference(df, "y", "pa", "pb", "l_suppkey")
+    return rounded(out, {"mean_diff": 4, "std_diff": 4, "t": 6})
+
+
+# --- tree models: rows only ----------------------------------------------------------------
+
+
+@query("L1 L4 T1")
+def ml_compare(spark, sf_dir):
+    """All registered kinds of model, small settings, cross-validated and on the holdout."""
+    df = lines(spark, sf_dir)
+    models = learning.model_registry(["x1", "x2", "x3"], "y", df.count(), trees=10, rounds=5)
+    comparison, best = learning.compare_models(df, models, "y", "fold", FOLDS, "split")
+    return comparison.withColumn("is_best", F.col("model") == best)
+
+
+@query("L3")
+def ml_grid(spark, sf_dir):
+    """Grid search on one set of group folds, honest scores on another."""
+    def factory(maxDepth, minInstancesPerNode):
+        vector = VectorAssembler(inputCols=["x1", "x2", "x3"], outputCol="_vector")
+        tree = DecisionTreeRegressor(
+            featuresCol="_vector", labelCol="y", maxDepth=maxDepth, minInstancesPerNode=minInstancesPerNode, seed=42
+        )
+        return Pipeline(stages=[vector, tree])
+
+    grid = {"maxDepth": [2, 5], "minInstancesPerNode": [1, 50]}
+    found, best = learning.grid_search(lines(spark, sf_dir), factory, grid, "y", "fold2", FOLDS, "fold", FOLDS)
+    return found.withColumns({"best_r2_mean": F.lit(best["r2_mean"]), "best_depth": F.lit(best["maxDepth"])})
