@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import KEY_URL_PREFIX, normalize_key, strip_space
+from ..session import stage
 from .joins import HOT_ROWS, lookup_by_key
 from .metrics import metrics_by_mask, one_row
 from .ranking import average_ranks, exact_quantiles, group_positions
@@ -109,12 +110,13 @@ def spearman(df: DataFrame, x: str, y: str, hot_rows: int = HOT_ROWS) -> DataFra
     pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         F.col(x).alias("_x"), F.col(y).alias("_y")
     )
-    counted = pairs.groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("_copies"))
-    ranked = lookup_by_key(counted, average_ranks(pairs, "_x", "_rx"), ["_x"], "n", hot_rows)
-    ranked = lookup_by_key(ranked, average_ranks(pairs, "_y", "_ry"), ["_y"], "n", hot_rows)
+    counted = stage(pairs.groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("_copies")), "rank-pairs")
+    copies = F.sum("_copies")
+    ranked = lookup_by_key(counted, average_ranks(counted, "_x", "_rx", copies), ["_x"], "n", hot_rows)
+    ranked = lookup_by_key(ranked, average_ranks(counted, "_y", "_ry", copies), ["_y"], "n", hot_rows)
     w, rx, ry = F.col("_copies").cast("double"), F.col("_rx"), F.col("_ry")
     # Mean rank is (n + 1) / 2 for both, whatever the ties: centre before squaring.
-    n = pairs.count()
+    n = counted.agg(F.coalesce(F.sum("_copies"), F.lit(0))).first()[0]
     cx, cy = rx - (n + 1) / 2, ry - (n + 1) / 2
     return ranked.agg(
         F.coalesce(F.sum("_copies"), F.lit(0)).alias("n"),

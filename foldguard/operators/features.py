@@ -13,6 +13,7 @@ from ..functions.descriptors import (
     SITE_RADII, octahedral_factor, tau_factor, tolerance_factor, weighted_reference,
 )
 from ..functions.text import flag_text, max_number, numeric_or_null
+from ..session import stage
 from .profile import fold_value_counts, top_values
 from .ranking import _at, exact_quantiles, group_positions
 
@@ -125,10 +126,10 @@ def raw_features(df: DataFrame, spec: FeatureSpec) -> DataFrame:
 def build_features(df: DataFrame, spec: FeatureSpec) -> DataFrame:
     """The full matrix: only share, numeric and 0/1 columns, the target and the group key.
 
-    Two small results are learned first (medians, top categories); the matrix itself is
-    one projection over the input.
+    The parsed columns are staged once, because three passes need them: medians, top
+    categories, and the matrix itself, which is one projection.
     """
-    raw = raw_features(df, spec)
+    raw = stage(raw_features(df, spec), "raw-features")
     fills = medians(raw, spec.imputed)
     kept = top_categories(raw, [f"{n}_category" for n in spec.categories], spec.top_n) if spec.categories else {}
     hot: dict[str, Column] = {}

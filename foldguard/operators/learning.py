@@ -168,9 +168,13 @@ def linear_attribution(df: DataFrame, weights: Mapping[str, float]) -> DataFrame
     return wide.select(F.inline(F.array(*rows))).orderBy(F.desc("mean_abs_contribution"), "feature")
 
 
-def permuted(df: DataFrame, key: str, column: str, seed: int = 42) -> DataFrame:
-    """``df`` with one column shuffled among the rows: two hash orders joined on their rank."""
-    rows = global_rank(df.withColumn("_o", seeded_md5(seed, F.col(key))), ["_o", key], "_rank")
+def in_random_order(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """``df`` with each row's place ``_rank`` in a hash order."""
+    return global_rank(df.withColumn("_o", seeded_md5(seed, F.col(key))), ["_o", key], "_rank").drop("_o")
+
+
+def permuted(df: DataFrame, ordered: DataFrame, key: str, column: str, seed: int = 42) -> DataFrame:
+    """One column shuffled among the rows: a second hash order of its values, joined on the rank."""
     values = global_rank(
         df.select(F.col(key).alias("_key"), F.col(column).alias("_value")).withColumn(
             "_o", seeded_md5(f"{seed}|{column}", F.col("_key"))
@@ -178,7 +182,7 @@ def permuted(df: DataFrame, key: str, column: str, seed: int = 42) -> DataFrame:
         ["_o", "_key"],
         "_rank",
     )
-    return rows.join(values.select("_rank", "_value"), "_rank").withColumn(column, F.col("_value")).select(*df.columns)
+    return ordered.join(values.select("_rank", "_value"), "_rank").withColumn(column, F.col("_value")).select(*df.columns)
 
 
 def permutation_importance(
@@ -191,9 +195,10 @@ def permutation_importance(
         return scored.agg(F.avg(F.pow(F.col(target) - F.col(PREDICTION), F.lit(2.0))).alias(name))
 
     base = error(df, "mse").first()["mse"]
+    ordered = in_random_order(df, key, seed)
     out = None
     for c in features:
-        row = error(permuted(df, key, c, seed), "mse").select(
+        row = error(permuted(df, ordered, key, c, seed), "mse").select(
             F.lit(c).alias("feature"), (F.col("mse") - F.lit(base)).alias("mse_increase")
         )
         out = row if out is None else out.unionByName(row)

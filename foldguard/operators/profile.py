@@ -6,9 +6,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
 from ..functions.text import numeric_or_null
+from ..session import stage
 from .metrics import one_row, with_scalars
 from .ranking import _at, exact_quantiles, group_positions
 
@@ -66,16 +68,19 @@ def noise_floor(
         present = df.filter(F.col(target).isNotNull())
         for k in keys:
             present = present.filter(F.col(k).isNotNull())
-        rounded = present.select(*[F.bround(F.col(k).cast("double"), decimals).alias(k) for k in keys], target, group)
+        whole = {f.name for f in df.schema if isinstance(f.dataType, IntegralType)}
+        keyed = [F.col(k) if k in whole else F.bround(F.col(k), decimals).alias(k) for k in keys]
+        rounded = present.select(*keyed, target, group)
         per_key = (
             rounded.groupBy(*keys)
             .agg(
-                F.count(F.lit(1)).alias("n"), F.count_distinct(group).alias("groups"),
-                F.var_samp(target).alias("var"),
+                F.count(F.lit(1)).alias("n"), F.var_samp(target).alias("var"),
+                F.min(group).alias("_first"), F.max(group).alias("_last"),
             )
-            .filter((F.col("n") >= 2) & (F.col("groups") >= 2))
+            .filter((F.col("n") >= 2) & (F.col("_first") != F.col("_last")))  # two groups at least
             .withColumn("std", F.sqrt("var"))
         )
+        per_key = stage(per_key.select("n", "var", "std"), "repeated-keys")
         pooled = per_key.agg(
             F.count(F.lit(1)).alias("n_keys"),
             F.sum("n").alias("n_rows"),

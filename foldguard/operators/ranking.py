@@ -107,13 +107,16 @@ def group_positions(
     )
 
 
-def value_positions(df: DataFrame, group_cols: Sequence[str], value: str) -> DataFrame:
+def value_positions(
+    df: DataFrame, group_cols: Sequence[str], value: str, copies: Column | None = None
+) -> DataFrame:
     """Distinct non-null values per group with ``n`` (copies), ``before`` and ``total``.
 
     Copies are counted before the shuffle, so one value held by a third of the rows is
-    one row here.
+    one row here.  ``copies`` is the aggregate to count with where rows stand for several.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*group_cols, value).agg(F.count(F.lit(1)).alias("n"))
+    copies = F.count(F.lit(1)) if copies is None else copies
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*group_cols, value).agg(copies.alias("n"))
     return group_positions(counts, group_cols, [value], "n")
 
 
@@ -173,9 +176,9 @@ def order_statistic(df: DataFrame, value: str, rank: Column, group_cols: Sequenc
     )
 
 
-def average_ranks(df: DataFrame, value: str, rank_col: str) -> DataFrame:
+def average_ranks(df: DataFrame, value: str, rank_col: str, copies: Column | None = None) -> DataFrame:
     """Distinct values with their tie-averaged rank and number of copies ``n``."""
-    return value_positions(df, [], value).select(
+    return value_positions(df, [], value, copies).select(
         value, (F.col("before") + (F.col("n") + 1) / 2).alias(rank_col), "n"
     )
 

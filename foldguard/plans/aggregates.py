@@ -10,6 +10,7 @@ from ..operators.candidates import axis_from, enumerate_space
 from ..operators.features import impute
 from ..operators.ranking import exact_quantiles
 from ..operators.splits import hash_fold, hash_holdout
+from ..session import spread
 from .base import (
     PRED, PRED_SPLIT, SPELLED, TEST_CUT, predictions, query, records, rounded, spelled_orders, sql_bucket, table,
 )
@@ -155,7 +156,7 @@ FROM (SELECT count(*) AS n, stddev_samp(l_extendedprice) AS s FROM lineitem GROU
 @query("A8", _floor_sql("part", "l_partkey") + " UNION ALL " + _floor_sql("part_quantity", "l_partkey, l_quantity")
        + " UNION ALL " + _floor_sql("part_quantity_discount", "l_partkey, l_quantity, l_discount"))
 def noise_floor(spark, sf_dir):
-    line = table(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity", "l_discount", "l_suppkey", "l_extendedprice")
+    line = spread(table(spark, sf_dir, "lineitem")).select("l_partkey", "l_quantity", "l_discount", "l_suppkey", "l_extendedprice")
     keys = ["l_partkey", "l_quantity", "l_discount"]
     out = profile.noise_floor(
         line, "l_extendedprice", "l_suppkey",

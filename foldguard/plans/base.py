@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import md5_bucket
+from ..session import spread, stage
 from ..sources.readers import read_table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -74,7 +75,7 @@ HALF_CUT = 2147483648
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with a truth and a prediction; the key columns identify a row."""
-    line = table(spark, sf_dir, "lineitem").select(
+    line = spread(table(spark, sf_dir, "lineitem")).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
         F.col("l_extendedprice").alias("y"),
     )
@@ -102,6 +103,7 @@ sided AS (
 def calibration_and_test(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The holdout side of the predictions, halved once more by supplier."""
     held = predictions(spark, sf_dir).filter(md5_bucket(42, F.col("l_suppkey")) < TEST_CUT)
+    held = stage(held, "holdout")  # widths, edges and coverages each read it
     side = md5_bucket(7, F.col("l_suppkey")) < HALF_CUT
     return held.filter(~side), held.filter(side)
 
@@ -160,7 +162,7 @@ SITE_NAMES = {"A": ("FA", "MA", "Cs", "Rb", "K"), "B": ("Pb", "Sn", "Ge"), "X":
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines dressed as raw records: list columns, number texts, flag texts, a text target."""
-    line = table(spark, sf_dir, "lineitem")
+    line = spread(table(spark, sf_dir, "lineitem"))
     n, q = F.col("l_orderkey"), F.col("l_quantity")
     a_names = (
         F.when(F.col("l_returnflag") == "A", F.lit("Cs; FA"))

@@ -12,7 +12,7 @@ from ..operators import contracts, profile
 from ..operators.features import add_descriptors
 from ..operators.joins import match_difference
 from ..operators.metrics import abs_error, signed_error
-from ..session import new_location
+from ..session import new_location, stage
 from ..sources import readers, writers
 from .base import (
     PRED, RECORDS, SITE_NAMES, SPELLED, decimal_text, predictions, query, records, rounded, spelled_orders, table,
@@ -170,7 +170,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
   CASE WHEN t IS NULL OR mu IS NULL OR tau IS NULL THEN 1 ELSE 0 END AS descriptor_missing
 FROM ratios""")
 def descriptors(spark, sf_dir):
-    out = add_descriptors(valid_records(spark, sf_dir)).select(
+    out = add_descriptors(stage(valid_records(spark, sf_dir), "records")).select(
         *RECORD_KEY, "tolerance_factor", "octahedral_factor", "tau_factor", "descriptor_missing"
     )
     return rounded(out, {"tolerance_factor": 10, "octahedral_factor": 10, "tau_factor": 10})
@@ -287,6 +287,7 @@ FROM valid""")
 def clean_summary(spark, sf_dir):
     raw = records(spark, sf_dir)
     valid, _ = clean.clean_rows(raw, RULES, RECORD_KEY)
+    valid = stage(valid.select("target", "l_suppkey"), "valid")
     out = profile.clean_summary(raw, valid, "target", "l_suppkey")
     return rounded(out, {"mean": 8, "median": 8, "std": 8})
 

@@ -15,7 +15,7 @@ from ..functions.text import normalize_key
 from ..operators import features, learning, metrics, topk
 from ..operators.cleaning import threshold_subsets
 from ..operators.splits import hash_fold, hash_holdout
-from ..session import new_location, stage
+from ..session import new_location, spread, stage
 from .base import SPELLED, TEST_CUT, query, rounded, spelled_orders, sql_bucket, table
 
 FOLDS = 3
@@ -60,8 +60,10 @@ lines AS (
 def lines(spark, sf_dir):
     """Model rows: three plain features, one that leaks the outcome, one with holes; supplier-safe folds."""
     g = F.col("l_suppkey")
-    line = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"
+    line = spread(
+        table(spark, sf_dir, "lineitem").select(
+            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"
+        )
     )
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice")
     rows = line.join(part, "l_partkey").select(
@@ -144,7 +146,7 @@ rows_ AS (SELECT o_totalprice AS y, CAST(o_custkey AS DOUBLE) AS x, CAST({sql_bu
 {_cv_sql('rows_', 'raw_fold', _fit_one('x', 'y'), 'b0 + b1 * t.x', 'raw')} UNION ALL
 {_cv_sql('rows_', 'norm_fold', _fit_one('x', 'y'), 'b0 + b1 * t.x', 'normalized')}""")
 def ml_key_sensitivity(spark, sf_dir):
-    o = spelled_orders(spark, sf_dir)
+    o = spread(spelled_orders(spark, sf_dir))
     unknown = F.lit("unknown")
     rows = stage(
         o.select(
@@ -243,7 +245,7 @@ JOIN (SELECT *, row_number() OVER (ORDER BY md5('42|{column}|' || o_orderkey), o
 def permutation_importance(spark, sf_dir):
     month = F.month("o_orderdate").cast("double")
     rows = stage(
-        table(spark, sf_dir, "orders").select(
+        spread(table(spark, sf_dir, "orders")).select(
             "o_orderkey", F.col("o_custkey").cast("double").alias("x1"), month.alias("x2"),
             (F.col("o_totalprice") + F.col("o_custkey") * 200.0 + month * 9000.0).alias("y"),
         ),

@@ -70,6 +70,16 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a file scan to all cores where its files give fewer tasks than cores.
+
+    For inputs of a few row groups in front of work that is heavy per row; a large table
+    has more splits than cores and passes through untouched.  ``scan`` must not shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def release_staged(spark: SparkSession) -> None:
     """Delete the tables that this application staged (call when its results are written)."""
     root = f"{staging_root(spark)}/foldguard/{spark.sparkContext.applicationId}"
