@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.composition import Site, parse_sites, parsed_column
 from ..functions.text import flag_text, numeric_or_null
+from ..session import stage
 
 # The reason texts; list problems have theirs in ``functions.composition``.
 NOT_NUMERIC = "pce_not_numeric"
@@ -53,13 +54,16 @@ def tag_rejects(df: DataFrame, rules: CleaningRules, reason_col: str = "reason")
 
 
 def clean_rows(
-    df: DataFrame, rules: CleaningRules, key: Sequence[str], keep_parsed: bool = False
+    df: DataFrame, rules: CleaningRules, key: Sequence[str], keep_parsed: bool = False, staged: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """The valid rows, and (key, reason) of the others.
 
     ``keep_parsed`` leaves the parsed sites on the valid rows, for ``add_shares`` to use.
+    ``staged`` writes the tagged rows once, for callers that go on with both results.
     """
     tagged = tag_rejects(df, rules)
+    if staged:
+        tagged = stage(tagged, "tagged")
     clean = tagged.filter(F.col("reason").isNull()).drop("reason")
     if not keep_parsed:
         clean = clean.drop(*[parsed_column(s) for s in rules.sites])

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 HOT_ROWS = 1_000_000
 SALTS = 64
 
@@ -27,6 +29,7 @@ def lookup_by_key(
     that can be hot must be in ``table``; rows without a key match nothing and are spread.
     """
     keys = list(keys)
+    table = stage(table, "lookup")  # read twice below, and usually the result of a full scan
     no_key = F.lit(False)
     for k in keys:
         no_key = no_key | F.col(k).isNull()

@@ -14,6 +14,7 @@ from ..session import stage
 from .metrics import one_row, with_scalars
 from .ranking import _at, exact_quantiles, group_positions
 
+MAX_MAP_VALUES = 10_000
 SIZE_PROBS = (0.5, 0.75, 0.9, 0.95, 0.99)
 
 
@@ -32,10 +33,7 @@ def group_size_profile(df: DataFrame, group: str, include_null_group: bool = Fal
         F.sum("n_groups").alias("n_groups"),
         F.max("group_rows").alias("max_size"),
         F.sum(F.when(F.col("group_rows") == 1, F.col("n_groups")).otherwise(0)).alias("n_singletons"),
-        *[
-            F.expr(f"percentile(group_rows, {q}D, n_groups)").alias(f"size_p{q * 100:g}")
-            for q in SIZE_PROBS
-        ],
+        F.expr(f"percentile(group_rows, array({', '.join(f'{q}D' for q in SIZE_PROBS)}), n_groups)").alias("_sizes"),
         F.array_sort(F.collect_list(F.struct((-F.col("group_rows")).alias("neg"), "n_groups"))).alias("_classes"),
     )
     top = F.greatest(F.lit(1), F.floor(F.col("n_groups") / 100)).cast("bigint")
@@ -48,7 +46,7 @@ def group_size_profile(df: DataFrame, group: str, include_null_group: bool = Fal
     return stats.select(
         "n_rows", "n_groups",
         (F.col("n_rows") / F.col("n_groups")).alias("mean_size"),
-        *[f"`size_p{q * 100:g}`" for q in SIZE_PROBS],
+        *[F.col("_sizes")[i].alias(f"size_p{q * 100:g}") for i, q in enumerate(SIZE_PROBS)],
         "max_size", "n_singletons",
         (F.aggregate("_classes", start, take)["rows"] / F.col("n_rows")).alias("top_share"),
     )
@@ -266,6 +264,8 @@ def category_shares(
 def value_count_map(df: DataFrame, column: str) -> DataFrame:
     """All value counts as one map (for columns with few values)."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    if counts.limit(MAX_MAP_VALUES + 1).count() > MAX_MAP_VALUES:
+        raise ValueError(f"{column} has more than {MAX_MAP_VALUES} values: use the counts as a table")
     return counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "n")))).alias("counts"))
 
 
