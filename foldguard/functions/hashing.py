@@ -15,4 +15,6 @@ def seeded_md5(seed: int | str, *cols: Column) -> Column:
 
 def md5_bucket(seed: int | str, *cols: Column) -> Column:
     """The first 32 bits of :func:`seeded_md5` as a bigint in ``[0, 2**32)``."""
-    return F.conv(F.substring(seeded_md5(seed, *cols), 1, 8), 16, 10).cast("bigint")
+    number = F.conv(F.substring(seeded_md5(seed, *cols), 1, 8), 16, 10).cast("bigint")
+    # Never NULL; saying so keeps the optimizer from hashing twice to filter NULLs before joins.
+    return F.coalesce(number, F.lit(0).cast("bigint"))

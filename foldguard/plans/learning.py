@@ -271,7 +271,7 @@ def paired_models(spark, sf_dir):
 def ml_compare(spark, sf_dir):
     """All registered kinds of model, small settings, cross-validated and on the holdout."""
     df = lines(spark, sf_dir)
-    models = learning.model_registry(["x1", "x2", "x3"], "y", df.count(), trees=10, rounds=5)
+    models = learning.model_registry(["x1", "x2", "x3"], "y", df.count(), trees=5, rounds=3)
     comparison, best = learning.compare_models(df, models, "y", "fold", FOLDS, "split")
     return comparison.withColumn("is_best", F.col("model") == best)
 
