@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldguard.llm import exact_dedup, mixing, packing, quality_rules
+from foldguard.llm import exact_dedup, mixing, ngram_join, packing, quality_rules
 from foldguard.llm.base import documents
 from foldguard.session import new_location
 
@@ -22,6 +22,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_one_of_each(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id."""
+    return ngram_join.keep_one_of_each(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target weight asks for, in random order."""
     return mixing.mix(docs, mixing.source_rates(docs)).select(*docs.columns)
@@ -35,6 +40,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", keep_good),
     ("exact_dedup", drop_copies),
+    ("ngram_join", drop_near_copies),
     ("source_mix", mix_sources),
     ("best_fit_packing", pack_sequences),
 ]

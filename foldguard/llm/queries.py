@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, language_id, license_scan, mixing, packing, quality_rules, token_counts
+from . import chat_format, exact_dedup, language_id, license_scan, mixing, ngram_join, packing, quality_rules, suffix_dedup, token_counts
 from .base import conversations, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+@_query()
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(documents(spark, sf_dir))
+
+
 _UNIFORM = "CAST(CAST(('0x' || substr(md5('0|copies|' || CAST(doc_id AS VARCHAR) || '|' || CAST(j AS VARCHAR)), 1, 13)) AS BIGINT) AS DOUBLE) / 4503599627370496.0"
 
 
@@ -173,6 +178,11 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(_as_files(documents(spark, sf_dir)))
 
 
+@_query()
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(documents(spark, sf_dir))
+
+
 @_query()
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
