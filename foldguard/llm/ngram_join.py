@@ -6,8 +6,8 @@
    equal in both. A set enters one bucket per tile, named by what it holds there. A tile in which both are empty tells
    nothing; a few tiles more than needed make up for those, and sets with yet more empty tiles name them, too.
 3. Buckets with several classes give candidates: every class meets the first class of its buckets. Links found make
-   components; only where a bucket still holds several components its classes are compared across them, at first with the
-   closest of each, then with all the rest. So a group of thousands of near copies is not expanded into its pairs.
+   components; only where a bucket still holds several components its classes are compared across them, at first by the
+   closest pair of each two, as long as that links, then by all pairs left. So a group of thousands of near copies is not expanded into its pairs.
 4. Candidates are tested on hashed parity bitmaps first: the bits in which two bitmaps differ are at most as many as the
    hashes that the sets have apart, which bounds the overlap from above. What passes is intersected exactly.
 
@@ -96,8 +96,8 @@ def ngram_sets(texts: list[str], words: int) -> list[np.ndarray]:
 
 
 def parity_bitmap(hashes: np.ndarray) -> bytes:
-    """Bit ``i`` is the parity of the number of hashes that fall on ``i``; at least twice as many bits as hashes."""
-    bits = 1 << max(6, int(2 * len(hashes) - 1).bit_length())
+    """Bit ``i`` is the parity of the number of hashes that fall on ``i``; at least four times as many bits as hashes."""
+    bits = 1 << max(6, int(4 * len(hashes) - 1).bit_length())
     at = (_mix(hashes, 1) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
@@ -280,11 +280,12 @@ def _across(rule: NgramRule, closest_only: bool):
     def pairs_of(block: dict[str, list]) -> set[tuple[int, int]]:
         found = (_few_across if len(block["node"]) <= 12 else _many_across)(block, rule)
         if closest_only:
+            # One link joins two components: the closest pair of each two goes first.
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
+            comp = block["comp"]
             for i, j, apart in found:
-                for x, y in ((i, j), (j, i)):
-                    key = (block["node"][x], block["comp"][y])
-                    best[key] = min(best.get(key, (apart, x, y)), (apart, x, y))
+                key = (min(comp[i], comp[j]), max(comp[i], comp[j]))
+                best[key] = min(best.get(key, (apart, i, j)), (apart, i, j))
             found = [(x, y, apart) for apart, x, y in best.values()]
         node = block["node"]
         return {(min(node[i], node[j]), max(node[i], node[j])) for i, j, _ in found}
@@ -364,12 +365,16 @@ def near_duplicates(docs: DataFrame, rule: NgramRule = NgramRule()) -> DataFrame
     first = stage(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "ngram-pairs")
     links, tested = _links(docs, first, rule), first
     labels = stage(components(links), "ngram-labels")
-    for closest_only in (True, False):
+    closest_only, ended = True, False
+    while not ended:
         pairs = _cross_pairs(buckets, classes, labels, rule, closest_only)
         pairs = stage(pairs.join(tested, ["a", "b"], "left_anti"), "ngram-pairs")
         more = _links(docs, pairs, rule)
         tested = tested.unionByName(pairs)
-        if not more.isEmpty():
+        ended = not closest_only
+        if more.isEmpty():
+            closest_only = False  # once the closest pairs link no more, all pairs left are tested
+        else:
             links = links.unionByName(more)
             labels = stage(components(links), "ngram-labels")
     of_class = classes.join(labels, F.col("rep") == F.col("node"), "left").select(

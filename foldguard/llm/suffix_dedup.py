@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import stage, unstage
 from .base import id_and_text, runs, shuffle_parts
 from .suffix_sort import sort_suffixes
 
@@ -215,33 +215,38 @@ def smallest_ids(groups: np.ndarray, rows: list[bytes], ids: np.ndarray, length:
 def _resolved(rule: Passages):
     """From different segments sorted by anchor, the smallest id of each of their suffixes; one number if it is the same for all."""
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def settle(rows: list[tuple]) -> pa.RecordBatch:
-            anchors = np.array([r[0] for r in rows])
-            alone = np.ones(len(rows), bool)
-            alone[1:] &= anchors[1:] != anchors[:-1]
-            alone[:-1] &= anchors[1:] != anchors[:-1]
-            least: list[list[int]] = [[r[3]] for r in rows]
-            many = np.flatnonzero(~alone)
-            if len(many):
-                found = smallest_ids(anchors[many], [rows[i][2] for i in many], np.array([rows[i][3] for i in many]), rule.length)
-                for i, x in zip(many, found, strict=True):
-                    least[i] = x if min(x) != max(x) else x[:1]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(anchors, pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(least, pa.list_(pa.int64()))], ["anchor", "segment", "least"]
-            )
+    names = ["anchor", "segment", "least"]
+
+    def settle(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """All segments of some anchors."""
+        anchors, first = rows.column("anchor").to_numpy(), rows.column("first_id").to_numpy()
+        alone = np.ones(len(anchors), bool)
+        alone[1:] &= anchors[1:] != anchors[:-1]
+        alone[:-1] &= anchors[1:] != anchors[:-1]
+        segment = rows.column("segment").to_numpy()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(anchors[alone]), pa.array(segment[alone]), pa.ListArray.from_arrays(pa.array(np.arange(alone.sum() + 1), pa.int32()), pa.array(first[alone]))], names
+        )
+        many = np.flatnonzero(~alone)
+        if len(many):
+            found = smallest_ids(anchors[many], rows.column("bytes").take(pa.array(many)).to_pylist(), first[many], rule.length)
+            found = [x if min(x) != max(x) else x[:1] for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array(anchors[many]), pa.array(segment[many]), pa.array(found, pa.list_(pa.int64()))], names)
 
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            d = batch.to_pydict()
-            for row in zip(d["anchor"], d["segment"], d["bytes"], d["first_id"], strict=True):
-                if len(held) >= BATCH_SEGMENTS and row[0] != held[-1][0]:
-                    yield settle(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield settle(held)
+            held.append(batch)
+            if sum(b.num_rows for b in held) < BATCH_SEGMENTS:
+                continue
+            rows = pa.Table.from_batches(held)
+            anchors = rows.column("anchor").to_numpy()
+            ready = int(np.searchsorted(anchors, anchors[-1]))  # the last anchor may go on in the next batch
+            if ready:
+                yield from settle(rows.slice(0, ready))
+                held = rows.slice(ready).combine_chunks().to_batches()
+        if held and (rows := pa.Table.from_batches(held)).num_rows:
+            yield from settle(rows)
 
     return make
 
@@ -251,21 +256,29 @@ def _spans(rule: Passages):
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d = batch.to_pydict()
-            out: list[tuple[int, int, int, int]] = []
-            for doc_id, content, start, count, least in zip(d["doc_id"], d["content"], d["start"], d["count"], d["least"], strict=True):
-                if len(least) == 1:
-                    if least[0] < doc_id:
-                        out.append((doc_id, content, start, start + count + rule.length - 1))
-                    continue
-                open_at = None
-                for i, x in enumerate([*least, doc_id]):
-                    if x < doc_id:
-                        open_at = i if open_at is None else open_at
-                    elif open_at is not None:
-                        out.append((doc_id, content, start + open_at, start + i - 1 + rule.length))
-                        open_at = None
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(4)], ["doc_id", "content", "at", "to"])
+            doc_id, content, start, count = (np.asarray(batch.column(c)) for c in ("doc_id", "content", "start", "count"))
+            least = batch.column("least")
+            sizes, values = np.asarray(pa.compute.list_value_length(least)), np.asarray(least.flatten())
+            first = np.cumsum(sizes) - sizes
+            one = np.flatnonzero((sizes == 1) & (values[first] < doc_id))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (doc_id[one], content[one], start[one], start[one] + count[one] + rule.length - 1)], ["doc_id", "content", "at", "to"]
+            )
+            # Segments whose suffixes differ: runs of covered suffixes, all segments at once.
+            several = np.flatnonzero(sizes > 1)
+            if len(several):
+                row = np.repeat(several, sizes[several])
+                inside = np.arange(len(row)) - np.repeat(np.cumsum(sizes[several]) - sizes[several], sizes[several])
+                covered = values[first[row] + inside] < doc_id[row]
+                before, after = np.zeros(len(row), bool), np.zeros(len(row), bool)
+                before[1:] = covered[:-1] & (row[1:] == row[:-1])
+                after[:-1] = covered[1:] & (row[1:] == row[:-1])
+                opens, closes = np.flatnonzero(covered & ~before), np.flatnonzero(covered & ~after)
+                of = row[opens]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (doc_id[of], content[of], start[of] + inside[opens], start[of] + inside[closes] + rule.length)],
+                    ["doc_id", "content", "at", "to"],
+                )
 
     return make
 
@@ -329,6 +342,7 @@ def suffix_dedup(docs: DataFrame, rule: Passages = Passages(), with_kept: bool =
     kinds = "anchor bigint, segment bigint, bytes binary, doc_id bigint, content bigint, start bigint, count bigint"
     grams = stage(originals.join(per_document, "doc_id").mapInArrow(_shared_segments(rule), kinds), "passage-segments")
 
+    unstage(shared)
     different = grams.groupBy("anchor", "segment").agg(F.min("doc_id").alias("first_id"), F.min("bytes").alias("bytes"))
     different = stage(different, "passage-different")
     sizes = different.groupBy("anchor").count().filter(F.col("count") > HOT_SEGMENTS).select("anchor")
@@ -340,6 +354,8 @@ def suffix_dedup(docs: DataFrame, rule: Passages = Passages(), with_kept: bool =
     met = grams.select("anchor", "segment", "doc_id", "content", "start", "count").join(least, ["anchor", "segment"])
     spans = stage(met.mapInArrow(_spans(rule), "doc_id bigint, content bigint, at bigint, to bigint"), "passage-spans")
 
+    unstage(different)
+    unstage(grams)
     per_text = spans.groupBy("doc_id", "content").agg(F.collect_list(F.struct("at", "to")).alias("spans"))  # at most one for each byte
     kinds = "cut_id bigint, cut_content bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
     cut = originals.join(per_text, ["doc_id", "content"]).mapInArrow(_cut, kinds)
