@@ -70,12 +70,22 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     before = spark.conf.get(CLEANUP_CONF, "false")
     spark.conf.set(CLEANUP_CONF, "true")  # its shuffle files are not needed once it is written
     try:
-        df.write.mode("errorifexists").parquet(path)
+        df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP_CONF, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstage(staged: DataFrame) -> None:
+    """Delete a table that ``stage`` wrote, once nothing reads it any more."""
+    spark = staged.sparkSession
+    folders = {f.rsplit("/", 1)[0] for f in staged.inputFiles()}
+    for folder in folders:
+        if "/foldguard/" in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Deal the rows of a file scan to all cores where its files give fewer tasks than cores.
 
