@@ -36,6 +36,8 @@ def components(links: DataFrame) -> DataFrame:
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (now.n, now.h) == before:
             break
+        if now.n == 0:
+            break
         before = (now.n, now.h)
         edges = stage(_toward_smallest(_toward_smallest(edges, larger=True), larger=False), "links")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(

@@ -365,14 +365,15 @@ def near_duplicates(docs: DataFrame, rule: NgramRule = NgramRule()) -> DataFrame
     first = stage(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "ngram-pairs")
     links, tested = _links(docs, first, rule), first
     labels = stage(components(links), "ngram-labels")
-    closest_only, ended = True, False
+    closest_only, ended = True, buckets.isEmpty()
     while not ended:
         pairs = _cross_pairs(buckets, classes, labels, rule, closest_only)
         pairs = stage(pairs.join(tested, ["a", "b"], "left_anti"), "ngram-pairs")
-        more = _links(docs, pairs, rule)
+        some_pairs = not pairs.isEmpty()
+        more = _links(docs, pairs, rule) if some_pairs else pairs
         tested = tested.unionByName(pairs)
-        ended = not closest_only
-        if more.isEmpty():
+        ended = not closest_only or not some_pairs  # no closest pair: there is no other pair either
+        if not some_pairs or more.isEmpty():
             closest_only = False  # once the closest pairs link no more, all pairs left are tested
         else:
             links = links.unionByName(more)

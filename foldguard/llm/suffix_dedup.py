@@ -73,12 +73,15 @@ def segments(texts: list[bytes], rule: Passages) -> tuple[np.ndarray, np.ndarray
     found = []
     bounds = [(i, at, t[at : at + BLOCK_BYTES + rule.length - 1]) for i, t in enumerate(texts) for at in range(0, max(1, len(t) - rule.length + 1), BLOCK_BYTES)]
     held: list[tuple[int, int, bytes]] = []
-    for entry in [*bounds, None]:
-        if held and (entry is None or sum(len(b) for _, _, b in held) + len(entry[2]) > BLOCK_BYTES + rule.length):
+    total = 0
+    for entry in bounds:
+        if held and total + len(entry[2]) > BLOCK_BYTES + rule.length:
             found.append(_segments_of(held, rule))
-            held = []
-        if entry is not None:
-            held.append(entry)
+            held, total = [], 0
+        held.append(entry)
+        total += len(entry[2])
+    if held:
+        found.append(_segments_of(held, rule))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else tuple(np.zeros(0, np.int64) for _ in range(4))
 
 
