@@ -74,12 +74,24 @@ def binned_half_widths(calibration: DataFrame, y: str, p: str, edges: Sequence[f
 
 
 def binned_intervals(calibration: DataFrame, test: DataFrame, y: str, p: str, coverage: str = "0.90") -> DataFrame:
-    """Interval per prediction quartile: half-width, test rows and coverage of each bin."""
+    """Interval per prediction quartile: half-width, test rows and coverage of each bin.
+
+    Test rows in a bin without calibration rows, or without a prediction, take the half-width of all calibration rows;
+    ``n_calibration`` is 0 there. Rows without an error count in ``n_test`` and not in the coverage.
+    """
     edges = prediction_edges(calibration, p)
     widths = binned_half_widths(calibration, y, p, edges, coverage)
     scored = test.select(quantile_bins(F.col(p), edges).alias("bin"), abs_error(y, p).alias("_e")).join(
-        F.broadcast(widths.select("bin", "n_calibration", "half_width")), "bin"  # one row per bin
+        F.broadcast(widths.select("bin", "n_calibration", "half_width")), "bin", "left"  # one row per bin
     )
+    whole = half_widths(calibration.select(abs_error(y, p).alias("_e")), "_e", [coverage]).first()  # one row
+    if whole is not None:
+        scored = scored.withColumns(
+            {
+                "n_calibration": F.coalesce("n_calibration", F.lit(0).cast("bigint")),
+                "half_width": F.coalesce("half_width", F.lit(whole["half_width"])),
+            }
+        )
     return scored.groupBy("bin", "n_calibration", "half_width").agg(
         F.count(F.lit(1)).alias("n_test"),
         F.avg((F.col("_e") <= F.col("half_width")).cast("double")).alias("coverage"),

@@ -20,13 +20,15 @@ def lookup_by_key(
     size_col: str,
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
+    null_is_key: bool = False,
 ) -> DataFrame:
     """Attach ``table`` (one row per key, ``size_col`` = rows with that key) to every row.
 
     Keys with more than ``hot_rows`` rows are spread over ``salts`` shuffle keys and their
     table row is copied as often; there are at most ``len(rows) / hot_rows`` such keys,
     which bounds the broadcast list of them.  All other keys join plainly.  Every key
-    that can be hot must be in ``table``; rows without a key match nothing and are spread.
+    that can be hot must be in ``table``; rows without a key match nothing and are spread,
+    unless ``null_is_key``: then NULL keys match NULL keys.
     """
     keys = list(keys)
     table = stage(table, "lookup")  # read twice below, and usually the result of a full scan
@@ -39,11 +41,20 @@ def lookup_by_key(
         F.when(F.col("_hot") | no_key, F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(salts)).cast("int"))
         .otherwise(F.lit(0)),
     )
-    copies = F.when(F.col(size_col) > hot_rows, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
+    table_no_key = F.lit(False)
+    for k in keys:
+        table_no_key = table_no_key | F.col(k).isNull()
+    copies = F.when((F.col(size_col) > hot_rows) | table_no_key, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
         F.array(F.lit(0))
     )
     wide = table.withColumn("_salt", F.explode(copies)).drop(size_col)
-    return spread.join(wide, [*keys, "_salt"], "left").drop("_salt", "_hot")
+    if not null_is_key:
+        return spread.join(wide, [*keys, "_salt"], "left").drop("_salt", "_hot")
+    named = wide.withColumnsRenamed({k: f"_t{i}" for i, k in enumerate(keys)} | {"_salt": "_table_salt"})
+    same = F.col("_salt") == F.col("_table_salt")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_t{i}"))
+    return spread.join(named, same, "left").drop("_salt", "_hot", "_table_salt", *[f"_t{i}" for i in range(len(keys))])
 
 
 def lookup_or_default(rows: DataFrame, table: DataFrame, keys: Sequence[str], defaults: dict) -> DataFrame:

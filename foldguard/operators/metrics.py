@@ -59,7 +59,7 @@ def leave_one_out(per_fold: DataFrame, fold: str, cols: Sequence[str]) -> DataFr
     packed = per_fold.agg(F.collect_list(F.struct(fold, *cols)).alias("_all"))  # one entry per fold
 
     def others(c: str) -> Column:
-        rest = F.filter("_all", lambda x: x[fold] != F.col(f"_f.{fold}"))
+        rest = F.filter("_all", lambda x: ~x[fold].eqNullSafe(F.col(f"_f.{fold}")))
         return F.aggregate(rest, F.lit(0.0), lambda acc, x: acc + x[c])
 
     return packed.select(F.explode("_all").alias("_f"), "_all").select(
@@ -73,7 +73,8 @@ def with_training_mean(df: DataFrame, y: str, fold: str, out: str = "baseline")
         F.sum(y).alias("_s"), F.count(y).cast("double").alias("_n")
     )
     means = leave_one_out(sums, fold, ["_s", "_n"]).select(fold, F.try_divide("_s", "_n").alias(out))
-    return df.join(F.broadcast(means), fold)  # one row per fold
+    means = means.withColumnRenamed(fold, "_fold")  # one row per fold; rows without one are a fold of their own
+    return df.join(F.broadcast(means), F.col(fold).eqNullSafe(F.col("_fold")), "left").drop("_fold")
 
 
 def mean_baseline(df: DataFrame, y: str, fold: str) -> DataFrame:

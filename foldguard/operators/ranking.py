@@ -10,6 +10,7 @@ is spread over a third of the partitions.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,7 +62,7 @@ def group_positions(
 ) -> DataFrame:
     """Append the weight that lies before each row in its group, and the weight of the group.
 
-    ``group_cols`` must not be NULL and may be empty (the whole table is the group).
+    NULL keys are groups like any other; ``group_cols`` may be empty (the whole table is the group).
     A group is cut into pieces by the range partitions; running sums stay inside a
     piece, and only groups with more than one piece need a carry.  There are fewer of
     those than partitions, so the carry table is small whatever the data.
@@ -90,20 +91,22 @@ def group_positions(
         F.aggregate("_pieces", F.lit(0).cast("bigint"), lambda acc, q: acc + q["_w"]).alias("_all"),
     )
 
+    carry = carry.withColumnsRenamed({k: f"_c{i}" for i, k in enumerate(keys)})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_c{i}")) for i, k in enumerate(keys)])
     piece = Window.partitionBy(*keys)
     inside = piece.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = staged.withColumns(
         {"_upto": F.sum(weight).over(inside), "_piece": F.sum(weight).over(piece)}
     )
     return (
-        running.join(F.broadcast(carry), keys, "left")  # at most two rows per partition
+        running.join(F.broadcast(carry), same, "left")  # at most two rows per partition
         .withColumns(
             {
                 before_col: F.col("_upto") - F.col(weight) + F.coalesce("_carry", F.lit(0)),
                 total_col: F.coalesce("_all", "_piece"),
             }
         )
-        .drop("_part", "_upto", "_piece", "_carry", "_all")
+        .drop("_part", "_upto", "_piece", "_carry", "_all", *[f"_c{i}" for i in range(len(keys))])
     )
 
 

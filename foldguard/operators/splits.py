@@ -96,7 +96,7 @@ def balanced_group_folds(
     Which groups of one size fill which fold is drawn by hash.
     """
     table = group_fold_table(df, group, folds, seed, out)
-    return lookup_by_key(df, table, [group], "group_rows", hot_rows)
+    return lookup_by_key(df, table, [group], "group_rows", hot_rows, null_is_key=True)
 
 
 def group_fold_table(df: DataFrame, group: str, folds: int, seed: int = 42, out: str = "fold") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,19 +17,28 @@ def text_schema(columns: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
+def csv_reader(spark: SparkSession, line_breaks: bool = False) -> DataFrameReader:
+    """Options for quoted fields: doubled quotes are one quote; with ``line_breaks`` a quoted field may hold line breaks."""
+    reader = spark.read.option("header", True).option("encoding", "UTF-8").option("quote", '"').option("escape", '"')
+    return reader.option("multiLine", line_breaks)
+
+
 def csv_header(spark: SparkSession, path: str) -> list[str]:
     """Column names of a CSV file from its first line (no inference pass over the data)."""
-    return spark.read.option("header", True).option("encoding", "UTF-8").csv(path).columns
+    return csv_reader(spark).csv(path).columns
 
 
-def read_raw_csv(spark: SparkSession, path: str, wanted: Sequence[str] | None = None) -> tuple[DataFrame, list[str]]:
+def read_raw_csv(
+    spark: SparkSession, path: str, wanted: Sequence[str] | None = None, line_breaks: bool = False
+) -> tuple[DataFrame, list[str]]:
     """A wide CSV (a byte order mark is allowed) cut to the wanted columns.
 
     Returns the table and the wanted columns it lacks.  The reader parses only the
-    columns that are kept.
+    columns that are kept.  ``line_breaks`` allows them inside quoted fields; a file is then
+    read by one task, so large tables should come in many files.
     """
     names = [c.lstrip("\ufeff") for c in csv_header(spark, path)]
-    raw = spark.read.schema(text_schema(names)).option("header", True).option("encoding", "UTF-8").csv(path)
+    raw = csv_reader(spark, line_breaks).schema(text_schema(names)).csv(path)
     return project_present(raw, wanted if wanted is not None else names)
 
 

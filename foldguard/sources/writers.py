@@ -24,7 +24,7 @@ def write_table(
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.option("header", True).option("quote", '"').option("escape", '"')
     writer.format(fmt).save(path)
 
 
