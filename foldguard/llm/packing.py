@@ -10,7 +10,9 @@ give the pieces of their unfilled sequences back; these are dealt anew, to fewer
 from __future__ import annotations
 
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,7 @@ CAPACITY = 1024
 END_ID = 2  # ends every document
 UNIT_ROWS = 20_000
 ROUNDS = 4
+REMEMBERED_IDS = 800_000  # pieces of text whose ids a worker keeps
 
 _PIECES = "uid bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 _PACKED = f"{_PIECES}, unit bigint, bin bigint, offset bigint, open boolean"
@@ -46,10 +49,13 @@ def _encoder(path: str) -> Remembered:
             out = []
             for i in range(0, len(new), 20_000):
                 coded = tokenizer.encode_batch_fast(new[i : i + 20_000], add_special_tokens=False)
-                out += [np.array(c.ids, "<u4").tobytes() for c in coded]
-            return out
+                out += [array("I", c.ids) for c in coded]
+            if sys.byteorder == "big":
+                for ids in out:
+                    ids.byteswap()
+            return [ids.tobytes() for ids in out]
 
-        _ENCODERS[path] = Remembered(solve)
+        _ENCODERS[path] = Remembered(solve, REMEMBERED_IDS)
     return _ENCODERS[path]
 
 

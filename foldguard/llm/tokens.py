@@ -44,14 +44,18 @@ class Remembered(dict):
 
     def __init__(self, solve, limit: int = REMEMBERED):
         self.solve, self.limit = solve, limit
+        self.long: list[str] = []
 
     def learn(self, texts: list[list[str]]) -> None:
         """After this, every piece of ``texts`` has its result."""
         if len(self) > self.limit:
             self.clear()
+            self.long.clear()
         new = list(set().union(*texts).difference(self))
         self.update(zip(new, self.solve(new), strict=True))
+        self.long += [p for p in new if len(p) > LONGEST_REMEMBERED]
 
     def forget_long(self) -> None:
-        for p in [p for p in self if len(p) > LONGEST_REMEMBERED]:
+        for p in self.long:
             del self[p]
+        self.long.clear()
