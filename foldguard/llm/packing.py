@@ -29,7 +29,7 @@ CAPACITY = 1024
 END_ID = 2  # ends every document
 UNIT_ROWS = 20_000
 ROUNDS = 4
-REMEMBERED_IDS = 800_000  # pieces of text whose ids a worker keeps
+REMEMBERED_IDS = 1_200_000  # pieces of text whose ids a worker keeps
 
 _PIECES = "uid bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 _PACKED = f"{_PIECES}, unit bigint, bin bigint, offset bigint, open boolean"

@@ -31,7 +31,7 @@ from .base import id_and_text, runs, shuffle_parts
 from .suffix_sort import sort_suffixes
 
 HOT_SEGMENTS = 100_000
-BLOCK_BYTES = 8_000_000  # longer texts are anchored in overlapping blocks
+BLOCK_BYTES = 2_000_000  # longer texts are anchored in overlapping blocks
 BATCH_SEGMENTS = 20_000
 
 
@@ -334,7 +334,7 @@ def suffix_dedup(docs: DataFrame, rule: Passages = Passages(), with_kept: bool =
     described = stage(texts.mapInArrow(_described, "doc_id bigint, n_bytes bigint, sha string, content bigint"), "passage-documents")
     usable = described.filter((F.col("n_bytes") >= rule.length) & F.col("doc_id").isNotNull())
     firsts = stage(usable.groupBy("sha", "n_bytes").agg(F.min("doc_id").alias("first_id")).drop("n_bytes"), "passage-firsts")
-    originals = texts.join(firsts.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    originals = texts.join(firsts.select(F.col("first_id").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi")
     originals = stage(originals.filter(F.octet_length("text") >= rule.length), "passage-originals")
 
     anchors = originals.mapInArrow(_anchors(rule), "anchor bigint, doc_id bigint")
@@ -343,7 +343,7 @@ def suffix_dedup(docs: DataFrame, rule: Passages = Passages(), with_kept: bool =
     )
     per_document = shared.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))  # at most one for each byte
     kinds = "anchor bigint, segment bigint, bytes binary, doc_id bigint, content bigint, start bigint, count bigint"
-    grams = stage(originals.join(per_document, "doc_id").mapInArrow(_shared_segments(rule), kinds), "passage-segments")
+    grams = stage(originals.join(per_document.hint("shuffle_hash"), "doc_id").mapInArrow(_shared_segments(rule), kinds), "passage-segments")
 
     unstage(shared)
     different = grams.groupBy("anchor", "segment").agg(F.min("doc_id").alias("first_id"), F.min("bytes").alias("bytes"))
@@ -361,7 +361,7 @@ def suffix_dedup(docs: DataFrame, rule: Passages = Passages(), with_kept: bool =
     unstage(grams)
     per_text = spans.groupBy("doc_id", "content").agg(F.collect_list(F.struct("at", "to")).alias("spans"))  # at most one for each byte
     kinds = "cut_id bigint, cut_content bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
-    cut = originals.join(per_text, ["doc_id", "content"]).mapInArrow(_cut, kinds)
+    cut = originals.join(per_text.hint("shuffle_hash"), ["doc_id", "content"]).mapInArrow(_cut, kinds)
     cut = stage((cut if with_kept else cut.drop("kept")).dropDuplicates(["cut_id", "cut_content"]), "passage-cut")
 
     first_of = described.join(firsts.withColumnRenamed("sha", "first_sha"), F.col("sha") == F.col("first_sha"), "left")

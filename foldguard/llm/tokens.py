@@ -9,8 +9,8 @@ it has seen, in a table that is emptied when it is full.
 from __future__ import annotations
 
 import re
+from itertools import filterfalse
 
-_TWO_BLANKS = re.compile(r"\s\s")
 _LINES = re.compile(r"(?<=\S)\n(?=\S)")
 _SPACES = re.compile(r"(?<=\S) (?=\S)")
 
@@ -27,7 +27,8 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 
 def pieces(text: str) -> list[str]:
     """``text`` cut at single spaces and line feeds; a space goes with what follows, a line feed stands alone."""
-    if "\0" not in text and not _TWO_BLANKS.search(text):
+    words = len(text.split())
+    if words and words - 1 == text.count(" ") + text.count("\n") and "\0" not in text:  # no other blanks, none at the ends
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
     out: list[str] = []
     for i, line in enumerate(_LINES.split(text)):
@@ -51,7 +52,7 @@ class Remembered(dict):
         if len(self) > self.limit:
             self.clear()
             self.long.clear()
-        new = list(set().union(*texts).difference(self))
+        new = list(set().union(*[filterfalse(self.__contains__, t) for t in texts]))
         self.update(zip(new, self.solve(new), strict=True))
         self.long += [p for p in new if len(p) > LONGEST_REMEMBERED]
 
