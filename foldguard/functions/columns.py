@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,16 +37,14 @@ def starting_with(columns: Iterable[str], prefixes: Sequence[str]) -> list[str]:
     return [c for c in columns if c.startswith(tuple(prefixes))]
 
 
-def feature_scopes(features: Sequence[str]) -> dict[str, list[str]]:
-    """Nested column sets: composition, + device, + process."""
-    composition = family(features)
-    process = starting_with(features, ("solv_", "anneal"))
-    device = [c for c in features if c not in composition and c not in process]
-    return {
-        "composition": composition,
-        "composition_device": composition + device,
-        "composition_device_process": composition + device + process,
-    }
+def feature_scopes(features: Sequence[str], families: Mapping[str, Callable[[str], bool]]) -> dict[str, list[str]]:
+    """Nested column sets: each scope has the columns of the scope before and, of those left, the ones of its own family."""
+    scopes: dict[str, list[str]] = {}
+    held: list[str] = []
+    for scope, belongs in families.items():
+        held = held + [c for c in features if belongs(c) and c not in held]
+        scopes[scope] = held
+    return scopes
 
 
 def fill_constants(df: DataFrame, fills: Mapping[str, object]) -> DataFrame:

@@ -76,12 +76,12 @@ def check_features(
     features = [c for c in df.columns if c not in (target, group)]
     leaked = leaking_columns(features, forbidden)
     if leaked:
-        raise ContractError(f"post-outcome columns among the features: {leaked[:8]}")
+        raise ContractError(f"post-outcome columns among the features: {leaked}")
     if target not in df.columns:
         raise ContractError(f"no target column {target}")
     found = share_sum_violations(df, sites).first().asDict()
     warnings = [f"{name[6:]}: {n} rows whose shares do not sum to 1" for name, n in found.items() if n]
     empty = all_null_columns(df, features)
     if empty:
-        warnings.append(f"columns without any value: {empty[:8]}")
+        warnings.append(f"columns without any value: {empty}")
     return {"n_features": len(features), "warnings": warnings}

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 
-HOT_ROWS = 1_000_000
-SALTS = 64
+HOT_ROWS = 1_000_000  # rows of one key that one shuffle key takes
 
 
 def lookup_by_key(
@@ -19,42 +18,36 @@ def lookup_by_key(
     keys: Sequence[str],
     size_col: str,
     hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
     null_is_key: bool = False,
 ) -> DataFrame:
     """Attach ``table`` (one row per key, ``size_col`` = rows with that key) to every row.
 
-    Keys with more than ``hot_rows`` rows are spread over ``salts`` shuffle keys and their
-    table row is copied as often; there are at most ``len(rows) / hot_rows`` such keys,
-    which bounds the broadcast list of them.  All other keys join plainly.  Every key
-    that can be hot must be in ``table``; rows without a key match nothing and are spread,
-    unless ``null_is_key``: then NULL keys match NULL keys.
+    A key is spread over ``ceil(size / hot_rows)`` shuffle keys and its table row is copied
+    as often, so a shuffle key takes about ``hot_rows`` rows however large the key is.  Rows
+    learn the number from the staged list of keys with more than one; its true size tells
+    Spark how to join it.  Rows without a key match nothing and are spread, unless
+    ``null_is_key``: then NULL keys match NULL keys.
     """
     keys = list(keys)
     table = stage(table, "lookup")  # read twice below, and usually the result of a full scan
+    names = {k: f"_t{i}" for i, k in enumerate(keys)}
+    same = F.lit(True)
     no_key = F.lit(False)
-    for k in keys:
+    for k, n in names.items():
+        same = same & (F.col(k).eqNullSafe(F.col(n)) if null_is_key else F.col(k) == F.col(n))
         no_key = no_key | F.col(k).isNull()
-    hot = table.filter(F.col(size_col) > hot_rows).select(*keys, F.lit(True).alias("_hot"))
-    spread = rows.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt",
-        F.when(F.col("_hot") | no_key, F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(salts)).cast("int"))
-        .otherwise(F.lit(0)),
-    )
-    table_no_key = F.lit(False)
-    for k in keys:
-        table_no_key = table_no_key | F.col(k).isNull()
-    copies = F.when((F.col(size_col) > hot_rows) | table_no_key, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    wide = table.withColumn("_salt", F.explode(copies)).drop(size_col)
+    salts = F.greatest(F.ceil(F.col(size_col) / F.lit(hot_rows)), F.lit(1))
+    wide = table.withColumnsRenamed(names).withColumn("_salts", salts)
+    hot = stage(wide.filter("_salts > 1").select(*names.values(), "_salts"), "hot-keys")
+    draw = F.xxhash64(*[F.col(c) for c in rows.columns])
+    salt = F.pmod(draw, F.coalesce("_salts", F.lit(1)))
     if not null_is_key:
-        return spread.join(wide, [*keys, "_salt"], "left").drop("_salt", "_hot")
-    named = wide.withColumnsRenamed({k: f"_t{i}" for i, k in enumerate(keys)} | {"_salt": "_table_salt"})
-    same = F.col("_salt") == F.col("_table_salt")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_t{i}"))
-    return spread.join(named, same, "left").drop("_salt", "_hot", "_table_salt", *[f"_t{i}" for i in range(len(keys))])
+        salt = F.when(no_key, draw).otherwise(salt)
+    spread = rows.join(hot, same, "left").withColumn("_salt", salt).drop("_salts", *names.values())
+    copies = wide.withColumn("_table_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop(size_col, "_salts")
+    return spread.join(copies, same & (F.col("_salt") == F.col("_table_salt")), "left").drop(
+        "_salt", "_table_salt", *names.values()
+    )
 
 
 def lookup_or_default(rows: DataFrame, table: DataFrame, keys: Sequence[str], defaults: dict) -> DataFrame:

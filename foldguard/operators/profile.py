@@ -14,7 +14,6 @@ from ..session import stage
 from .metrics import one_row, with_scalars
 from .ranking import _at, exact_quantiles, group_positions
 
-MAX_MAP_VALUES = 10_000
 SIZE_PROBS = (0.5, 0.75, 0.9, 0.95, 0.99)
 
 
@@ -261,12 +260,9 @@ def category_shares(
     return marked.filter(F.col("_top") == 1).select("category", "n").unionByName(bucket)
 
 
-def value_count_map(df: DataFrame, column: str) -> DataFrame:
-    """All value counts as one map (for columns with few values)."""
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    if counts.limit(MAX_MAP_VALUES + 1).count() > MAX_MAP_VALUES:
-        raise ValueError(f"{column} has more than {MAX_MAP_VALUES} values: use the counts as a table")
-    return counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "n")))).alias("counts"))
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    """How often each value occurs, as a table (value, n); NULL is a value like any other."""
+    return df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
 
 
 def clean_summary(raw: DataFrame, clean: DataFrame, target: str, group: str) -> DataFrame:

@@ -18,7 +18,6 @@ from .joins import HOT_ROWS, lookup_by_key
 from .ranking import global_rank, group_positions
 
 TEST, TRAIN = "test", "train"
-BROADCAST_CLASSES = 100_000
 
 
 def hash_holdout(group: Column, test_fraction: float | str, seed: int = 42) -> Column:
@@ -117,8 +116,6 @@ def group_fold_table(df: DataFrame, group: str, folds: int, seed: int = 42, out:
             ends.append(end)
         rows.append((size, ends))
     quotas = spark.createDataFrame(rows, "group_rows bigint, _ends array<bigint>")
-    if len(rows) <= BROADCAST_CLASSES:
-        quotas = F.broadcast(quotas)
     fold = F.size(F.filter("_ends", lambda e: e <= F.col("before")))
     return placed.join(quotas, "group_rows").select(group, "group_rows", fold.alias(out))
 
@@ -136,9 +133,10 @@ def groups_on_two_sides(df: DataFrame, group: str, side: str) -> DataFrame:
 
 
 def assert_group_disjoint(df: DataFrame, group: str, side: str) -> None:
-    broken = groups_on_two_sides(df, group, side).limit(5).collect()
+    """Raise with the number of broken groups; ``groups_on_two_sides`` has the groups themselves."""
+    broken = groups_on_two_sides(df, group, side).count()
     if broken:
-        raise ValueError(f"groups on more than one side of {side}: {[r[group] for r in broken]}")
+        raise ValueError(f"{broken} groups of {group} are on more than one side of {side}")
 
 
 def split_report(df: DataFrame, group: str, side: str, sentinel: str = "unknown") -> DataFrame:

@@ -241,8 +241,7 @@ def category_shares(spark, sf_dir):
 
 @query("A25", "SELECT o_orderpriority AS category, count(*) AS n FROM orders GROUP BY o_orderpriority")
 def value_count_map(spark, sf_dir):
-    counts = profile.value_count_map(table(spark, sf_dir, "orders"), "o_orderpriority")
-    return counts.select(F.explode("counts").alias("category", "n"))
+    return profile.value_counts(table(spark, sf_dir, "orders"), "o_orderpriority").withColumnRenamed("o_orderpriority", "category")
 
 
 @query("A26", """

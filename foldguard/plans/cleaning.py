@@ -207,8 +207,11 @@ def safe_column_names(spark, sf_dir):
         F.col("p_size").alias("solv size x"), F.col("p_retailprice").alias("target"),
     )
     features = named.drop("target")
-    scopes = C.feature_scopes([c for c in features.columns if c != "p_partkey"])
-    return C.with_safe_names(features.select("p_partkey", *scopes["composition_device_process"]))
+    families = {
+        "shares": lambda c: c.startswith("A_"), "with_device": lambda c: c.startswith("arch"), "with_process": lambda c: c.startswith("solv"),
+    }
+    scopes = C.feature_scopes([c for c in features.columns if c != "p_partkey"], families)
+    return C.with_safe_names(features.select("p_partkey", *scopes["with_process"]))
 
 
 @query("P14", """

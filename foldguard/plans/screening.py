@@ -182,12 +182,11 @@ SELECT region, segment, type, priority, CASE WHEN region = 'ASIA' THEN 1.0::DOUB
   CASE WHEN segment = 'BUILDING' THEN 0.75::DOUBLE ELSE 0.0::DOUBLE END AS share_B, round((SELECT median(p_retailprice) FROM part), 6) AS price, 0.0::DOUBLE AS unseen FROM space""")
 def candidates_encoded(spark, sf_dir):
     axes = market_axes(spark, sf_dir)
-    cells = {
-        axis: {
-            level: {f"{axis}_{level}": 1.0} | ({"share_B": 0.75} if level == "BUILDING" else {}) for level in levels
-        }
-        for axis, levels in axes.items()
-    }
+    cells = {}
+    for axis, levels in axes.items():
+        own = levels.select("level", F.concat(F.lit(f"{axis}_"), "level").alias("feature"), F.lit(1.0).alias("value"))
+        share = levels.filter("level = 'BUILDING'").select("level", F.lit("share_B").alias("feature"), F.lit(0.75).alias("value"))
+        cells[axis] = own.unionByName(share)
     context = features.medians(table(spark, sf_dir, "part"), ["p_retailprice"])
     names = ["region_ASIA", "type_PROMO", "share_B", "price", "unseen"]
     out = cand.encode_space(

@@ -99,5 +99,8 @@ def test_safe_names():
 
 
 def test_feature_scopes():
-    scopes = C.feature_scopes(["A_FA", "B_Pb", "band_gap", "arch_nip", "solv_x", "anneal_temp"])
-    assert [len(v) for v in scopes.values()] == [2, 4, 6]
+    columns = ["solv_x", "A_FA", "band_gap", "B_Pb"]
+    families = {"shares": lambda c: c in C.family(columns), "most": lambda c: not c.startswith("solv"), "all": lambda c: True}
+    assert C.feature_scopes(columns, families) == {
+        "shares": ["A_FA", "B_Pb"], "most": ["A_FA", "B_Pb", "band_gap"], "all": ["A_FA", "B_Pb", "band_gap", "solv_x"],
+    }

@@ -117,6 +117,24 @@ def test_encoded_candidates(spark):
     assert (d[d.HTL == "PTAA"].HTL_PTAA == 1).all() and (d[d.HTL != "PTAA"].HTL_PTAA == 0).all()
 
 
+def test_axes_of_any_length(spark):
+    many = cand.axis_from(spark.range(100_500).select((F.col("id") * 3).alias("v")), "v")
+    axes = {"v": many, "w": ["a", "b"]}
+    space = cand.enumerate_space(spark, axes)
+    assert space.columns == ["candidate_id", "v", "w"] and cand.check_count(space, axes) == 201_000
+    assert space.select("v", "w").distinct().count() == 201_000
+    assert sorted(r["w"] for r in space.filter("v = 301497").collect()) == ["a", "b"]
+    none = {"v": cand.axis_from(spark.range(5).filter("id > 9"), "id"), "w": ["a", "b"]}
+    assert cand.check_count(cand.enumerate_space(spark, none), none) == 0
+
+
+def test_cells_as_rows(spark):
+    space = cand.enumerate_space(spark, {"k": ["x", "y"], "m": ["p", "q"]})
+    rows = spark.createDataFrame([("x", "f", 0.5), ("y", "other", 1.0)], "level string, feature string, value double")
+    got = cand.encode_space(space, {"k": rows, "m": {"q": {"f": 0.25}}}, ["f"], {}).collect()
+    assert {(r["k"], r["m"]): r["f"] for r in got} == {("x", "p"): 0.5, ("x", "q"): 0.25, ("y", "p"): 0.0, ("y", "q"): 0.25}
+
+
 def test_support_and_sensitivity(spark):
     c = spark.createDataFrame([("a", 3.0), ("b", 2.0), ("c", 1.0)], "k string, score double")
     s = cand.with_support(c, spark.createDataFrame([("a", 1), ("b", 7)], "k string, n_rows long"), ["k"])
