@@ -64,11 +64,9 @@ def poisson_copies(docs: DataFrame, rates: DataFrame, seed: int = 0) -> DataFram
         .drop("terms")
     )
     joined = docs.join(tabled, docs.source.cast("string").eqNullSafe(tabled.mix_source), "left").drop("mix_source")
-    number = F.aggregate(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        F.lit(0),
-        lambda a, j: a + F.size(F.filter("below", lambda c: c <= uniform(F.lit(seed), F.lit("copies"), F.col("doc_id"), j))),
-    )
+    # One draw for each block, hashed before it is compared with the terms.
+    draws = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: uniform(F.lit(seed), F.lit("copies"), F.col("doc_id"), j))
+    number = F.aggregate(draws, F.lit(0), lambda a, u: a + F.size(F.filter("below", lambda c: c <= u)))
     copies = F.when(F.col("rate") > 0, number).otherwise(F.lit(0))
     return joined.select(*[docs[c] for c in docs.columns], F.coalesce("rate", F.lit(0.0)).alias("mix_rate"), copies.alias("mix_copies"))
 
