@@ -321,8 +321,11 @@ def _cross_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, rule
         "cls", F.col("rep").alias("node"), F.coalesce("component", "rep").alias("comp"), F.col("n_shingles").alias("n"), "bits"
     )
     slim = members.join(named.select("cls", "node", "comp"), "cls")
-    mixed = slim.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("rows")).filter("c1 != c2")
-    mixed = mixed.select(F.col("key").alias("mixed_key"), F.ceil(F.col("rows") / TILE_ROWS).alias("blocks"))
+    prints = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"print{i}") for i in (0, 1)]
+    mixed = slim.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("rows"), *prints).filter("c1 != c2")
+    # Near copies share many tiles: buckets of the same members give the same pairs, so one of them is compared.
+    mixed = mixed.groupBy("rows", "print0", "print1").agg(F.min("key").alias("mixed_key"))
+    mixed = mixed.select("mixed_key", F.ceil(F.col("rows") / TILE_ROWS).alias("blocks"))
     kept = stage(slim.join(mixed, F.col("key") == F.col("mixed_key")).select("key", "cls", "node", "comp", "blocks"), "ngram-mixed")
     rows = kept.select("key", "node", "comp", "blocks").join(named.select(F.col("node").alias("of"), "n", "bits"), F.col("node") == F.col("of")).drop("of")
     # A bucket of one block is compared in itself (side 2); of several blocks, each pair of blocks makes a tile.
