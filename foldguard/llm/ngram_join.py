@@ -38,8 +38,8 @@ _SHIFTS = (np.uint64(29), np.uint64(32))
 
 @dataclass(frozen=True)
 class NgramRule:
-    words: int = 4
-    percent: int = 85  # documents link if 100 * intersection >= percent * union
+    words: int = 5
+    percent: int = 80  # documents link if 100 * intersection >= percent * union
 
     def apart(self, both: np.ndarray | int):
         """The most hashes that two linked sets of this joint size have apart."""

@@ -180,7 +180,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(documents(spark, sf_dir))
+    return ngram_join.near_duplicates(documents(spark, sf_dir), ngram_join.NgramRule(words=4, percent=85))
 
 
 @_query()

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from foldguard.llm import components, exact_dedup, ngram_join, suffix_dedup, suffix_sort
 
@@ -121,17 +122,19 @@ def want_components(documents, words=4, percent=85):
 
 
 NEAR = ("doc_id", "n_shingles", "component_id")
+CONTRACT = ngram_join.NgramRule(words=4, percent=85)
 
 
 def test_near_copies_on_edge_cases(edges, no_rows):
     known = [e[:2] for e in EDGES if e[0] is not None]
-    got = ngram_join.near_duplicates(edges)
+    got = ngram_join.near_duplicates(edges, CONTRACT)
     assert rows(got.filter("doc_id IS NOT NULL"), *NEAR) == want_components(known)
     assert rows(got.filter("doc_id IS NULL"), *NEAR) == [(None, 1, 5)]
     assert ngram_join.near_duplicates(no_rows).count() == 0
 
 
-def test_near_copies_in_chains_and_large_groups(table, monkeypatch):
+@pytest.mark.parametrize("rule", [CONTRACT, ngram_join.NgramRule()], ids=["contract", "default"])
+def test_near_copies_in_chains_and_large_groups(table, monkeypatch, rule):
     monkeypatch.setattr(ngram_join, "TILE_ROWS", 16)  # buckets are compared in blocks
     rng = random.Random(5)
     documents, number = [], 0
@@ -145,18 +148,19 @@ def test_near_copies_in_chains_and_large_groups(table, monkeypatch):
                 for _ in range(rng.randint(0, 1 + size // 40)):
                     words[rng.randrange(size)] = f"v{rng.randint(0, 9999)}"
     rng.shuffle(documents)
-    assert rows(ngram_join.near_duplicates(table(documents)), *NEAR) == want_components(documents)
+    assert rows(ngram_join.near_duplicates(table(documents), rule), *NEAR) == want_components(documents, rule.words, rule.percent)
 
 
-def test_tiles_miss_no_link():
-    rule, rng = ngram_join.NgramRule(), np.random.default_rng(2)
+@pytest.mark.parametrize("rule", [CONTRACT, ngram_join.NgramRule()], ids=["contract", "default"])
+def test_tiles_miss_no_link(rule):
+    rng = np.random.default_rng(2)
     for n in [*range(1, 60), 100, 333, 1000]:
         base = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
         for _ in range(20):
             gone = rng.random(n) < rng.random() * 0.15
             other = np.unique(np.concatenate([base[~gone], rng.integers(0, 1 << 64, rng.integers(0, 1 + n // 8), np.uint64)]))
             same = len(np.intersect1d(base, other))
-            if same and 100 * same >= 85 * (len(base) + len(other) - same) and len(base) + len(other) > 2 * same:
+            if same and 100 * same >= rule.percent * (len(base) + len(other) - same) and len(base) + len(other) > 2 * same:
                 assert np.intersect1d(ngram_join.bucket_keys(base, rule), ngram_join.bucket_keys(other, rule)).size
                 apart = ngram_join.bits_apart(ngram_join.parity_bitmap(base), ngram_join.parity_bitmap(other))
                 assert apart <= len(base) + len(other) - 2 * same

@@ -23,7 +23,7 @@ def test_stages_work_on_what_the_one_before_kept(spark):
     assert rows(kept, "doc_id") == sorted(((x[0],) for x in want_exact(texts) if x[3]), key=repr)
     given, kept = seen["ngram_join"]
     texts = [(r.doc_id, r.text) for r in given.collect()]
-    assert rows(kept, "doc_id") == sorted(((x[0],) for x in want_components(texts) if x[0] == x[2]), key=repr)
+    assert rows(kept, "doc_id") == sorted(((x[0],) for x in want_components(texts, words=5, percent=80) if x[0] == x[2]), key=repr)
     given, packed = seen["best_fit_packing"]
     packed = packed.collect()
     check_sequences(packed)
@@ -33,4 +33,4 @@ def test_stages_work_on_what_the_one_before_kept(spark):
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
-    assert ngram_join.NgramRule().percent == 85
+    assert ngram_join.NgramRule() == ngram_join.NgramRule(words=5, percent=80)
