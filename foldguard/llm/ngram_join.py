@@ -370,12 +370,13 @@ def near_duplicates(docs: DataFrame, rule: NgramRule = NgramRule()) -> DataFrame
     labels = stage(components(links), "ngram-labels")
     closest_only, ended = True, buckets.isEmpty()
     while not ended:
-        pairs = _cross_pairs(buckets, classes, labels, rule, closest_only)
-        pairs = stage(pairs.join(tested, ["a", "b"], "left_anti"), "ngram-pairs")
+        found = stage(_cross_pairs(buckets, classes, labels, rule, closest_only), "ngram-cross")
+        pairs = stage(found.join(tested, ["a", "b"], "left_anti"), "ngram-pairs")
         some_pairs = not pairs.isEmpty()
         more = _links(docs, pairs, rule) if some_pairs else pairs
         tested = tested.unionByName(pairs)
-        ended = not closest_only or not some_pairs  # no closest pair: there is no other pair either
+        # A tested closest pair that does not link hides the others of its two components: only a round of all pairs is the last.
+        ended = not closest_only or (not some_pairs and found.isEmpty())
         if not some_pairs or more.isEmpty():
             closest_only = False  # once the closest pairs link no more, all pairs left are tested
         else:

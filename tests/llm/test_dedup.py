@@ -176,3 +176,17 @@ def test_near_copy_stage_keeps_one(table):
     text = " ".join(f"w{i}" for i in range(200))
     kept = ngram_join.keep_one_of_each(table([(3, text), (1, text + " more"), (2, "other words stand here now"), (9, None), (None, text)]))
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == [1, 2, 9, None]
+
+
+def test_a_closest_pair_that_does_not_link_hides_no_other(table):
+    rng = random.Random(3437)  # by bitmap bits the pair that does not link (34 apart) is closer than the one that does (32)
+    b = [f"v{rng.randint(0, 10**6)}" for _ in range(203)]
+    a, c = [*b[:-1], "other"], b[:]
+    for at in (20, 60, 100, 140):
+        c[at] = f"u{rng.randint(0, 10**6)}"
+    texts = [" ".join(x) for x in (a, b, c)]
+    x, y, z = map(ngram_join.parity_bitmap, ngram_join.ngram_sets(texts, 4))
+    assert ngram_join.bits_apart(x, z) < ngram_join.bits_apart(y, z)
+    documents = list(enumerate(texts))
+    assert {r[2] for r in want_components(documents)} == {0}
+    assert rows(ngram_join.near_duplicates(table(documents), CONTRACT), *NEAR) == want_components(documents)
