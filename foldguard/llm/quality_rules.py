@@ -4,7 +4,9 @@ References are learned from the corpus itself: per value of ``lang`` the mean sh
 documents that pass the base rules, and the shares of the language's common short words, counted over all of them.
 A document is compared with every reference by the Jensen-Shannon distance (base 2, 0 to 1); the nearest reference
 counts, so a wrong or missing language label does no harm. Short documents say little about shares, so each test has a
-minimum length below which it is not applied.
+minimum length below which it is not applied. Nor is a test applied where no reference can speak for the document: both need a
+reference whose language is written in the document's script, the common-word test also one of the language that the document is
+labelled with. An unlabelled document in a known script is taken for one of the known languages.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import functools
 import sys
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .base import BLANK_BYTES, id_and_text, reachable, runs
+from .base import BLANK_BYTES, reachable, runs
 
 #: Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -45,7 +47,8 @@ class QualityRules:
     reference_min_words: int = 50  # shorter documents are not learned from
     reference_max_symbols: float = 0.1  # nor those with more symbols per word
     reference_max_capitals: float = 0.3  # nor those with a larger share of capitals among their cased letters
-    reference_min_documents: int = 20  # languages with fewer such documents have no reference
+    reference_min_documents: int = 20  # languages with fewer such documents have no reference; nothing rejects theirs for it
+    script_share: float = 0.2  # scripts with at least this share of a language's letters are its own
 
     def base_failed(self, n_words: np.ndarray, n_repeat: np.ndarray) -> np.ndarray:
         return (n_words < self.min_words) | (100 * n_repeat > self.max_repeat_percent * n_words)
@@ -65,6 +68,20 @@ def _class_table() -> np.ndarray:
     return table
 
 
+@functools.cache
+def _script_table() -> tuple[np.ndarray, list[str]]:
+    """The script of every letter and mark by number, from the first word of its Unicode name, and the names; 0 is none."""
+    no_script = ("COMBINING", "MODIFIER", "FEMININE", "MASCULINE", "VARIATION", "MATHEMATICAL", "FULLWIDTH", "HALFWIDTH", "SUPERSCRIPT", "SUBSCRIPT")
+    names = {"": 0}
+    table = np.zeros(sys.maxunicode + 1, np.uint8)
+    for cp in np.flatnonzero(_class_table() <= 3):
+        name = unicodedata.name(chr(cp), "").split(" ")[0].split("-")[0]
+        if name not in no_script and (name in names or len(names) < 256):
+            table[cp] = names.setdefault(name, len(names))
+    table[[0xAA, 0xB5, 0xBA]] = 0
+    return table, list(names)
+
+
 class _Measured:
     """Counts of a run of texts; words are numbered within the run."""
 
@@ -88,6 +105,14 @@ class _Measured:
         where = np.repeat(np.arange(n), [len(t) for t in texts])
         k = len(CLASSES)
         self.classes = np.bincount(where * k + _class_table()[points], minlength=n * k).reshape(n, k).astype(float)
+        # Scripts are looked up for all but ASCII letters, which are Latin.
+        table, self.script_names = _script_table()
+        k, latin = len(self.script_names), self.script_names.index("LATIN")
+        far = points >= 128
+        self.scripts = np.bincount(where[far] * k + table[points[far]], minlength=n * k).reshape(n, k)
+        letters = ((points | 32) >= 97) & ((points | 32) <= 122)
+        self.scripts[:, latin] += np.bincount(where[letters], minlength=n)
+        self.scripts[:, 0] = 0
 
     def _in_repeated_windows(self, n: int) -> np.ndarray:
         """Words inside a window that occurs twice or more in their text; exact, by ranking windows of 2, 4, 8 words."""
@@ -111,6 +136,11 @@ class _Measured:
         covered = np.cumsum(change[:-1]) > 0
         return np.bincount(self.doc[covered], minlength=n)
 
+    def script(self) -> np.ndarray:
+        """The script of most letters of each text; empty where fewer than half of its characters but blanks have a script."""
+        names = np.array(self.script_names, dtype=object)[self.scripts.argmax(axis=1)] if len(self.scripts) else np.zeros(0, object)
+        return np.where(2 * self.scripts.sum(axis=1) >= np.maximum(self.word_chars, 1), names, "")
+
     def common_forms(self, letters: int) -> list[str]:
         """For each word of the vocabulary its lower-case form if it is short and made of letters, else an empty text."""
         forms = []
@@ -145,17 +175,29 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class References:
-    """By language: shares of character classes, and shares of common words with the rest in the last place."""
+    """By language: shares of character classes, shares of common words with the rest in the last place, and its scripts.
+
+    A language speaks for the documents of each script that at least ``script_share`` of its letters belong to; one without
+    scripts, for all.
+    """
 
     classes: dict[str, np.ndarray]
     words: dict[str, dict[str, float]]
+    scripts: dict[str, set[str]] = field(default_factory=dict)
+
+    def speaks_for(self, scripts: np.ndarray) -> np.ndarray:
+        """Whether a reference is written in each of these scripts; texts without a script are compared with all."""
+        if any(not self.scripts.get(lang) for lang in self.classes):
+            return np.ones(len(scripts), bool)
+        known = ["", *set().union(*self.scripts.values())]
+        return np.isin(scripts.astype(str), known)
 
 
 def learn_references(docs: DataFrame, rules: QualityRules = QualityRules()) -> References:
     """References of all languages, from every document that passes the base rules.
 
-    What reaches the driver is bounded: one row of class shares per language, and at most ``1 / common_word_share``
-    words per language. Documents without a language or text teach nothing.
+    What reaches the driver is bounded: one row of class shares and of scripts per language, and at most
+    ``1 / common_word_share`` words per language. Documents without a language or text teach nothing.
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,8 +213,10 @@ def learn_references(docs: DataFrame, rules: QualityRules = QualityRules()) -> R
                 share = _shares(m.classes[mine]).sum(axis=0)
                 counts = np.bincount(m.ids[mine[m.doc]], minlength=len(forms))
                 used = np.flatnonzero((counts > 0) & (forms != ""))
-                names = [f"class {i}" for i in range(len(share))] + ["documents", "words"] + [f"word {w}" for w in forms[used]]
-                values = [*share, float(mine.sum()), float(m.n_words[mine].sum()), *counts[used].astype(float)]
+                letters = m.scripts[mine].sum(axis=0)
+                seen = np.flatnonzero(letters)
+                names = [f"class {i}" for i in range(len(share))] + ["documents", "words"] + [f"script {m.script_names[i]}" for i in seen] + [f"word {w}" for w in forms[used]]
+                values = [*share, float(mine.sum()), float(m.n_words[mine].sum()), *letters[seen].astype(float), *counts[used].astype(float)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(names)), pa.array(names), pa.array(values, pa.float64())], ["lang", "what", "value"]
                 )
@@ -186,6 +230,10 @@ def learn_references(docs: DataFrame, rules: QualityRules = QualityRules()) -> R
         total.setdefault(r.lang, {})[r.what] = r.value
     total = {k: v for k, v in total.items() if v["documents"] >= rules.reference_min_documents}
     classes = {k: _shares(np.array([v[f"class {i}"] for i in range(len(CLASSES))])) for k, v in total.items()}
+    scripts = {}
+    for lang, v in total.items():
+        letters = {what[7:]: n for what, n in v.items() if what.startswith("script ")}
+        scripts[lang] = {name for name, n in letters.items() if n >= rules.script_share * sum(letters.values())}
     words = sums.filter("what LIKE 'word %'").join(
         sums.filter("what = 'words'").select("lang", F.col("value").alias("all_words")), "lang"
     ).filter(F.col("value") >= rules.common_word_share * F.col("all_words"))
@@ -193,7 +241,7 @@ def learn_references(docs: DataFrame, rules: QualityRules = QualityRules()) -> R
     for r in words.collect():
         if r.lang in common:
             common[r.lang][r.what[5:]] = r.value / r.all_words
-    return References(classes, common)
+    return References(classes, common, scripts)
 
 
 _VERDICT = (
@@ -206,10 +254,10 @@ def quality_rules(docs: DataFrame, references: References, rules: QualityRules =
     """One row per document with its counts, distances and verdict; ``with_input`` puts a struct of all input columns first.
 
     Null and empty texts have no words and fail the base rules. A distance is NULL where the text is too short for it or
-    no reference exists; a NULL distance rejects nothing. Rows that repeat are judged one by one; an empty table gives
-    no rows. Without ``with_input`` no column but ``doc_id`` and ``text`` is read.
+    no reference can speak for it; a NULL distance rejects nothing. Rows that repeat are judged one by one; an empty table gives
+    no rows. Without ``with_input`` no column but ``doc_id``, ``text`` and, if there is one, ``lang`` is read.
     """
-    langs = sorted(references.classes)
+    langs, labelled = sorted(references.classes), "lang" in docs.columns
     forms = sorted({w for lang in langs for w in references.words[lang]})
     place = {w: i for i, w in enumerate(forms)}
     word_reference = {}
@@ -228,10 +276,13 @@ def quality_rules(docs: DataFrame, references: References, rules: QualityRules =
             base = rules.base_failed(m.n_words, m.n_repeat_words)
             by_class, by_word = np.full(n, np.nan), np.full(n, np.nan)
             if langs:
-                rows = np.flatnonzero(m.n_words >= rules.short_min_words)
+                spoken = references.speaks_for(m.script())
+                labels = batch.column("lang").to_pylist() if labelled else [None] * n
+                named = spoken & np.array([x is None or x in references.classes for x in labels], bool)
+                rows = np.flatnonzero((m.n_words >= rules.short_min_words) & spoken)
                 p = _shares(m.classes[rows])
                 by_class[rows] = np.min([distance(p, references.classes[x]) for x in langs], axis=0) if len(rows) else []
-                rows = np.flatnonzero(m.n_words >= rules.word_min_words)
+                rows = np.flatnonzero((m.n_words >= rules.word_min_words) & named)
                 for part in np.array_split(rows, max(1, len(rows) * k // 2_000_000)):
                     inside = np.isin(m.doc, part)
                     at = np.searchsorted(part, m.doc[inside])
@@ -239,8 +290,8 @@ def quality_rules(docs: DataFrame, references: References, rules: QualityRules =
                     by_word[part] = np.min([distance(p, word_reference[x]) for x in langs], axis=0) if len(part) else []
             most = np.where(m.n_words >= rules.class_min_words, rules.max_class_distance, rules.short_max_distance)
             kept = ~base & ~(by_class > most) & ~(by_word > rules.max_word_distance)
-            head = list(batch.columns) if with_input else [batch.column("doc_id")]
-            names = list(batch.schema.names) if with_input else ["doc_id"]
+            head = [batch.column("row")] if with_input else [batch.column("doc_id")]
+            names = ["row"] if with_input else ["doc_id"]
             yield pa.RecordBatch.from_arrays(
                 head
                 + [pa.array(x, pa.int64()) for x in (m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words)]
@@ -249,8 +300,9 @@ def quality_rules(docs: DataFrame, references: References, rules: QualityRules =
                 names + [x.split()[0] for x in _VERDICT.split(", ")],
             )
 
+    lang = [F.col("lang").cast("string").alias("lang")] if labelled else []
     if with_input:
-        one = reachable(docs).select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("text").alias("text"))
-        kinds = f"row {one.schema['row'].dataType.simpleString()}, text string, {_VERDICT}"
-        return one.mapInArrow(judge, kinds).drop("text")
-    return id_and_text(docs, keep_null=True).mapInArrow(judge, f"doc_id bigint, {_VERDICT}")
+        one = reachable(docs).select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("text").alias("text"), *lang)
+        return one.mapInArrow(judge, f"row {one.schema['row'].dataType.simpleString()}, {_VERDICT}")
+    both = reachable(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *lang)
+    return both.mapInArrow(judge, f"doc_id bigint, {_VERDICT}")

@@ -227,3 +227,24 @@ def test_queries_agree_with_sql(spark, name):
     got = sorted((tuple(r[n] for n in names) for r in df.collect()), key=repr)
     want = con.sql(queries.ORACLE_SQL[name]).project(", ".join(f'"{n}"' for n in names)).fetchall()
     assert got == sorted(map(tuple, want), key=repr)
+
+
+def test_no_reference_rejects_documents_it_cannot_speak_for(table):
+    rng = random.Random(4)
+    common = ["the", "of", "and", "a", "to", "in"]
+
+    def prose(letters, short=()):
+        return " ".join(rng.choice(short) if short and rng.random() < 0.8 else "".join(rng.choice(letters) for _ in range(rng.randint(6, 9))) for _ in range(150)) + "."
+
+    latin, korean, arabic = "abcdefghijklmnopqrstuvwxyz", "가나다라마바사아자차카타파하", "ابتثجحخدذرزسشصضطظعغ"
+    documents = [(i, prose(latin, common), "en", "s") for i in range(40)]
+    documents += [(100 + i, prose(korean), "ko", "s") for i in range(19)] + [(200, prose(korean), None, "s"), (201, prose(arabic), "ar", "s"), (202, prose(arabic), "en", "s")]
+    documents += [(210, prose(latin, ["cua", "va", "mot"]), "vi", "s")]
+    junk = [(300, " ".join(rng.choice(["#$%", "&*|", "<>9", "7&1"]) + str(rng.randint(0, 999)) for _ in range(150)), None, "s"), (301, prose(latin), "en", "s")]
+    docs = table(documents + junk)
+    judged = {r.doc_id: r for r in quality_rules.quality_rules(docs, quality_rules.learn_references(docs)).collect()}
+    assert sorted(i for i, r in judged.items() if not r.kept) == [300, 301]
+    assert all(judged[i].class_distance is None and judged[i].word_distance is None for i in (100, 118, 200, 201, 202))
+    assert judged[210].class_distance is not None and judged[210].word_distance is None
+    more = table(documents + [(119, prose(korean), "ko", "s")])
+    assert sorted(quality_rules.learn_references(more).scripts.items()) == [("en", {"LATIN"}), ("ko", {"HANGUL"})]
