@@ -248,3 +248,36 @@ def test_no_reference_rejects_documents_it_cannot_speak_for(table):
     assert judged[210].class_distance is not None and judged[210].word_distance is None
     more = table(documents + [(119, prose(korean), "ko", "s")])
     assert sorted(quality_rules.learn_references(more).scripts.items()) == [("en", {"LATIN"}), ("ko", {"HANGUL"})]
+
+
+def test_wrapped_headers_and_licence_files(spark):
+    gnu = """/* This program is free software{}: you can redistribute it and/or modify
+ * it under the terms of the GNU {} as published by
+ * the Free Software Foundation, either version {} of the License, or
+ * (at your option) any later version.
+ */
+int main(void) {{ return 0; }}"""
+    bsd = """# Copyright (c) 2020, A. Writer. All rights reserved.
+# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are met:
+# 1. Redistributions of source code must retain the above copyright notice, this
+#    list of conditions and the following disclaimer.
+# 2. Redistributions in binary form must reproduce the above copyright notice,
+#    this list of conditions and the following disclaimer in the documentation
+#    and/or other materials provided with the distribution.
+"""
+    texts = {
+        "GPL-3.0": gnu.format("", "General Public License", "3"),
+        "GPL-2.0": gnu.format("", "General Public License", "2"),
+        "LGPL-2.1": gnu.format("", "Lesser General Public License", "2.1"),
+        "AGPL-3.0": gnu.format("", "Affero General Public License", "3"),
+        "MPL-2.0": "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, You can obtain one at https://mozilla.org/MPL/2.0/.\nfn main() {}",
+        "ISC": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n",
+        "BSD-2-Clause": bsd,
+        "BSD-3-Clause": bsd + "# 3. Neither the name of the copyright holder nor the names of its\n#    contributors may be used to endorse or promote products.\n",
+    }
+    head = "GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n Preamble\n"
+    rows = [(i, f"own/{name}.c", text) for i, (name, text) in enumerate(texts.items())]
+    rows += [(50, "lib/COPYING", head), (51, "lib/src/a.c", "int a;"), (52, "x.c", "the GNU people and their permission")]
+    got = {r.doc_id: (r.licence, r.inherited_from) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id bigint, path string, text string")).collect()}
+    assert got == {i: (name, None) for i, name in enumerate(texts)} | {50: ("GPL-3.0", None), 51: ("GPL-3.0", "lib"), 52: (None, None)}
