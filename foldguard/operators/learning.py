@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -98,14 +100,17 @@ def compare_models(
 
 def grid_search(
     df: DataFrame, factory: Callable[..., Estimator], grid: Mapping[str, Sequence], target: str,
-    search_fold: str, search_folds: int, score_fold: str, score_folds: int,
+    search_fold: str, search_folds: int, score_fold: str, score_folds: int, parallelism: int = 4,
 ) -> tuple[DataFrame, dict]:
-    """Try every combination on the search folds, then score the best again on the other folds."""
-    rows, spark = [], df.sparkSession
-    for values in product(*grid.values()):
-        params = dict(zip(grid, values))
-        score = metrics_over_folds(fold_scores(df, factory(**params), target, search_fold, search_folds)).first()
-        rows.append((*[float(v) for v in values], score["r2_mean"], score["r2_std"]))
+    """Try every combination on the search folds, several at a time, then score the best again on the other folds."""
+    spark = df.sparkSession
+
+    def tried(values: tuple) -> tuple:
+        score = metrics_over_folds(fold_scores(df, factory(**dict(zip(grid, values))), target, search_fold, search_folds)).first()
+        return (*[float(v) for v in values], score["r2_mean"], score["r2_std"])
+
+    with ThreadPool(parallelism) as pool:
+        rows = pool.map(inheritable_thread_target(spark)(tried), list(product(*grid.values())), 1)
     best = max(range(len(rows)), key=lambda i: (rows[i][-2], -i))
     chosen = dict(zip(grid, list(product(*grid.values()))[best]))
     honest = metrics_over_folds(fold_scores(df, factory(**chosen), target, score_fold, score_folds)).first()

@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +91,25 @@ def test_fold_local_model(rows):
         lambda df, f: features.preprocessed_for_fold(df, table, f, ["x1"]),
     )
     assert out.filter("prediction is null").count() == 0 and out.count() == 1200
+
+
+def test_tree_queries_run_the_whole_job(spark, monkeypatch):
+    from foldguard.plans import learning as plans
+
+    seen = {}
+
+    def compared(df, models, target, fold, folds, split):
+        seen["compare"] = (models["forest"].getStages()[-1].getNumTrees(), models["boosting"].getStages()[-1].getMaxIter(), folds)
+        return df.limit(1).withColumn("model", F.lit("ridge")), "ridge"
+
+    def searched(df, factory, grid, target, search_fold, search_folds, score_fold, score_folds):
+        params = {k: v[0] for k, v in grid.items()}
+        seen["grid"] = (type(factory(**params).getStages()[-1]).__name__, math.prod(len(v) for v in grid.values()), score_folds)
+        assert sorted(r[0] for r in df.select(score_fold).distinct().collect()) == list(range(score_folds))
+        return df.limit(1), {**params, "r2_mean": 0.0}
+
+    monkeypatch.setattr(plans.learning, "compare_models", compared)
+    monkeypatch.setattr(plans.learning, "grid_search", searched)
+    plans.ml_compare(spark, "/root/testdata/sf0.001")
+    plans.ml_grid(spark, "/root/testdata/sf0.001")
+    assert seen == {"compare": (300, 500, 5), "grid": ("GBTRegressor", 16, 5)}
