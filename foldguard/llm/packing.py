@@ -32,7 +32,7 @@ ROUNDS = 4
 REMEMBERED_IDS = 1_200_000  # pieces of text whose ids a worker keeps
 
 _PIECES = "uid bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-_PACKED = f"{_PIECES}, unit bigint, bin bigint, offset bigint, open boolean"
+_PACKED = f"{_PIECES}, unit bigint, bin bigint, offset bigint, open boolean, gap boolean"
 
 _ENCODERS: dict[str, Remembered] = {}
 
@@ -159,7 +159,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, unit_rows: int = UNIT_ROWS,
         lengths = unit["length"].to_numpy()
         bins, offsets, free = best_fit(lengths, capacity)
         gap = len(free) > lower_bound(lengths, capacity)
-        return unit.assign(bin=bins, offset=offsets, open=gap & (free[bins] > 0))
+        return unit.assign(bin=bins, offset=offsets, open=gap & (free[bins] > 0), gap=gap)
 
     full = parts.filter(F.col("length") == capacity).select(
         *parts.columns, (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"), F.lit(True).alias("certified")
@@ -175,7 +175,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, unit_rows: int = UNIT_ROWS,
         final = turn == rounds - 1 or units == 1 or number == 0
         sequence = F.lit(turn << 56) + F.shiftleft(F.col("unit"), 28) + F.col("bin")
         closed = packed if final else packed.filter("NOT open")
-        done.append(closed.select(*parts.columns, sequence.alias("sequence_id"), "offset", (~F.col("open")).alias("certified")))
+        done.append(closed.select(*parts.columns, sequence.alias("sequence_id"), "offset", (~F.col("gap")).alias("certified")))
         if final:
             break
     out = done[0]

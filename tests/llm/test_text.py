@@ -281,3 +281,12 @@ int main(void) {{ return 0; }}"""
     rows += [(50, "lib/COPYING", head), (51, "lib/src/a.c", "int a;"), (52, "x.c", "the GNU people and their permission")]
     got = {r.doc_id: (r.licence, r.inherited_from) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id bigint, path string, text string")).collect()}
     assert got == {i: (name, None) for i, name in enumerate(texts)} | {50: ("GPL-3.0", None), 51: ("GPL-3.0", "lib"), 52: (None, None)}
+
+
+def test_full_sequences_of_a_unit_that_missed_its_bound_are_not_certified(spark):
+    lengths = [2, 3, 5, 6, 7, 2, 2, 3]  # best fit takes four sequences, the bound is three
+    rows = [(i, i, 0, 0, n, 0) for i, n in enumerate(lengths)]
+    parts = spark.createDataFrame(rows, "uid bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    got = packing.pack(parts, capacity=10).collect()
+    missed = len({r.sequence_id for r in got}) > packing.lower_bound(np.array(lengths), 10)
+    assert missed and not any(r.certified for r in got)
