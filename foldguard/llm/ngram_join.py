@@ -121,7 +121,9 @@ def bits_apart(a: bytes, b: bytes) -> int:
 
 def bucket_keys(hashes: np.ndarray, rule: NgramRule) -> np.ndarray:
     """Names of the buckets that a set enters: one for each tile, in its own band and, if it can be the larger one, the band below."""
-    n, keys, below = len(hashes), [], None
+    n, keys = len(hashes), []
+    if n == 0:
+        return np.zeros(0, np.uint64)  # an empty set links with nothing and has no band
     for number, (low, high) in enumerate(rule.bands()):
         own = low <= n <= high
         if own or n <= rule.largest_partner(high) and n > high:

@@ -133,6 +133,18 @@ def test_near_copies_on_edge_cases(edges, no_rows):
     assert ngram_join.near_duplicates(no_rows).count() == 0
 
 
+def test_sets_without_hashes_have_no_bucket():
+    assert all(len(ngram_join.bucket_keys(np.zeros(0, np.uint64), r)) == 0 for r in (CONTRACT, ngram_join.NgramRule()))
+    one, two = np.array([7], np.uint64), np.array([7, 9], np.uint64)
+    assert all(len(ngram_join.bucket_keys(x, CONTRACT)) < 20 for x in (one, two))
+
+
+def test_blank_texts_link_with_nothing(table):
+    documents = [(1, None), (2, ""), (3, " \t\r\n"), (4, None), (2, "")]
+    got = ngram_join.near_duplicates(table(documents), CONTRACT)
+    assert rows(got, *NEAR) == sorted((i, 0, i) for i, _ in documents)
+
+
 @pytest.mark.parametrize("rule", [CONTRACT, ngram_join.NgramRule()], ids=["contract", "default"])
 def test_near_copies_in_chains_and_large_groups(table, monkeypatch, rule):
     monkeypatch.setattr(ngram_join, "TILE_ROWS", 16)  # buckets are compared in blocks
