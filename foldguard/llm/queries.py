@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, language_id, license_scan, mixing, ngram_join, packing, quality_rules, suffix_dedup, token_counts
+from . import chat_format, exact_dedup, language_id, license_scan, merkle, mixing, ngram_join, packing, quality_rules, suffix_dedup, token_counts
 from .base import conversations, documents
+from .sql_twins import manifest_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -192,3 +193,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return language_id.predict(docs, language_id.train(docs))
+
+
+@_query(manifest_sql())
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_check(documents(spark, sf_dir))
