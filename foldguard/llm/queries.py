@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, language_id, license_scan, merkle, mixing, ngram_join, packing, quality_rules, suffix_dedup, token_counts
+from . import chat_format, exact_dedup, language_id, license_scan, merkle, mixing, ngram_join, packing, prefix_trie, quality_rules, suffix_dedup, token_counts
 from .base import conversations, documents
-from .sql_twins import manifest_sql
+from .sql_twins import manifest_sql, trie_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -198,3 +198,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(manifest_sql())
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest_check(documents(spark, sf_dir))
+
+
+@_query(trie_sql())
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turn_table(conversations(spark, sf_dir))
+    return prefix_trie.prefix_trie(prefix_trie.with_shared_heads(turns)).drop("node")

@@ -66,3 +66,34 @@ def manifest_sql(group_levels: int = 6, root_levels: int = 5) -> str:
         ctes.append(f"w{k} AS (SELECT * REPLACE (CASE WHEN n{k} > 1 THEN sha256(l{k} || folded || r{k}) ELSE folded END AS folded) FROM {'paths' if k == 0 else f'w{k - 1}'})")
     return f"""WITH {', '.join(ctes)}
 SELECT doc_id, leaf, subroot, root, proof_sha256, folded AS folded_root, folded = root AS verified FROM w{root_levels - 1}"""
+
+
+def trie_sql() -> str:
+    """Every pair of a beginning and one that goes on from it, counted; for small tables."""
+    return f"""WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes,
+         sha256(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+  FROM conversations WHERE conv_id IS NOT NULL
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 32), digest) - 1 AS place FROM t
+), ids AS (SELECT conv_id, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)
+), rebuilt AS (
+  SELECT conv_id, place, digest, n_bytes FROM placed JOIN ids USING (conv_id) WHERE place >= h
+  UNION ALL SELECT i.conv_id, p.place, p.digest, p.n_bytes FROM ids i JOIN placed p ON p.conv_id = i.conv_id - i.conv_id % 5 WHERE p.place < i.h
+), paths AS (
+  SELECT conv_id, row_number() OVER w AS depth, string_agg(digest, '') OVER w AS path, n_bytes
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM ids
+), sized AS (SELECT *, max(depth) OVER (PARTITION BY conv_id) AS last FROM paths
+), nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n_bytes) AS n_bytes,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = last), '')) AS ends_sha256
+  FROM sized GROUP BY path, depth
+), kids AS (SELECT left(path, length(path) - 64) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), below AS (SELECT DISTINCT a.path, b.path AS other FROM paths a JOIN paths b ON a.conv_id = b.conv_id AND b.depth >= a.depth
+), sums AS (
+  SELECT below.path, CAST(sum((n.n_convs - 1) * n.n_bytes) AS BIGINT) AS saved_tokens, count(*) FILTER (k.path IS NULL) AS n_leaves
+  FROM below JOIN nodes n ON n.path = below.other LEFT JOIN kids k ON k.path = below.other GROUP BY below.path
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s USING (path) LEFT JOIN kids k USING (path) LEFT JOIN nodes p ON n.depth > 0 AND p.path = left(n.path, length(n.path) - 64)"""
