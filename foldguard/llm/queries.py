@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, language_id, license_scan, merkle, mixing, ngram_join, packing, prefix_trie, quality_rules, suffix_dedup, token_counts
+from . import chat_format, exact_dedup, language_id, license_scan, merkle, mixing, ngram_join, packing, prefix_trie, quality_rules, simhash, suffix_dedup, token_counts
 from .base import conversations, documents
 from .sql_twins import manifest_sql, trie_sql
 
@@ -195,6 +195,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.train(docs))
 
 
+@_query()
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(documents(spark, sf_dir))
+
+
 @_query(manifest_sql())
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest_check(documents(spark, sf_dir))
