@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.sql import DataFrame
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import seeded_md5
 from ..session import stage
+from .boosting import BoostSettings, CellBoosting
 from .metrics import metrics_over_folds, one_row, regression_metrics
 from .ranking import global_rank
 
@@ -25,8 +27,8 @@ PREDICTION = "prediction"
 
 def model_registry(
     features: Sequence[str], target: str, rows: int, seed: int = 42, trees: int = 300, rounds: int = 500
-) -> dict[str, Pipeline]:
-    """Named estimators over plain columns: scaled ridge, forest, boosted trees.
+) -> dict[str, Pipeline | CellBoosting]:
+    """Named models over plain columns: scaled ridge, forest, boosted trees.
 
     The ridge penalty of 1 on summed squares is ``1 / rows`` in Spark's averaged loss.
     """
@@ -35,11 +37,11 @@ def model_registry(
     ridge = LinearRegression(
         featuresCol="_scaled", labelCol=target, elasticNetParam=0.0, regParam=1.0 / max(1, rows), standardization=False
     )
-    common = {"featuresCol": "_vector", "labelCol": target, "seed": seed, "maxDepth": 6}
+    forest = RandomForestRegressor(featuresCol="_vector", labelCol=target, seed=seed, maxDepth=6, numTrees=trees)
     return {
         "ridge": Pipeline(stages=[assemble, scale, ridge]),
-        "forest": Pipeline(stages=[assemble, RandomForestRegressor(numTrees=trees, **common)]),
-        "boosting": Pipeline(stages=[assemble, GBTRegressor(maxIter=rounds, stepSize=0.05, **common)]),
+        "forest": Pipeline(stages=[assemble, forest]),
+        "boosting": CellBoosting(tuple(features), target, BoostSettings(rounds=rounds, step=0.05, leaves=0, depth=6, min_rows=1)),
     }
 
 
@@ -50,20 +52,25 @@ def least_squares(features: Sequence[str], target: str) -> Pipeline:
 
 
 def out_of_fold(
-    df: DataFrame, estimator: Estimator, fold: str, folds: int,
-    prepare: Callable[[DataFrame, int], DataFrame] | None = None,
+    df: DataFrame, estimator: Estimator | CellBoosting, fold: str, folds: int | Sequence[int],
+    prepare: Callable[[DataFrame, int], DataFrame] | None = None, parallelism: int = 4,
 ) -> DataFrame:
     """Predict each row by a model that was fitted without its fold.
 
-    ``prepare(rows, f)`` may preprocess the rows for the model of fold ``f``.
+    ``prepare(rows, f)`` may preprocess the rows for the model of fold ``f``. Several folds are fitted at a time.
     """
-    out = None
-    for f in range(folds):
+    numbers = list(range(folds)) if isinstance(folds, int) else list(folds)
+    if isinstance(estimator, CellBoosting):
+        return estimator.held_out(df, fold, numbers)
+
+    def one(f: int) -> DataFrame:
         rows = df if prepare is None else prepare(df, f)
         model = estimator.fit(rows.filter(F.col(fold) != f))
-        part = model.transform(rows.filter(F.col(fold) == f)).select(*df.columns, PREDICTION)
-        out = part if out is None else out.unionByName(part)
-    return out
+        return model.transform(rows.filter(F.col(fold) == f)).select(*df.columns, PREDICTION)
+
+    with ThreadPool(max(1, min(parallelism, len(numbers)))) as pool:
+        parts = pool.map(inheritable_thread_target(df.sparkSession)(one), numbers, 1)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def fold_scores(df: DataFrame, estimator: Estimator, target: str, fold: str, folds: int) -> DataFrame:
@@ -80,14 +87,14 @@ def cross_validated(df: DataFrame, estimators: Mapping[str, Estimator], target:
 
 
 def compare_models(
-    df: DataFrame, estimators: Mapping[str, Estimator], target: str, fold: str, folds: int, split: str
+    df: DataFrame, estimators: Mapping[str, Estimator | CellBoosting], target: str, fold: str, folds: int, split: str
 ) -> tuple[DataFrame, str]:
     """Cross-validated and holdout metrics side by side, and the model with the best CV R²."""
     cv = cross_validated(df, estimators, target, fold, folds)
+    sides = df.withColumn("_side", F.when(F.col(split) == "test", 0).when(F.col(split) == "train", 1))
     held = None
     for name, estimator in estimators.items():
-        model = estimator.fit(df.filter(F.col(split) == "train"))
-        scored = model.transform(df.filter(F.col(split) == "test"))
+        scored = out_of_fold(sides, estimator, "_side", [0])  # the test side is the fold that is held out
         row = regression_metrics(scored, target, PREDICTION).select(
             F.lit(name).alias("model"), F.col("mae").alias("holdout_mae"),
             F.col("rmse").alias("holdout_rmse"), F.col("r2").alias("holdout_r2"),

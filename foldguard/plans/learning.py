@@ -6,13 +6,13 @@ checked for rows here and for their behaviour in the tests.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from itertools import product
+
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_key
-from ..operators import features, learning, metrics, topk
+from ..operators import boosting, features, learning, metrics, topk
+from ..operators.boosting import BoostSettings
 from ..operators.cleaning import threshold_subsets
 from ..operators.splits import hash_fold, hash_holdout
 from ..session import new_location, spread, stage
@@ -20,6 +20,7 @@ from .base import SPELLED, TEST_CUT, query, rounded, spelled_orders, sql_bucket,
 
 FOLDS = 3  # of the queries with a SQL twin, which counts three folds, and of the grid's search
 TREE_FOLDS = 5
+GRID_FOLDS = 3
 
 # --- least squares in SQL ------------------------------------------------------------------
 
@@ -282,14 +283,15 @@ def ml_compare(spark, sf_dir):
     return comparison.withColumn("is_best", F.col("model") == best)
 
 
+def grid_settings() -> dict[str, BoostSettings]:
+    """The grid's steps, leaves, penalties and rounds."""
+    axes = {"step": [0.05, 0.1], "leaves": [31, 63], "l2": [0.0, 1.0], "rounds": [200, 400]}
+    return {"_".join(map(str, v)): BoostSettings(**dict(zip(axes, v, strict=True))) for v in product(*axes.values())}
+
+
 @query("L3")
 def ml_grid(spark, sf_dir):
     """Grid search of boosted trees on three group folds of one seed, honest scores on five of another."""
-    def factory(**params):
-        vector = VectorAssembler(inputCols=["x1", "x2", "x3"], outputCol="_vector")
-        return Pipeline(stages=[vector, GBTRegressor(featuresCol="_vector", labelCol="y", seed=42, **params)])
-
-    # Depths 5 and 6 stand for 31 and 63 leaves; rows per leaf for the penalty, which Spark's boosting lacks.
-    grid = {"stepSize": [0.05, 0.1], "maxDepth": [5, 6], "minInstancesPerNode": [1, 20], "maxIter": [200, 400]}
-    found, best = learning.grid_search(tree_rows(spark, sf_dir), factory, grid, "y", "fold2", FOLDS, "fold5", TREE_FOLDS)
-    return found.withColumns({"best_r2_mean": F.lit(best["r2_mean"]), "best_depth": F.lit(best["maxDepth"])})
+    df = tree_rows(spark, sf_dir)
+    found, best = boosting.boosted_grid(df, ["x1", "x2", "x3"], "y", grid_settings(), "fold2", GRID_FOLDS, "fold5", TREE_FOLDS)
+    return found.withColumns({"is_best": F.col("name") == best["name"], "best_r2_mean": F.lit(best["r2_mean"]), "best_r2_std": F.lit(best["r2_std"])})

@@ -1,5 +1,3 @@
-import math
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,17 +97,16 @@ def test_tree_queries_run_the_whole_job(spark, monkeypatch):
     seen = {}
 
     def compared(df, models, target, fold, folds, split):
-        seen["compare"] = (models["forest"].getStages()[-1].getNumTrees(), models["boosting"].getStages()[-1].getMaxIter(), folds)
+        seen["compare"] = (models["forest"].getStages()[-1].getNumTrees(), models["boosting"].settings.rounds, folds)
         return df.limit(1).withColumn("model", F.lit("ridge")), "ridge"
 
-    def searched(df, factory, grid, target, search_fold, search_folds, score_fold, score_folds):
-        params = {k: v[0] for k, v in grid.items()}
-        seen["grid"] = (type(factory(**params).getStages()[-1]).__name__, math.prod(len(v) for v in grid.values()), score_folds)
+    def searched(df, features, target, settings, search_fold, search_folds, score_fold, score_folds):
+        seen["grid"] = (len(settings), len(set(settings.values())), sorted({s.rounds for s in settings.values()}), search_folds, score_folds)
         assert sorted(r[0] for r in df.select(score_fold).distinct().collect()) == list(range(score_folds))
-        return df.limit(1), {**params, "r2_mean": 0.0}
+        return df.limit(1).withColumn("name", F.lit("a")), {"name": "a", "r2_mean": 0.0, "r2_std": 0.0}
 
     monkeypatch.setattr(plans.learning, "compare_models", compared)
-    monkeypatch.setattr(plans.learning, "grid_search", searched)
+    monkeypatch.setattr(plans.boosting, "boosted_grid", searched)
     plans.ml_compare(spark, "/root/testdata/sf0.001")
     plans.ml_grid(spark, "/root/testdata/sf0.001")
-    assert seen == {"compare": (300, 500, 5), "grid": ("GBTRegressor", 16, 5)}
+    assert seen == {"compare": (300, 500, 5), "grid": (16, 16, [200, 400], 3, 5)}
