@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import lookup_by_key
 from ..operators.ranking import group_positions
 from ..session import stage
 from .base import reachable, shuffle_parts
 
 BLOCK_TURNS = 4
 CHUNK_IDS = 4096
+SPREAD_ROWS = 512  # contents that follow one node, for each shuffle key that they are spread over
 _DIGEST = 32
 ROOT = hashlib.sha256(b"").digest()
 
@@ -124,8 +126,9 @@ def _nodes(blocks: DataFrame, width: int, sums: list[str]) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"), F.min("conv_id").alias("least"), F.min("sizes").alias("sizes"), F.min("before").alias("before"), *added),
         "trie-contents",
     )
-    kinds = contents.groupBy(F.col("k").alias("k1"), F.col("prev").alias("prev1")).agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    met = contents.join(kinds, (F.col("k") == F.col("k1")) & (F.col("prev") == F.col("prev1")), "left").drop("k1", "prev1")
+    kinds = contents.groupBy("k", "prev").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").withColumn("rows", F.col("kinds"))
+    # A node may be followed by a large part of all contents, as the root is: its rows are spread.
+    met = lookup_by_key(contents, kinds, ["k", "prev"], "rows", SPREAD_ROWS)
     each = met.select("*", F.posexplode("sizes").alias("i", "size"))
     path = F.substring("turns", F.lit(1), (F.col("i") + 1) * _DIGEST)
     ahead = F.aggregate(F.slice("sizes", F.lit(1), F.col("i")), F.col("before"), lambda a, x: a + x)
