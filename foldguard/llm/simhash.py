@@ -32,6 +32,7 @@ from .components import components
 
 BITS = 64
 TILE_ROWS = 4096
+SPREAD_ROWS = 1024  # classes of one component, for each shuffle key that they are spread over
 #: Estimated cost of a row that is filed, and of two fingerprints that are compared.
 PROBE_COST, PAIR_COST = 1.0, 0.02
 _SMALL = 24  # buckets up to this size are compared many at a time
@@ -347,8 +348,9 @@ def near_copies(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame
     classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "simhash-classes")
     links = fingerprint_links(classes, probe_plan(classes, distance), distance)
     labels = stage(components(links), "simhash-labels")
-    named = labels.join(classes.select(F.col("fp").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
-    of_class = classes.join(labels, F.col("fp") == F.col("node"), "left").join(named, "component", "left")
+    named = labels.join(classes.select(F.col("fp").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("size"))
+    led = lookup_by_key(labels, named, ["component"], "size", SPREAD_ROWS)  # one component may hold a large part of all classes
+    of_class = classes.join(led, F.col("fp") == F.col("node"), "left")
     table = of_class.select("fp", F.when(F.col("node").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id"), "n")
     met = lookup_by_key(rows, table, ["fp"], "n")
     return met.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
