@@ -24,8 +24,8 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage
-from .ranking import exact_quantiles, quantile_bins, quantile_name
+from ..session import importable, stage
+from .ranking import value_positions
 
 MOST_CELLS = 1 << 20
 BINS = 32
@@ -48,10 +48,17 @@ class TooManyCells(ValueError):
 
 
 def bin_edges(df: DataFrame, features: Sequence[str], bins: int = BINS) -> dict[str, list[float]]:
-    """Inner edges of each feature: exact quantiles of all rows, each distinct value once. A bin starts at its edge."""
-    probs = [i / bins for i in range(1, bins)]
-    row = exact_quantiles(df, list(features), probs).first()
-    return {c: sorted({row[quantile_name(c, q)] for q in probs} - {None}) for c in features}
+    """Inner edges of each feature: the values at every ``1 / bins`` of all rows, each once. A bin starts at its edge.
+
+    Values are counted before they are put in order, and of the order only the rows that hold an edge come to the driver.
+    """
+    pairs = [F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_value")) for c in features]
+    placed = value_positions(df.select(F.inline(F.array(*pairs))), ["_column"], "_value")
+    last = F.greatest(F.col("total") - 1, F.lit(1))
+    first = F.greatest(F.ceil(F.col("before") * bins / last), F.lit(1))
+    end = F.least(F.ceil((F.col("before") + F.col("n")) * bins / last), F.lit(bins))  # places from the first to before this one
+    found = placed.filter(first < end).select("_column", "_value").collect()
+    return {c: sorted(r["_value"] for r in found if r["_column"] == c) for c in features}
 
 
 def binned(df: DataFrame, edges: Mapping[str, Sequence[float]]) -> DataFrame:
@@ -165,7 +172,7 @@ def fold_predictions(cells: DataFrame, features: Sequence[str], settings: Mappin
     train = each.join(own, same, "left").select(
         "held", *keys, (F.col("all_n") - F.coalesce("own_n", zero)).cast("double").alias("n"), (F.col("all_s") - F.coalesce("own_s", zero)).alias("s")
     )
-    dealt = train.join(F.broadcast(jobs), "held")  # a row per fit
+    dealt = importable(train).join(F.broadcast(jobs), "held")  # a row per fit
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         setting, names = table[int(pdf["fit"].iloc[0])]

@@ -1,26 +1,27 @@
 """Learning queries: cross-validation, comparisons, attribution.
 
-Linear models have closed forms, so most of these have SQL twins too; tree models are
-checked for rows here and for their behaviour in the tests.
+Linear models have closed forms, so most of these have SQL twins too; here they are solved from Gram matrices. Tree models
+are checked for rows here and for their behaviour in the tests.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_key
-from ..operators import boosting, features, learning, metrics, topk
+from ..operators import boosting, features, gram, learning, metrics, topk
 from ..operators.boosting import BoostSettings
-from ..operators.cleaning import threshold_subsets
-from ..operators.splits import hash_fold, hash_holdout
+from ..operators.gram import LinearModel
+from ..operators.splits import TEST, hash_fold, hash_holdout
 from ..session import new_location, spread, stage
 from .base import SPELLED, TEST_CUT, query, rounded, spelled_orders, sql_bucket, table
 
-FOLDS = 3  # of the queries with a SQL twin, which counts three folds, and of the grid's search
-TREE_FOLDS = 5
-GRID_FOLDS = 3
+FOLDS = 5
+GRID_FOLDS = 3  # of the grid's search
 
 # --- least squares in SQL ------------------------------------------------------------------
 
@@ -54,7 +55,7 @@ _LINES = f"""
 lines AS (
   SELECT l_quantity AS x1, p_retailprice AS x2, l_extendedprice * 0.5::DOUBLE + l_tax * 100000 AS x3, l_extendedprice AS y,
     CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE l_discount * 100 + l_linenumber END AS x4,
-    CAST({sql_bucket(42, 'l_suppkey')} % 3 AS INTEGER) AS fold, CAST({sql_bucket(7, 'l_suppkey')} % 3 AS INTEGER) AS fold2,
+    CAST({sql_bucket(42, 'l_suppkey')} % {FOLDS} AS INTEGER) AS fold, CAST({sql_bucket(7, 'l_suppkey')} % {FOLDS} AS INTEGER) AS fold2,
     CASE WHEN {sql_bucket(42, 'l_suppkey')} < {TEST_CUT} THEN 'test' ELSE 'train' END AS split, l_suppkey
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
@@ -81,7 +82,7 @@ def lines(spark, sf_dir):
 R2_DIGITS = {"r2_mean": 8, "r2_std": 8}
 
 
-def _scores(df, label_col="scope"):
+def _scores(df, label_col="name"):
     return rounded(df.select(F.col(label_col).alias("label"), "r2_mean", "r2_std"), R2_DIGITS)
 
 
@@ -89,10 +90,15 @@ def _plain(features_):
     return learning.least_squares(features_, "y")
 
 
+def _by_gram(df, models: dict[str, LinearModel], labels, columns):
+    """Mean and spread of R² over the folds for all models, from one scan."""
+    grams = gram.fold_grams(df, [*columns, "y"], labels)
+    return _scores(gram.spread_over_folds(gram.fold_scores(df.sparkSession, grams, models, "y", range(FOLDS))))
+
+
 @query("L2 A2", f"WITH {_LINES} {_cv_sql('lines', 'fold', _fit_one('x1', 'y'), 'b0 + b1 * t.x1', 'ols')}")
 def ml_cv(spark, sf_dir):
-    out = learning.cross_validated(lines(spark, sf_dir), {"ols": _plain(["x1"])}, "y", "fold", FOLDS)
-    return _scores(out, "model")
+    return _by_gram(lines(spark, sf_dir), {"ols": LinearModel(("x1",), "fold")}, {"fold": F.col("fold")}, ["x1"])
 
 
 @query("L5 L6 L7 P17", f"""WITH {_LINES}
@@ -100,8 +106,9 @@ def ml_cv(spark, sf_dir):
 {_cv_sql('lines', 'fold', _fit_two('x1', 'x2', 'y'), 'b0 + b1 * t.x1 + b2 * t.x2', 'base_price')} UNION ALL
 {_cv_sql('lines', 'fold', _fit_two('x1', 'x3', 'y'), 'b0 + b1 * t.x1 + b2 * t.x3', 'base_leak')}""")
 def ml_scopes(spark, sf_dir):
-    scopes = {"base": ["x1"], "base_price": ["x1", "x2"], "base_leak": ["x1", "x3"]}
-    return _scores(learning.score_scopes(lines(spark, sf_dir), scopes, _plain, "y", "fold", FOLDS))
+    scopes = {"base": ("x1",), "base_price": ("x1", "x2"), "base_leak": ("x1", "x3")}
+    models = {name: LinearModel(columns, "fold") for name, columns in scopes.items()}
+    return _by_gram(lines(spark, sf_dir), models, {"fold": F.col("fold")}, ["x1", "x2", "x3"])
 
 
 @query("L7 C12", f"""WITH {_LINES}, low AS (SELECT * FROM lines WHERE y <= 80000), lowest AS (SELECT * FROM lines WHERE y <= 40000)
@@ -109,8 +116,9 @@ def ml_scopes(spark, sf_dir):
 {_cv_sql('low', 'fold', _fit_one('x3', 'y'), 'b0 + b1 * t.x3', 'le_80000')} UNION ALL
 {_cv_sql('lowest', 'fold', _fit_one('x3', 'y'), 'b0 + b1 * t.x3', 'le_40000')}""")
 def ml_subsets(spark, sf_dir):
-    subsets = threshold_subsets(lines(spark, sf_dir), "y", [80000, 40000], [])
-    return _scores(learning.score_subsets(subsets, _plain(["x3"]), "y", "fold", FOLDS), "subset")
+    y, fold = F.col("y"), F.col("fold")
+    labels = {"all": fold, "le_80000": F.when(y <= 80000, fold), "le_40000": F.when(y <= 40000, fold)}
+    return _by_gram(lines(spark, sf_dir), {name: LinearModel(("x3",), name) for name in labels}, labels, ["x3"])
 
 
 _GLOBAL = "filled AS (SELECT y, fold, coalesce(x4, (SELECT median(x4) FROM lines)) AS x FROM lines)"
@@ -127,40 +135,114 @@ UNION ALL SELECT 'fold_local', round(avg(r2), 8), round(stddev_pop(r2), 8) FROM
 def ml_local_vs_global(spark, sf_dir):
     """Imputation learned from all rows against imputation learned per training part."""
     df = lines(spark, sf_dir)
-    everywhere = learning.cross_validated(
-        features.median_impute(df, ["x4"]), {"global": _plain(["x4"])}, "y", "fold", FOLDS
-    )
-    known = features.fold_local_table(df, "fold", FOLDS, ["x4"], [], 0)
-    local = learning.out_of_fold(
-        df, _plain(["x4"]), "fold", FOLDS, lambda rows, f: features.preprocessed_for_fold(rows, known, f, ["x4"])
-    )
-    per_fold = metrics.regression_metrics(local, "y", learning.PREDICTION, ["fold"])
-    out = metrics.metrics_over_folds(per_fold).withColumn("model", F.lit("fold_local"))
-    return _scores(everywhere.unionByName(out), "model")
+    fills = {r["fold"]: r["x4_median"] for r in features.fold_local_fills(df, "fold", FOLDS, ["x4"]).collect()}  # one row per fold
+    fills["all"] = features.medians(df, ["x4"])["x4"]
+    filled = df.withColumns({f"x_{f}": F.coalesce("x4", F.lit(v)) for f, v in fills.items()})
+    # A column per training part, all in one scan: the model of a fold reads the column that its training part filled.
+    grams = gram.fold_grams(filled, [*[f"x_{f}" for f in fills], "y"], {"fold": F.col("fold")})
+    local = [gram.fold_scores(spark, grams, {"fold_local": LinearModel((f"x_{f}",), "fold")}, "y", [f]) for f in range(FOLDS)]
+    everywhere = gram.fold_scores(spark, grams, {"global": LinearModel(("x_all",), "fold")}, "y", range(FOLDS))
+    return _scores(gram.spread_over_folds(reduce(DataFrame.unionByName, local, everywhere)))
 
 
 _SPELLED_ROWS = f"""{SPELLED},
-rows_ AS (SELECT o_totalprice AS y, CAST(o_custkey AS DOUBLE) AS x, CAST({sql_bucket(42, "coalesce(raw_key, 'unknown')")} % 3 AS INTEGER) AS raw_fold,
-  CAST({sql_bucket(42, "coalesce(norm_key, 'unknown')")} % 3 AS INTEGER) AS norm_fold FROM normed)"""
+rows_ AS (SELECT o_totalprice AS y, CAST(o_custkey AS DOUBLE) AS x, CAST({sql_bucket(42, "coalesce(raw_key, 'unknown')")} % {FOLDS} AS INTEGER) AS raw_fold,
+  CAST({sql_bucket(42, "coalesce(norm_key, 'unknown')")} % {FOLDS} AS INTEGER) AS norm_fold,
+  CAST({sql_bucket(42, "o_orderkey")} % {FOLDS} AS INTEGER) AS row_fold, coalesce(raw_key, 'unknown') AS raw_group, coalesce(norm_key, 'unknown') AS norm_group,
+  CAST({sql_bucket(42, "coalesce(raw_key, 'unknown')")} >= {TEST_CUT} AS INTEGER) AS raw_side, CAST({sql_bucket(42, "coalesce(norm_key, 'unknown')")} >= {TEST_CUT} AS INTEGER) AS norm_side FROM normed)"""
 
 
 @query("L9 P12 G3", f"""WITH {_SPELLED_ROWS}
 {_cv_sql('rows_', 'raw_fold', _fit_one('x', 'y'), 'b0 + b1 * t.x', 'raw')} UNION ALL
 {_cv_sql('rows_', 'norm_fold', _fit_one('x', 'y'), 'b0 + b1 * t.x', 'normalized')}""")
 def ml_key_sensitivity(spark, sf_dir):
+    labels = {"raw": F.col("raw_fold"), "normalized": F.col("norm_fold")}
+    return _by_gram(spelled_rows(spark, sf_dir), {name: LinearModel(("x",), name) for name in labels}, labels, ["x"])
+
+
+def spelled_rows(spark, sf_dir):
+    """Orders with the folds and sides that rows, raw keys and normalised keys give them."""
     o = spread(spelled_orders(spark, sf_dir))
     unknown = F.lit("unknown")
-    rows = stage(
+    raw, norm = F.coalesce(F.col("raw_key"), unknown), F.coalesce(normalize_key(F.col("raw_key")), unknown)
+    side = lambda key: (hash_holdout(key, "0.2") != TEST).cast("int")
+    return stage(
         o.select(
-            F.col("o_totalprice").alias("y"), F.col("o_custkey").cast("double").alias("x"),
-            hash_fold(F.coalesce(F.col("raw_key"), unknown), FOLDS).alias("raw_fold"),
-            hash_fold(F.coalesce(normalize_key(F.col("raw_key")), unknown), FOLDS).alias("norm_fold"),
+            F.col("o_totalprice").alias("y"), F.col("o_custkey").cast("double").alias("x"), hash_fold(F.col("o_orderkey"), FOLDS).alias("row_fold"),
+            hash_fold(raw, FOLDS).alias("raw_fold"), hash_fold(norm, FOLDS).alias("norm_fold"),
+            side(raw).alias("raw_side"), side(norm).alias("norm_side"), raw.alias("raw_group"), norm.alias("norm_group"),
         ),
         "key-sensitivity",
     )
-    raw = learning.cross_validated(rows, {"raw": _plain(["x"])}, "y", "raw_fold", FOLDS)
-    norm = learning.cross_validated(rows, {"normalized": _plain(["x"])}, "y", "norm_fold", FOLDS)
-    return _scores(raw.unionByName(norm), "model")
+
+
+def _report_sql(name: str, held: str, side: str, group: str) -> str:
+    """Cross-validated and holdout metrics of the line through x under one way to group rows."""
+    others = f"SELECT f.k, {_fit_one('x', 'y')} FROM (SELECT DISTINCT {held} AS k FROM rows_) f JOIN rows_ o ON o.{held} <> f.k GROUP BY f.k"
+    return f"""
+SELECT '{name}' AS grouping, cv.*, ho.*, (SELECT count(DISTINCT {group}) FROM rows_) AS n_groups FROM (
+  SELECT avg(mae) AS cv_mae, avg(rmse) AS cv_rmse, avg(r2) AS cv_r2, stddev_pop(r2) AS cv_r2_std FROM (
+    SELECT avg(abs(y - b0 - b1 * x)) AS mae, sqrt(avg(pow(y - b0 - b1 * x, 2))) AS rmse, 1 - avg(pow(y - b0 - b1 * x, 2)) / var_pop(y) AS r2
+    FROM rows_ JOIN ({others}) m ON m.k = {held} GROUP BY {held})) cv, (
+  SELECT avg(abs(y - b0 - b1 * x)) AS holdout_mae, sqrt(avg(pow(y - b0 - b1 * x, 2))) AS holdout_rmse, 1 - avg(pow(y - b0 - b1 * x, 2)) / var_pop(y) AS holdout_r2, count(*) AS n_test
+  FROM rows_, (SELECT {_fit_one('x', 'y')} FROM rows_ WHERE {side} = 1) WHERE {side} = 0) ho"""
+
+
+_REPORT = [f"{part}_{m}" for part in ("cv", "holdout") for m in ("mae", "rmse", "r2")]
+
+
+@query("L9 P12 G1 G2", f"""WITH {_SPELLED_ROWS}, ways AS ({_report_sql('raw', 'raw_fold', 'raw_side', 'raw_group')} UNION ALL {_report_sql('normalized', 'norm_fold', 'norm_side', 'norm_group')}),
+deltas AS (SELECT 'delta' AS grouping, {', '.join(f'r.{c} - n.{c} AS {c}' for c in _REPORT)}, r.n_test - n.n_test AS n_test, r.n_groups - n.n_groups AS n_groups
+  FROM ways r, ways n WHERE r.grouping = 'raw' AND n.grouping = 'normalized')
+SELECT grouping, {', '.join(f'round({c}, 6) AS {c}' for c in _REPORT)}, n_test, n_groups FROM ways
+UNION ALL SELECT grouping, {', '.join(f'round({c}, 6) AS {c}' for c in _REPORT)}, n_test, n_groups FROM deltas""")
+def ml_key_report(spark, sf_dir):
+    """The same model with keys as they are and normalised: holdout and cross-validated errors, and what normalising changes."""
+    rows = spelled_rows(spark, sf_dir)
+    ways = {"raw": ("raw_fold", "raw_side", "raw_group"), "normalized": ("norm_fold", "norm_side", "norm_group")}
+    labels = {f"{kind}_{name}": F.col(c) for name, way in ways.items() for kind, c in zip(("cv", "holdout"), way)}
+    grams = gram.fold_grams(rows, ["x", "y"], labels)
+    models = {label: LinearModel(("x",), label) for label in labels}
+    folds = {label: range(FOLDS) if label.startswith("cv") else [0] for label in labels}
+    scores = gram.row_scores(rows, grams, models, labels, "y", folds)
+    flat = scores.select(F.split("name", "_")[0].alias("part"), F.split("name", "_")[1].alias("grouping"), "n", "mae", "rmse", "r2")
+    wide = flat.groupBy("grouping").agg(
+        *[F.avg(F.when(F.col("part") == part, F.col(m))).alias(f"{part}_{m}") for part in ("cv", "holdout") for m in ("mae", "rmse", "r2")],
+        F.max(F.when(F.col("part") == "holdout", F.col("n"))).alias("n_test"),
+    )
+    groups = rows.agg(*[F.count_distinct(way[2]).alias(name) for name, way in ways.items()]).first()
+    counted = wide.withColumn("n_groups", F.when(F.col("grouping") == "raw", F.lit(groups["raw"])).otherwise(F.lit(groups["normalized"])))
+    sign = F.when(F.col("grouping") == "raw", 1).otherwise(-1)
+    delta = counted.agg(*[F.sum(sign * F.col(c)).alias(c) for c in [*_REPORT, "n_test", "n_groups"]]).withColumn("grouping", F.lit("delta"))
+    return rounded(counted.unionByName(delta), {c: 6 for c in _REPORT})
+
+
+@query("A27 G3 G4", f"""WITH {_SPELLED_ROWS}, random AS ({_cv_sql('rows_', 'row_fold', _fit_one('x', 'y'), 'b0 + b1 * t.x', 'random')}), grouped AS ({_cv_sql('rows_', 'norm_fold', _fit_one('x', 'y'), 'b0 + b1 * t.x', 'group')})
+SELECT r.r2_mean AS random_r2_mean, r.r2_std AS random_r2_std, g.r2_mean AS group_r2_mean, g.r2_std AS group_r2_std, round(r.r2_mean - g.r2_mean, 7) AS inflation FROM random r, grouped g""")
+def ml_split_inflation(spark, sf_dir):
+    """One fitted model under random row folds and under folds of whole groups; both assignments in one scan."""
+    rows = spelled_rows(spark, sf_dir)
+    labels = {"random": F.col("row_fold"), "group": F.col("norm_fold")}
+    grams = gram.fold_grams(rows, ["x", "y"], labels)
+    scores = gram.fold_scores(spark, grams, {name: LinearModel(("x",), name) for name in labels}, "y", range(FOLDS))
+    digits = {c: 8 for c in ("random_r2_mean", "random_r2_std", "group_r2_mean", "group_r2_std")}
+    return rounded(gram.split_inflation(scores, "random", "group"), digits | {"inflation": 7})
+
+
+@query("A27 L2 L4")
+def ml_tree_inflation(spark, sf_dir):
+    """The same with boosted trees and a target that belongs to the group: trees can learn a group from its other rows."""
+    rows = spelled_rows(spark, sf_dir)
+    effect = F.pmod(F.xxhash64("norm_group"), F.lit(1000)) * 300.0
+    known = stage(rows.select("x", (F.col("y") + effect).alias("y"), "row_fold", "norm_fold"), "inflation-rows")
+    trees = BoostSettings(rounds=100, step=0.1, leaves=63)
+    out = None
+    for name, fold in (("random", "row_fold"), ("group", "norm_fold")):
+        edges = boosting.bin_edges(known, ["x"], 1024)
+        cells = boosting.cell_table(known, edges, "y", fold)
+        scores = boosting.fold_errors(cells, boosting.fold_predictions(cells, ["x"], {name: trees}, range(FOLDS)), ["x"])
+        out = scores if out is None else out.unionByName(scores)
+    return gram.split_inflation(out, "random", "group")
 
 
 @query("A27 L2", f"""WITH {_LINES}
@@ -168,10 +250,8 @@ def ml_key_sensitivity(spark, sf_dir):
 {_cv_sql('lines', 'fold2', _fit_one('x3', 'y'), 'b0 + b1 * t.x3', 'seed_7')}""")
 def ml_fold_seeds(spark, sf_dir):
     """The same model under two assignments of groups to folds."""
-    df = lines(spark, sf_dir)
-    a = learning.cross_validated(df, {"seed_42": _plain(["x3"])}, "y", "fold", FOLDS)
-    b = learning.cross_validated(df, {"seed_7": _plain(["x3"])}, "y", "fold2", FOLDS)
-    return _scores(a.unionByName(b), "model")
+    labels = {"seed_42": F.col("fold"), "seed_7": F.col("fold2")}
+    return _by_gram(lines(spark, sf_dir), {name: LinearModel(("x3",), name) for name in labels}, labels, ["x3"])
 
 
 _PARTS_SCORED = f"""{_LINES},
@@ -270,8 +350,8 @@ def paired_models(spark, sf_dir):
 
 
 def tree_rows(spark, sf_dir):
-    """``lines`` with five supplier-safe folds."""
-    return lines(spark, sf_dir).withColumn("fold5", hash_fold(F.col("l_suppkey"), TREE_FOLDS))
+    """``lines`` with three more supplier-safe folds to search on."""
+    return lines(spark, sf_dir).withColumn("search_fold", hash_fold(F.col("l_suppkey"), GRID_FOLDS, 7))
 
 
 @query("L1 L4 T1")
@@ -279,7 +359,7 @@ def ml_compare(spark, sf_dir):
     """All registered kinds of model at the registry's settings, cross-validated and on the holdout."""
     df = tree_rows(spark, sf_dir)
     models = learning.model_registry(["x1", "x2", "x3"], "y", df.count())
-    comparison, best = learning.compare_models(df, models, "y", "fold5", TREE_FOLDS, "split")
+    comparison, best = learning.compare_models(df, models, "y", "fold", FOLDS, "split")
     return comparison.withColumn("is_best", F.col("model") == best)
 
 
@@ -293,5 +373,5 @@ def grid_settings() -> dict[str, BoostSettings]:
 def ml_grid(spark, sf_dir):
     """Grid search of boosted trees on three group folds of one seed, honest scores on five of another."""
     df = tree_rows(spark, sf_dir)
-    found, best = boosting.boosted_grid(df, ["x1", "x2", "x3"], "y", grid_settings(), "fold2", GRID_FOLDS, "fold5", TREE_FOLDS)
+    found, best = boosting.boosted_grid(df, ["x1", "x2", "x3"], "y", grid_settings(), "search_fold", GRID_FOLDS, "fold", FOLDS)
     return found.withColumns({"is_best": F.col("name") == best["name"], "best_r2_mean": F.lit(best["r2_mean"]), "best_r2_std": F.lit(best["r2_std"])})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -86,6 +87,15 @@ def unstage(staged: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def importable(df: DataFrame) -> DataFrame:
+    """``df``; Python workers started from now on find this package where it lies now, or else where it is installed."""
+    environment = df.sparkSession.sparkContext.environment
+    root = str(Path(__file__).resolve().parents[1])
+    if root not in environment.get("PYTHONPATH", "").split(":"):
+        environment["PYTHONPATH"] = ":".join(filter(None, [root, environment.get("PYTHONPATH", "")]))
+    return df
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Deal the rows of a file scan to all cores where its files give fewer tasks than cores.
 

@@ -42,6 +42,15 @@ def test_first_tree_is_the_best_greedy_one(spark, rows):
         assert answers[r.a + 1, r.b + 1] == pytest.approx(want[r.id])
 
 
+def test_edges_are_values_at_even_places(rows):
+    got = boosting.bin_edges(rows, NAMES, 7)
+    for c in NAMES:
+        values = sorted(r[0] for r in rows.filter(F.col(c).isNotNull()).select(F.col(c).cast("double")).collect())
+        assert got[c] == sorted({values[(len(values) - 1) * i // 7] for i in range(1, 7)})
+    none = boosting.bin_edges(rows.limit(0), ["a"])
+    assert none == {"a": []}
+
+
 def brute(x, y, setting, rounds):
     """Best-first boosting over single rows."""
     value = np.full(len(y), y.mean())
