@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 @dataclass(frozen=True)
@@ -68,52 +69,52 @@ def format_conversations(rows: DataFrame, template: ChatTemplate = ChatTemplate(
     pieces = F.transform(
         "turns", lambda x: F.struct(head(x).alias("head"), x.text.alias("text"), F.when(x.closes, F.lit(t.end)).otherwise(empty).alias("tail"), x.trained.alias("trained"))
     )
-    cut = marked.select("conv_id", pieces.alias("pieces"))
-    whole = F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["text"], p["tail"])), "")
-    length = lambda p: F.char_length(p["head"]) + F.char_length(p["text"]) + F.char_length(p["tail"])
-    starts = _running_sums(F.transform("pieces", length))
-    placed = cut.select("conv_id", whole.alias("formatted"), "pieces", starts.alias("starts"))
-    spans = F.transform(
-        F.filter(F.arrays_zip("pieces", "starts"), lambda z: z["pieces"]["trained"]),
-        lambda z: F.struct(
-            (z["starts"] + F.char_length(z["pieces"]["head"])).alias("at"), F.char_length(z["pieces"]["text"]).alias("length")
-        ),
-    )
-    return placed.select("conv_id", "formatted", spans.alias("loss_spans"))
-
-
-def _running_sums(numbers: Column) -> Column:
-    """For each number the sum of those before it; in blocks of the square root of the size, as arrays cannot grow in place."""
-    width = F.greatest(F.ceil(F.sqrt(F.size(numbers))), F.lit(1)).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), ((F.size(numbers) - 1) / width).cast("int")), lambda j: F.slice(numbers, (j * width + 1).cast("int"), width))
-    add = lambda a, x: a + x
-    sums = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), add))
-    return F.flatten(
-        F.transform(
-            blocks,
-            lambda block, j: F.transform(
-                block,
-                lambda _, i: F.aggregate(F.slice(sums, F.lit(1), j), F.lit(0), add) + F.aggregate(F.slice(block, F.lit(1), i), F.lit(0), add),
-            ),
-        )
-    )
+    # Where a piece starts is a running sum over rows: inside nested arrays it would be added up anew for every turn.
+    cut = marked.select("conv_id", F.posexplode(pieces).alias("place", "piece"))
+    size = F.char_length("piece.head") + F.char_length("piece.text") + F.char_length("piece.tail")
+    before = Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    placed = cut.withColumn("size", size.cast("bigint")).withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    at = F.col("start") + F.char_length("piece.head")
+    one = F.struct(
+        "place", F.concat("piece.head", "piece.text", "piece.tail").alias("whole"),
+        F.when(F.col("piece.trained"), F.struct(at.cast("int").alias("at"), F.char_length("piece.text").alias("length"))).alias("span"),
+    )
+    again = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("pieces"))
+    spans = F.filter(F.transform("pieces", lambda p: p["span"]), lambda s: s.isNotNull())
+    return again.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["whole"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame, template: ChatTemplate = ChatTemplate()) -> DataFrame:
-    """The turns and trained texts of formatted conversations: ``conv_id, turns array<struct<role, text>>, loss_text``."""
+    """The turns and trained texts of formatted conversations: ``conv_id, turns array<struct<role, text>>, loss_text``.
+
+    The text is cut at the template's marks, each piece with its place in the text; a span of the mask is read from the piece that starts
+    where it does.
+    """
     t = template
     quoted = lambda s: "\\Q" + s + "\\E"
-    blocks = F.transform(
-        F.filter(F.split("formatted", quoted(t.end)), lambda b: b != ""),
-        lambda b: F.split(F.substring(b, F.lit(len(t.turn) + 1), F.char_length(b)), quoted(t.text)),
-    )
-    turns = F.flatten(
-        F.transform(
-            blocks,
-            lambda b: F.transform(
-                F.split(b[1], quoted(t.part)), lambda x: F.struct(t.unescape(b[0]).alias("role"), t.unescape(x).alias("text"))
-            ),
-        )
+    blocks = F.filter(F.split("formatted", quoted(t.end)), lambda b: b != "")
+    turned = formatted.select("conv_id", F.posexplode(blocks).alias("block", "content"))
+    halves = F.split("content", quoted(t.text))
+    cut = turned.select("conv_id", "block", F.substring(halves[0], F.lit(len(t.turn) + 1), F.char_length(halves[0])).alias("role"), F.split(halves[1], quoted(t.part)).alias("texts"))
+    parts = cut.select("conv_id", "block", "role", F.size("texts").alias("parts"), F.posexplode("texts").alias("part", "text"))
+    head = F.when(F.col("part") == 0, len(t.turn) + F.char_length("role") + len(t.text)).otherwise(len(t.part))
+    tail = F.when(F.col("part") == F.col("parts") - 1, len(t.end)).otherwise(0)
+    sized = parts.withColumn("head", head.cast("bigint")).withColumn("size", F.col("head") + F.char_length("text") + tail)
+    before = Window.partitionBy("conv_id").orderBy("block", "part").rowsBetween(Window.unboundedPreceding, -1)
+    nothing = F.lit(None)
+    pieces = sized.select(
+        "conv_id", (F.coalesce(F.sum("size").over(before), F.lit(0)) + F.col("head")).alias("at"), F.lit(0).alias("kind"), "block", "part", "role", "text", nothing.cast("int").alias("length")
     )
-    loss = F.array_join(F.transform("loss_spans", lambda s: t.unescape(F.substring("formatted", s["at"] + 1, s["length"]))), "")
-    return formatted.select("conv_id", turns.alias("turns"), loss.alias("loss_text"))
+    masked = formatted.select("conv_id", F.inline("loss_spans")).select(
+        "conv_id", F.col("at").cast("bigint").alias("at"), F.lit(1).alias("kind"), nothing.cast("int").alias("block"), nothing.cast("int").alias("part"),
+        nothing.cast("string").alias("role"), nothing.cast("string").alias("text"), "length",
+    )
+    along = Window.partitionBy("conv_id").orderBy("at", "kind")
+    follows = F.when((F.lead("kind").over(along) == 1) & (F.lead("at").over(along) == F.col("at")), F.lead("length").over(along))
+    met = pieces.union(masked).withColumn("covered", follows).filter("kind = 0")
+    one = F.struct("block", "part", t.unescape(F.col("role")).alias("role"), t.unescape(F.col("text")).alias("text"), t.unescape(F.substring("text", F.lit(1), F.col("covered"))).alias("loss"))
+    whole = met.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("pieces"))
+    return whole.select(
+        "conv_id", F.transform("pieces", lambda p: F.struct(p["role"].alias("role"), p["text"].alias("text"))).alias("turns"),
+        F.array_join(F.transform("pieces", lambda p: p["loss"]), "").alias("loss_text"),
+    )

@@ -2,6 +2,7 @@
 
 import collections
 import random
+import time
 import re
 import zlib
 
@@ -290,3 +291,14 @@ def test_full_sequences_of_a_unit_that_missed_its_bound_are_not_certified(spark)
     got = packing.pack(parts, capacity=10).collect()
     missed = len({r.sequence_id for r in got}) > packing.lower_bound(np.array(lengths), 10)
     assert missed and not any(r.certified for r in got)
+
+
+def test_a_very_long_conversation_takes_time_in_proportion(spark):
+    took = {}
+    for n in (500, 8_000):
+        df = spark.range(n).selectExpr("7 AS conv_id", "id AS turn", "CASE WHEN id % 2 = 0 THEN 'user' ELSE 'assistant' END AS role", "repeat('word five ', 60) AS text")
+        start = time.monotonic()
+        row = chat_format.read_back(chat_format.format_conversations(df)).first()
+        took[n] = time.monotonic() - start
+        assert len(row.turns) == n and len(row.loss_text) == 600 * (n // 2)
+    assert took[8_000] < 16 * took[500] + 20
