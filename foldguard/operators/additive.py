@@ -34,12 +34,11 @@ def part_tables(cells: Mapping[str, DataFrame], weights: Mapping[str, float]) ->
 
     Features without a weight add nothing. A feature that several axes set has no parts and is an error.
     """
-    spark = next(iter(cells.values())).sparkSession
-    known = spark.createDataFrame([(f, float(w)) for f, w in weights.items()], "feature string, weight double")
+    known = F.create_map(*[F.lit(x) for f, w in weights.items() for x in (f, float(w))]) if weights else F.lit(None).cast("map<string,double>")
     owners: dict[str, str] = {}
     out = {}
     for axis, rows in cells.items():
-        met = rows.select(F.col("level").cast("string").alias("level"), "feature", F.col("value").cast("double").alias("value")).join(F.broadcast(known), "feature", "left")
+        met = rows.select(F.col("level").cast("string").alias("level"), "feature", F.col("value").cast("double").alias("value"), known[F.col("feature")].alias("weight"))
         for r in met.filter("weight IS NOT NULL").select("feature").distinct().collect():  # at most one row per weight
             if owners.setdefault(r.feature, axis) != axis:
                 raise ValueError(f"{r.feature} is set by the axes {owners[r.feature]} and {axis}")
