@@ -171,7 +171,7 @@ def license_scan(files: DataFrame) -> DataFrame:
     ``files`` has ``doc_id, path, text``; ``doc_id`` tells files apart (rows that repeat one share their statements). The
     licence is the file's own, else that of the nearest directory at or above its own with a licence file
     (``inherited_from``, the root being the empty path), else NULL. Of several licence files of a directory the one
-    nearest to its template counts, ties by licence name. Null texts state nothing; a NULL path is in no directory and
+    nearest to its template counts, ties by licence name. Absolute paths begin at the same root as others. Null texts state nothing; a NULL path is in no directory and
     inherits nothing. An empty table gives no rows; other columns are not read.
     """
     slim = files.select("doc_id", F.regexp_replace("path", "/+", "/").alias("path"), "text")
@@ -184,7 +184,7 @@ def license_scan(files: DataFrame) -> DataFrame:
     )
     by_dir = by_dir.select(F.col("dir").alias("above"), F.col("best.licence").alias("licence"))
     dirs = known.select("dir").filter("dir IS NOT NULL").distinct()
-    depth = F.size(F.filter(F.split("dir", "/"), lambda x: x != ""))
+    depth = F.size(F.split("dir", "/"))  # an absolute path has an empty part in front, which counts
     steps = F.transform(F.sequence(F.lit(0), depth), lambda d: F.call_function("substring_index", F.col("dir"), F.lit("/"), d))
     # substring_index(…, 0) is the empty path: the root.
     above = dirs.select("dir", F.posexplode(F.array_distinct(steps)).alias("depth", "above")).join(by_dir, "above")
