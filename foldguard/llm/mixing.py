@@ -51,7 +51,7 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, flatten: flo
 
 
 def poisson_copies(docs: DataFrame, rates: DataFrame, seed: int = 0) -> DataFrame:
-    """``docs`` with its rate and its number of copies, as columns ``mix_rate`` and ``mix_copies``; no row is left out.
+    """``row`` (a struct of all columns of ``docs``, whatever their names), ``rate`` and ``copies``; no row is left out.
 
     Documents of a source that ``rates`` lacks get 0 copies.
     """
@@ -63,12 +63,12 @@ def poisson_copies(docs: DataFrame, rates: DataFrame, seed: int = 0) -> DataFram
         .withColumn("below", F.transform("terms", lambda _, k: F.aggregate(F.slice("terms", F.lit(1), k + 1), F.lit(0.0), lambda a, x: a + x)))
         .drop("terms")
     )
-    joined = docs.join(tabled, docs.source.cast("string").eqNullSafe(tabled.mix_source), "left").drop("mix_source")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = rows.join(tabled, F.col("row.source").cast("string").eqNullSafe(F.col("mix_source")), "left")
     # One draw for each block, hashed before it is compared with the terms.
-    draws = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: uniform(F.lit(seed), F.lit("copies"), F.col("doc_id"), j))
+    draws = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: uniform(F.lit(seed), F.lit("copies"), F.col("row.doc_id"), j))
     number = F.aggregate(draws, F.lit(0), lambda a, u: a + F.size(F.filter("below", lambda c: c <= u)))
-    copies = F.when(F.col("rate") > 0, number).otherwise(F.lit(0))
-    return joined.select(*[docs[c] for c in docs.columns], F.coalesce("rate", F.lit(0.0)).alias("mix_rate"), copies.alias("mix_copies"))
+    return joined.select("row", F.coalesce("rate", F.lit(0.0)).alias("rate"), F.when(F.col("rate") > 0, number).otherwise(F.lit(0)).alias("copies"))
 
 
 def mix(docs: DataFrame, rates: DataFrame, seed: int = 0, partitions: int | None = None) -> DataFrame:
@@ -76,10 +76,13 @@ def mix(docs: DataFrame, rates: DataFrame, seed: int = 0, partitions: int | None
 
     Rows that repeat a ``doc_id`` share their draw. A null text is a document of no bytes; a NULL ``doc_id`` draws as an empty
     id. An empty table gives no rows. ``mix_copy`` counts from 0, ``mix_order`` is the key of the order. Columns of
-    ``docs`` are kept under their names; they must not be named like the three new ones.
+    ``docs`` are kept under their names; one that is named like the three new ones is an error.
     """
-    drawn = poisson_copies(docs, rates, seed).filter("mix_copies > 0")
-    copies = drawn.select(*docs.columns, "mix_rate", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)).alias("mix_copy"))
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("mix_copy").cast("string")))
-    ordered = copies.withColumn("mix_order", key)
-    return ordered.repartitionByRange(partitions or shuffle_parts(docs), "mix_order").sortWithinPartitions("mix_order")
+    taken = [c for c in docs.columns if c in ("mix_rate", "mix_copy", "mix_order")]
+    if taken:
+        raise ValueError(f"columns that the mix adds are there already: {', '.join(taken)}")
+    drawn = poisson_copies(docs, rates, seed).filter("copies > 0")
+    copies = drawn.select("row", "rate", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("order"), F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")))
+    ordered = copies.withColumn("place", key).repartitionByRange(partitions or shuffle_parts(docs), "place").sortWithinPartitions("place")
+    return ordered.select("row.*", F.col("rate").alias("mix_rate"), F.col("copy").alias("mix_copy"), F.col("place").alias("mix_order"))

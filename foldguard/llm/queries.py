@@ -60,18 +60,20 @@ WITH sizes AS (
   SELECT mix_source, rate, blocks, list(c ORDER BY k) AS below
   FROM (SELECT *, sum(term) OVER (PARTITION BY mix_source ORDER BY k) AS c FROM terms) GROUP BY ALL
 ), draws AS (
-  SELECT d.doc_id, d.source, b.rate, b.below, unnest(range(0, b.blocks)) AS j FROM documents d JOIN below b ON d.source IS NOT DISTINCT FROM b.mix_source
+  SELECT d.doc_id, d.source, sha256(coalesce(d.text, '')) AS text_sha256, b.rate, b.below, unnest(range(0, b.blocks)) AS j FROM documents d JOIN below b ON d.source IS NOT DISTINCT FROM b.mix_source
 ), uniform AS (SELECT *, {_UNIFORM} AS u FROM draws
 ), counts AS (
-  SELECT doc_id, source, rate, CAST(sum(len(list_filter(below, lambda c: c <= u))) AS BIGINT) AS copies FROM uniform GROUP BY doc_id, source, rate
-), copies AS (SELECT doc_id, source, rate, unnest(range(0, copies)) AS copy FROM counts)
-SELECT doc_id, source, round(rate, 9) AS mix_rate, CAST(copy AS INTEGER) AS mix_copy, md5('0|order|' || CAST(doc_id AS VARCHAR) || '|' || CAST(copy AS VARCHAR)) AS mix_order
+  SELECT doc_id, source, text_sha256, rate, CAST(sum(len(list_filter(below, lambda c: c <= u))) AS BIGINT) AS copies FROM uniform GROUP BY ALL
+), copies AS (SELECT doc_id, source, text_sha256, rate, unnest(range(0, copies)) AS copy FROM counts)
+SELECT doc_id, source, text_sha256, round(rate, 9) AS mix_rate, CAST(copy AS INTEGER) AS mix_copy, md5('0|order|' || CAST(doc_id AS VARCHAR) || '|' || CAST(copy AS VARCHAR)) AS mix_order
 FROM copies
 """)
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     rates = mixing.source_rates(docs)
-    return mixing.mix(docs.select("doc_id", "source"), rates).withColumn("mix_rate", F.round("mix_rate", 9))
+    mixed = mixing.mix(docs, rates)  # whole rows; the digest is made of the text that was repeated and put in order
+    text = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return mixed.select("doc_id", "source", text.alias("text_sha256"), F.round("mix_rate", 9).alias("mix_rate"), "mix_copy", "mix_order")
 
 
 @_query()
