@@ -125,12 +125,13 @@ def exact_dedup(docs: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` without its exact copies, all columns kept."""
+    """``docs`` without its exact copies, all columns kept, whatever their names."""
     result = stage(exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")), "exact-kept")
-    same_id = F.col("doc_id").eqNullSafe(F.col("kept_id"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    same_id = F.col("row.doc_id").eqNullSafe(F.col("kept_id"))
     if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return docs.join(result, same_id, "left_semi")
+        return docs.select(row).join(result, same_id, "left_semi").select("row.*")
     # Rows that share an id are told apart by their texts.
-    body = F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]", "")
-    one = docs.withColumn("kept_body", F.sha2(body, 256)).dropDuplicates(["doc_id", "kept_body"])
-    return one.join(result, same_id & (F.col("kept_body") == F.col("kept_sha")), "left_semi").drop("kept_body")
+    body = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]", ""), 256)
+    one = docs.select(F.col("doc_id").alias("id"), body.alias("body"), row).dropDuplicates(["id", "body"])
+    return one.join(result, same_id & (F.col("body") == F.col("kept_sha")), "left_semi").select("row.*")

@@ -395,4 +395,5 @@ def keep_one_of_each(docs: DataFrame, rule: NgramRule = NgramRule()) -> DataFram
     """``docs`` without near copies: of each component the rows with its smallest id stay, and rows with a NULL id."""
     result = near_duplicates(docs, rule)
     gone = stage(result.filter("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "ngram-gone")
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # columns may have any names
+    return rows.join(gone, F.col("row.doc_id") == F.col("gone_id"), "left_anti").select("row.*")

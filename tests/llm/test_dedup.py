@@ -202,3 +202,15 @@ def test_a_closest_pair_that_does_not_link_hides_no_other(table):
     documents = list(enumerate(texts))
     assert {r[2] for r in want_components(documents)} == {0}
     assert rows(ngram_join.near_duplicates(table(documents), CONTRACT), *NEAR) == want_components(documents)
+
+
+def test_stages_that_keep_one_take_columns_of_any_name(table):
+    text = " ".join(f"w{i}" for i in range(100))
+    docs = table([(1, text), (2, text + " more"), (3, text), (3, text), (None, "a"), (5, None)])
+    names = ("kept_id", "kept_sha", "kept_body", "gone_id", "row", "body", "id", "n_shingles", "component_id")
+    wide = docs.selectExpr("*", *[f"doc_id AS {n}" for n in names])
+    for stage, want in ((exact_dedup.keep_one_of_each, [1, 2, 5, None]), (ngram_join.keep_one_of_each, [1, 5, None])):
+        kept = stage(wide)
+        assert kept.columns == wide.columns
+        got = kept.collect()
+        assert sorted((r.doc_id for r in got), key=repr) == want and all(r.kept_id == r.doc_id == r.row == r.gone_id for r in got)

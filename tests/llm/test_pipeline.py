@@ -34,3 +34,30 @@ def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
     assert ngram_join.NgramRule() == ngram_join.NgramRule(words=5, percent=80)
+
+
+def test_stages_on_edge_cases(spark, edges, no_rows):
+    """Null, blank and very long texts, ties, repeated rows, NULL ids, columns named as stages name their own, and no rows."""
+    docs = edges.selectExpr("*", *[f"doc_id AS {n}" for n in ("rate", "row", "kept_id", "gone_id", "piece", "copies")])
+    columns = docs.columns
+    words = lambda t: len((t or "").split())
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        if name == "best_fit_packing":
+            packed = out.collect()
+            check_sequences(packed)
+            assert len([r for r in packed if r.piece == 0]) == docs.count()
+            break
+        assert out.columns == columns
+        docs = spark.createDataFrame(out.collect(), out.schema)
+        if name == "quality_rules":
+            assert all(words(r.text) >= 20 for r in docs.collect())
+            docs = docs.unionByName(edges.selectExpr("*", *[f"doc_id AS {n}" for n in columns[len(edges.columns) :]]))  # the next stages see the edges, too
+        if name in ("exact_dedup", "ngram_join"):
+            assert docs.count() > 0
+    empty = no_rows
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, SF)
+        assert out.count() == 0
+        if name != "best_fit_packing":
+            empty = spark.createDataFrame([], out.schema)

@@ -168,6 +168,19 @@ def test_licences_and_inheritance(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_absolute_paths_repeated_rows_and_long_texts(spark):
+    mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3"
+    rows = [
+        (1, "/a/LICENSE", mit), (2, "/a/x.c", "int x;"), (3, "/a/b/c/y.c", ""), (4, "/z.c", ""), (5, "//a//w.c", None),
+        (6, "q/LICENSE", gpl), (7, "q/long.c", "word five " * 300_000), (7, "q/long.c", "word five " * 300_000), (8, "/q/x.c", ""),
+    ]
+    got = sorted((r.doc_id, r.licence, r.inherited_from) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id bigint, path string, text string")).collect())
+    assert got == [
+        (1, "MIT", None), (2, "MIT", "/a"), (3, "MIT", "/a"), (4, None, None), (5, "MIT", "/a"),
+        (6, "GPL-3.0", None), (7, "GPL-3.0", "q"), (7, "GPL-3.0", "q"), (8, None, None),
+    ]
+
+
 def test_mixing_meets_its_rates(spark, table, no_rows):
     rows = [(i, "x" * 10, "en", None if i % 10 == 0 else "big" if i % 10 < 8 else "small") for i in range(4000)]
     docs = table(rows)
@@ -180,12 +193,28 @@ def test_mixing_meets_its_rates(spark, table, no_rows):
     assert set(counts) == {"big", "small"} and abs(counts["big"] - 2000) < 200 and abs(counts["small"] - 2000) < 250
     copies = mixed.groupBy("doc_id", "mix_copy").count()
     assert copies.filter("count > 1").isEmpty() and mixed.columns[: len(docs.columns)] == docs.columns
-    large = mixing.poisson_copies(docs, spark.createDataFrame([("big", 900.0)], "mix_source string, rate double")).filter("source = 'big'")
-    mean, spread = large.agg(F.avg("mix_copies"), F.variance("mix_copies")).first()
+    large = mixing.poisson_copies(docs, spark.createDataFrame([("big", 900.0)], "mix_source string, rate double")).filter("row.source = 'big'")
+    mean, spread = large.agg(F.avg("copies"), F.variance("copies")).first()
     assert abs(mean - 900) < 5 and abs(spread - 900) < 120
     assert mixing.mix(no_rows, mixing.source_rates(no_rows)).count() == 0
 
 
+def test_mixing_takes_any_other_column_and_repeated_ids(spark, table):
+    docs = table([(1, "a", "en", "s"), (1, "a", "en", "s"), (2, None, "en", None), (None, "b", "en", "s"), (3, "c" * 400_000, "en", "t")])
+    wide = docs.selectExpr("*", *[f"doc_id AS {n}" for n in ("rate", "blocks", "below", "mix_source", "copies", "row", "place", "terms", "copy", "n.dot".replace(".", "_"))])
+    many = spark.createDataFrame([("s", 3.0), (None, 3.0), ("t", 3.0)], "mix_source string, rate double")
+    plain = sorted((r.doc_id is not None, r.doc_id or 0, r.mix_copy, r.mix_order, r.text) for r in mixing.mix(docs, many).collect())
+    mixed = mixing.mix(wide, many)
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.mix_copy, r.mix_order, r.text) for r in mixed.collect()) == plain and plain
+    assert mixed.columns == [*wide.columns, "mix_rate", "mix_copy", "mix_order"]
+    assert mixed.filter("NOT (rate <=> doc_id) OR NOT (row <=> doc_id)").isEmpty()
+    ones = collections.Counter(r[2] for r in plain if r[1] == 1)
+    assert all(n == 2 for n in ones.values())  # rows that repeat share their draw
+    for name in ("mix_rate", "mix_copy", "mix_order"):
+        with pytest.raises(ValueError, match=name):
+            mixing.mix(docs.withColumn(name, F.lit(1)), many)
+
+
 def test_language_of_held_out_documents(spark, edges, no_rows):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.train(docs)
