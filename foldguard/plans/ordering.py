@@ -63,6 +63,24 @@ def signed_rank(spark, sf_dir):
     return rounded(audit.signed_rank(diffs, "diff"), {"z": 8})
 
 
+@query("R3 A13", f"""WITH RECURSIVE {_PAIRED},
+d AS (SELECT c_nationkey, round(diff, 2) AS diff FROM diffs JOIN customer ON c_custkey = o_custkey),
+r AS (SELECT *, rank() OVER (PARTITION BY c_nationkey ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY c_nationkey, abs(diff)) - 1) / 2.0 AS r FROM d WHERE diff <> 0),
+t AS (SELECT c_nationkey, sum(n * n * n - n) AS ties FROM (SELECT c_nationkey, CAST(count(*) AS DOUBLE) AS n FROM d WHERE diff <> 0 GROUP BY c_nationkey, abs(diff)) GROUP BY c_nationkey),
+z AS (SELECT c_nationkey, count(*) FILTER (diff = 0) AS n_zero FROM d GROUP BY c_nationkey),
+s AS (SELECT c_nationkey, count(*) AS n_used, coalesce(sum(r) FILTER (diff > 0), 0)::DOUBLE AS w_plus, coalesce(sum(r) FILTER (diff < 0), 0)::DOUBLE AS w_minus FROM r GROUP BY c_nationkey),
+ways(n, c) AS (SELECT 0, [1.0::DOUBLE] UNION ALL SELECT n + 1, list_transform(range(0, (n + 1) * (n + 2) // 2 + 1), lambda w: coalesce(c[w + 1], 0) + CASE WHEN w > n THEN c[w - n] ELSE 0 END) FROM ways WHERE n < 50)
+SELECT c_nationkey, n_used, n_zero, w_plus, w_minus, least(w_plus, w_minus) AS w,
+  round((least(w_plus, w_minus) - n_used * (n_used + 1) / 4.0::DOUBLE) / sqrt(n_used * (n_used + 1.0::DOUBLE) * (2 * n_used + 1) / 24.0::DOUBLE - ties / 48.0::DOUBLE), 8) AS z,
+  round(CASE WHEN ties = 0 AND n_zero = 0 AND n IS NOT NULL THEN least(1.0, 2 * list_sum(c[1:CAST(floor(least(w_plus, w_minus)) AS BIGINT) + 1]) / pow(2, n_used)) END, 9) AS p_exact
+FROM s JOIN t USING (c_nationkey) JOIN z USING (c_nationkey) LEFT JOIN ways ON n = n_used""")
+def signed_rank_groups(spark, sf_dir):
+    """The test for each nation's customers; exact where they are few."""
+    nation = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    diffs = rounded(order_pairs(spark, sf_dir), {"diff": 2}).join(nation, "o_custkey")
+    return rounded(audit.signed_rank_by(diffs, "diff", ["c_nationkey"]), {"z": 8, "p_exact": 9})
+
+
 @query("R4", f"""WITH {PRED},
 e AS (SELECT quantile_cont(p, [0.25, 0.5, 0.75]) AS q FROM pred)
 SELECT (CASE WHEN p >= q[1] THEN 1 ELSE 0 END) + (CASE WHEN p >= q[2] THEN 1 ELSE 0 END) + (CASE WHEN p >= q[3] THEN 1 ELSE 0 END) AS bin, count(*) AS n

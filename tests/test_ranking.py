@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -90,3 +92,27 @@ def test_residuals(frame, skewed):
     out = audit.group_residuals(frame, ["g"], "v", hot_rows=100).toPandas().set_index("id").sort_index()
     want = skewed["v"] - skewed.groupby("g")["v"].transform("mean")
     assert np.allclose(out["residual"].astype(float), want, equal_nan=True)
+
+
+def test_signed_rank_distribution_equals_enumeration():
+    table = {(n, w): p for n, w, p in audit.signed_rank_distribution(50)}
+    for n in range(1, 13):
+        sums = [min(s, n * (n + 1) // 2 - s) for signs in itertools.product((0, 1), repeat=n) for s in [sum(r for r, up in zip(range(1, n + 1), signs) if up)]]
+        for w in range(n * (n + 1) // 4 + 1):
+            assert table[n, w] == pytest.approx(min(1.0, sum(s <= w for s in sums) / len(sums)))
+    # Published two-sided critical values of the test (0.05).
+    for n, critical in ((10, 8), (15, 25), (20, 52), (25, 89), (50, 434)):
+        assert table[n, critical] <= 0.05 < table[n, critical + 1]
+
+
+def test_signed_rank_of_groups(spark):
+    rows = [("few", float(x)) for x in (1, -2, 3, 4, 5, 6)] + [("ties", x) for x in (1.0, -1.0, 2.0)] + [("zero", x) for x in (0.0, 1.0, 2.0)]
+    rows += [("many", float(x) * (-1) ** (x % 3 == 0)) for x in range(1, 60)] + [(None, 1.0), (None, None), ("none", 0.0)]
+    got = {r.g: r for r in audit.signed_rank_by(spark.createDataFrame(rows, "g string, d double"), "d", ["g"]).collect()}
+    assert set(got) == {"few", "ties", "zero", "many", None}
+    assert got["few"].p_exact == pytest.approx(0.09375) and got["few"].w == 2
+    assert got["ties"].p_exact is None and got["zero"].p_exact is None and got["zero"].n_zero == 1 and got[None].p_exact == 1.0
+    plain = audit.signed_rank(spark.createDataFrame([r for r in rows if r[0] == "many"], "g string, d double"), "d")
+    assert got["many"].p_exact is None and got["many"].z == pytest.approx(plain.first().z)
+    p = spark.createDataFrame([(got["many"].z,)], "z double").select(audit.normal_p(F.col("z"))).first()[0]
+    assert p == pytest.approx(audit.signed_rank_p(plain), abs=3e-7)
