@@ -6,14 +6,16 @@ distinct keys only; the rows never move for :func:`exact_holdout`.
 
 from __future__ import annotations
 
+import heapq
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import BUCKETS, md5_bucket, seeded_md5
+from ..session import stage
 from .joins import HOT_ROWS, lookup_by_key
 from .ranking import global_rank, group_positions
 
@@ -120,6 +122,62 @@ def group_fold_table(df: DataFrame, group: str, folds: int, seed: int = 42, out:
     return placed.join(quotas, "group_rows").select(group, "group_rows", fold.alias(out))
 
 
+def largest_first(sizes: Sequence[int], folds: int) -> tuple[list[int], list[int]]:
+    """The fold of each group, taken largest first to the lightest fold, and the folds' loads."""
+    loads, out = [(0, f) for f in range(folds)], [0] * len(sizes)
+    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        load, f = heapq.heappop(loads)
+        out[i] = f
+        heapq.heappush(loads, (load + sizes[i], f))
+    return out, [load for load, _ in sorted(loads, key=lambda x: x[1])]
+
+
+def filled_up(loads: Sequence[int], rows: int) -> list[float]:
+    """How much of ``rows`` each fold gets so that all that get any end at one level."""
+    order = sorted(loads)
+    below, level = 0, float(order[0])
+    for n, load in enumerate(order, 1):
+        below += load
+        level = (rows + below) / n
+        if n == len(order) or level <= order[n]:
+            break
+    return [max(0.0, level - load) for load in loads]
+
+
+def dealt_fold_table(df: DataFrame, group: str, folds: int, seed: int = 42, out: str = "fold", fineness: int = 1000) -> DataFrame:
+    """One row per group: its number of rows and its fold, with even folds, without a list of group sizes on the driver.
+
+    Groups of more than ``1 / (folds * fineness)`` of all rows are fewer than ``folds * fineness``: they go, largest first, to the lightest fold.
+    All others stand in hash order, and the rows before a group say whose room it falls into: the rooms are what each fold lacks
+    to the common level, one behind the other. A group that begins in a room belongs to it, so no fold misses the
+    level by as much as one small group, that is by one ``fineness``-th of an even fold; only a fold
+    that its large groups lift above the level stays above it. NULL is a group like any other.
+    """
+    groups = stage(
+        df.groupBy(group).agg(F.count(F.lit(1)).alias("group_rows")).withColumn("_draw", seeded_md5(seed, F.col(group))), "group-sizes"
+    )
+    total = groups.agg(F.coalesce(F.sum("group_rows"), F.lit(0)).alias("n")).first().n
+    most = total // (folds * fineness)
+    large = groups.filter(F.col("group_rows") > most).select(group, "group_rows").orderBy(F.desc("group_rows"), "_draw", group).collect()
+    chosen, loads = largest_first([r["group_rows"] for r in large], folds)
+    rooms = filled_up(loads, total - sum(loads))
+    ends = [sum(rooms[: f + 1]) for f in range(folds)]
+    last = max(range(folds), key=lambda f: (rooms[f] > 0, f))  # what rounding leaves over
+    small = group_positions(groups.filter(F.col("group_rows") <= most), [], ["_draw", group], "group_rows")
+    room = F.least(F.size(F.filter(F.lit([float(e) for e in ends]), lambda e: e <= F.col("before"))), F.lit(last))
+    placed = small.select(group, "group_rows", room.cast("int").alias(out))
+    known = df.sparkSession.createDataFrame([(r[group], r["group_rows"], f) for r, f in zip(large, chosen, strict=True)], placed.schema)
+    return placed.unionByName(known)
+
+
+def dealt_group_folds(
+    df: DataFrame, group: str, folds: int, seed: int = 42, out: str = "fold", fineness: int = 1000, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """The rows with their group's fold of :func:`dealt_fold_table`."""
+    table = dealt_fold_table(df, group, folds, seed, out, fineness)
+    return lookup_by_key(df, table, [group], "group_rows", hot_rows, null_is_key=True)
+
+
 def nested_holdout(df: DataFrame, group: str, fraction: float | str, seed: int = 7, out: str = "part") -> DataFrame:
     """Split a holdout once more by group: 'calibration' and 'test'."""
     side = hash_holdout(F.col(group), fraction, seed)

@@ -76,6 +76,22 @@ def kfold_balance(spark, sf_dir):
     return folded.groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@query("G3 G1", f"""
+WITH g AS (SELECT CASE WHEN o_custkey % 37 > 0 THEN o_custkey END AS k, count(*) AS size FROM orders GROUP BY k),
+t AS (SELECT sum(size) AS n FROM g), large AS (SELECT k, size FROM g, t WHERE size > n // 500),
+p AS (SELECT k, size, sum(size) OVER (ORDER BY md5('42' || coalesce('|' || k, '')), k) - size AS before FROM g, t WHERE size <= n // 500),
+r AS (SELECT (n - (SELECT coalesce(sum(size), 0) FROM large)) AS rest, coalesce((SELECT max(size) FROM large), 0) AS top FROM t),
+-- At most one group is large here: it fills fold 0, and the others go up to one level.
+lv AS (SELECT rest, top, greatest(0.0, (rest + top) / 5.0 - top) AS room0 FROM r),
+e AS (SELECT *, (rest - room0) / CASE WHEN top > 0 THEN 4.0 ELSE 5.0 END AS room FROM lv)
+SELECT k, size AS group_rows, CAST(least(4, (SELECT count(*) FROM range(5) f(i) WHERE (CASE WHEN top > 0 THEN room0 + i * room ELSE (i + 1) * room END) <= before)) AS INTEGER) AS fold FROM p, e
+UNION ALL SELECT k, size, 0 FROM large""")
+def kfold_dealt(spark, sf_dir):
+    """Even folds of customers, a part of them under one NULL key, without a list of sizes on the driver."""
+    o = table(spark, sf_dir, "orders").select(F.when(F.pmod("o_custkey", F.lit(37)) > 0, F.col("o_custkey")).alias("k"))
+    return sp.dealt_fold_table(o, "k", 5, fineness=100)
+
+
 @query("G5", f"""
 SELECT o_orderkey, CASE WHEN {sql_bucket(7, 'o_custkey')} < {HALF_CUT} THEN 'test' ELSE 'calibration' END AS part
 FROM orders WHERE {sql_bucket(42, 'o_custkey')} < {TEST_CUT}""")

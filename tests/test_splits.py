@@ -17,6 +17,7 @@ def grouped(spark, n=2000, groups=60):
     lambda df: df.withColumn("split", sp.hash_holdout(F.col("g"), "0.2")),
     lambda df: sp.exact_holdout(df, "g", "0.2"),
     lambda df: sp.balanced_group_folds(df, "g", 5, out="split", hot_rows=100),
+    lambda df: sp.dealt_group_folds(df, "g", 5, out="split", fineness=2, hot_rows=100),
 ])
 def test_groups_stay_on_one_side(spark, make):
     df = grouped(spark)
@@ -69,3 +70,28 @@ def test_report(spark):
     df = spark.createDataFrame([("a", "train"), ("unknown", "test"), ("unknown", "test")], "g string, split string")
     rows = {r["split"]: r for r in sp.split_report(df, "g", "split").collect()}
     assert rows["test"]["n_sentinel"] == 2 and rows["train"]["row_share"] == pytest.approx(1 / 3)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 60), min_size=1, max_size=6), st.integers(0, 200))
+def test_rooms_end_at_one_level(loads, rows):
+    rooms = sp.filled_up(loads, rows)
+    tops = [load + room for load, room in zip(loads, rooms) if room > 0]
+    assert sum(rooms) == pytest.approx(rows) and all(r >= 0 for r in rooms)
+    assert not tops or max(tops) - min(tops) < 1e-6 and all(load >= max(tops) - 1e-6 for load, r in zip(loads, rooms) if r == 0)
+
+
+@pytest.mark.parametrize(("fineness", "hot"), [(1, 0), (10, 0), (10, 900), (1000, 300)])
+def test_dealt_folds_are_even_and_repeatable(spark, fineness, hot):
+    sizes = [(i, 1 + i * i % 23) for i in range(200)] + [(None, 17)] + ([(999, hot)] if hot else [])
+    df = spark.createDataFrame([(k,) for k, n in sizes for _ in range(n)], "k bigint").repartition(7)
+    table = {r.k: (r.group_rows, r.fold) for r in sp.dealt_fold_table(df, "k", 4, fineness=fineness).collect()}
+    assert {k: n for k, (n, _) in table.items()} == dict(sizes)
+    total = sum(n for _, n in sizes)
+    loads = [sum(n for n, f in table.values() if f == g) for g in range(4)]
+    small = max((n for n, _ in table.values() if n <= total // (4 * fineness)), default=0)
+    level = (total - hot) / 3 if hot > total / 4 else total / 4
+    even = [load for load in loads if not (hot and load == max(loads) and hot > level)]
+    assert max(abs(load - level) for load in even) <= max(small, max(n for k, n in sizes if k != 999) if fineness == 1000 else small) + 1e-6
+    assert {r.k: (r.group_rows, r.fold) for r in sp.dealt_fold_table(df.repartition(3), "k", 4, fineness=fineness).collect()} == table
+    assert sp.dealt_fold_table(df.limit(0), "k", 4).count() == 0
