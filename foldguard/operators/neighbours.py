@@ -1,16 +1,18 @@
 """Exact k-nearest-neighbour join and the applicability domain built on it.
 
-The space is cut into cells around a bounded number of pivots.  Triangle-inequality
-bounds (as in the published MapReduce kNN-join literature) decide which cells a
-reference vector can matter to, so far-apart cells never meet.  A cell is worked on in
-blocks of bounded size on both sides: no task holds a whole cell, and a block returns k
-rows per query, never its pairs.
+Space is cut by a tree of pivots: a node's vectors go to the nearest of its children's pivots, and nodes are split until a leaf holds about
+``leaf_rows`` reference rows, so the number of leaves grows with the table and the cost of a comparison does not. For every leaf with
+queries the triangle inequality bounds how far its neighbours can lie from its pivot; a node above has the bound that
+covers its leaves. A reference row walks down the tree and leaves a branch as soon as it lies beyond the branch's bound,
+so it meets the leaves that it can matter to, without being compared with all pivots. A leaf is worked on in blocks
+of bounded size on both sides: no task holds a whole leaf, and a block returns k rows per query, never its pairs.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -20,12 +22,16 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.hashing import seeded_md5
-from ..session import stage
+from ..session import importable, stage
 from .metrics import abs_error
 from .ranking import exact_quantiles
 
 QUERY_BLOCK = 4096
 REFERENCE_BLOCK = 16384
+LEAF_ROWS = 256
+#: The tree is made of a sample and goes to every task: so many leaves at most, and so many sampled rows for each.
+MOST_LEAVES, SAMPLED = 4096, 16
+BRANCHES = 16
 _QUERY_STEP = 256  # rows of one distance matrix
 _SLACK = 1e-9  # bounds are widened by this relative amount, so rounding cannot lose a neighbour
 
@@ -39,45 +45,153 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squares, 0.0))
 
 
-def choose_pivots(refs: DataFrame, key: str, vector: str, n: int) -> np.ndarray:
-    """``n`` vectors drawn by hash; any choice gives the same neighbours."""
-    rows = refs.orderBy(seeded_md5("pivot", F.col(key)), key).limit(n).select(vector).collect()
-    return np.unique(np.array([r[0] for r in rows], dtype=np.float64), axis=0)
+@dataclass(frozen=True)
+class PivotTree:
+    """Nodes by number, the root first: their pivots, their children (none for a leaf), and each leaf's number."""
 
+    pivots: np.ndarray
+    children: tuple[tuple[int, ...], ...]
+    leaf: tuple[int, ...]  # -1 for inner nodes
 
-def _to_cells(df: DataFrame, key: str, vector: str, pivots: np.ndarray) -> DataFrame:
-    """(id, vector, nearest pivot, distance to every pivot)."""
+    @property
+    def leaves(self) -> list[int]:
+        return [n for n, i in enumerate(self.leaf) if i >= 0]
+
+
+def far_apart(rows: np.ndarray, n: int) -> np.ndarray:
+    """Up to ``n`` of the rows, each the farthest from those before it; fewer if no other row is left."""
+    chosen = [0]
+    away = _distances(rows, rows[[0]])[:, 0]
+    while len(chosen) < n:
+        top = int(away.argmax())
+        if not (rows[top] != rows[chosen]).any(axis=1).all():
+            break
+        chosen.append(top)
+        away = np.minimum(away, _distances(rows, rows[[top]])[:, 0])
+    return rows[chosen]
+
+
+def grown_tree(sample: np.ndarray, leaves: int, branches: int = BRANCHES) -> PivotTree:
+    """Split the node whose rows lie farthest from its pivot in sum, into the cells of rows far apart, until there are so many leaves.
+
+    ``sample`` comes in random order. Any tree gives the same neighbours. Rows that are all alike cannot be split.
+    """
+    pivots, children, rows, spread = [sample[0]], [()], {0: np.arange(len(sample))}, {0: math.inf}
+    count = 1
+    while count < leaves and spread:
+        node = max(spread, key=lambda n: (spread[n], -n))
+        del spread[node]
+        at = rows.pop(node)
+        chosen = far_apart(sample[at], min(branches, leaves - count + 1))
+        if len(chosen) < 2:
+            continue
+        away = _distances(sample[at], chosen)
+        near, own = away.argmin(1), []
+        for i, pivot in enumerate(chosen):
+            own.append(len(pivots))
+            pivots.append(pivot)
+            children.append(())
+            rows[own[-1]] = at[near == i]
+            if (total := float(away[near == i, i].sum())) > 0:
+                spread[own[-1]] = total
+        children[node] = tuple(own)
+        count += len(own) - 1
+    number = iter(range(count))
+    return PivotTree(np.array(pivots), tuple(children), tuple(-1 if c else next(number) for c in children))
+
+
+def choose_tree(refs: DataFrame, key: str, vector: str, leaf_rows: int = LEAF_ROWS) -> PivotTree | None:
+    """A tree with a leaf for about every ``leaf_rows`` rows; None of an empty table."""
+    leaves = min(MOST_LEAVES, max(1, -(-refs.count() // leaf_rows)))
+    rows = refs.orderBy(seeded_md5("pivot", F.col(key)), key).limit(leaves * SAMPLED).select(vector).collect()
+    return grown_tree(np.array([r[0] for r in rows], dtype=np.float64), leaves) if rows else None
+
+
+def assigned(tree: PivotTree, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The leaf of each vector, always down to the nearest child, and its distance from the leaf's pivot."""
+    node = np.zeros(len(vectors), np.int64)
+    while True:
+        moved = False
+        for n in np.unique(node):
+            if tree.children[n]:
+                at, below = np.flatnonzero(node == n), np.array(tree.children[n])
+                node[at] = below[_distances(vectors[at], tree.pivots[below]).argmin(1)]
+                moved = True
+        if not moved:
+            break
+    own = np.sqrt(((vectors - tree.pivots[node]) ** 2).sum(1))
+    return np.array(tree.leaf)[node], own
+
+
+def routed(tree: PivotTree, reach: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row, leaf): the leaves whose reach a vector lies in, by the branches whose bound it does not pass."""
+    rows, leaves = [], []
+    waiting = [(0, np.arange(len(vectors)))]
+    while waiting:
+        n, at = waiting.pop()
+        at = at[_distances(vectors[at], tree.pivots[[n]])[:, 0] <= reach[n]]
+        if not len(at):
+            continue
+        if tree.children[n]:
+            waiting += [(c, at) for c in tree.children[n]]
+        else:
+            rows.append(at)
+            leaves.append(np.full(len(at), tree.leaf[n], np.int64))
+    return (np.concatenate(rows), np.concatenate(leaves)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _to_cells(df: DataFrame, key: str, vector: str, tree: PivotTree) -> DataFrame:
+    """(id, vector, leaf, distance to its pivot)."""
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                d = _distances(_matrix(batch["vector"]), pivots)
-                yield pd.DataFrame(
-                    {
-                        "id": batch["id"], "vector": batch["vector"],
-                        "cell": d.argmin(1).astype("int32"), "own": d.min(1), "to_pivots": list(d),
-                    }
-                )
+                cell, own = assigned(tree, _matrix(batch["vector"]))
+                yield pd.DataFrame({"id": batch["id"], "vector": batch["vector"], "cell": cell.astype("int32"), "own": own})
 
     id_type = df.schema[key].dataType.simpleString()
     plain = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
-    schema = f"id {id_type}, vector array<double>, cell int, own double, to_pivots array<double>"
-    return plain.mapInPandas(assign, schema)
+    return importable(plain).mapInPandas(assign, f"id {id_type}, vector array<double>, cell int, own double")
+
 
+def node_reach(tree: PivotTree, leaf_reach: dict[int, float]) -> np.ndarray:
+    """Per node the distance from its pivot beyond which no row matters to a leaf below; -1 where no leaf is asked for."""
+    out = np.full(len(tree.children), -1.0)
+    held: list[list[int]] = [[] for _ in tree.children]  # leaves below, as nodes
+    for n in reversed(range(len(tree.children))):  # children have larger numbers
+        held[n] = [n] if not tree.children[n] else [x for c in tree.children[n] for x in held[c]]
+        asked = [x for x in held[n] if tree.leaf[x] in leaf_reach]
+        if asked:
+            away = _distances(tree.pivots[[n]], tree.pivots[asked])[0]
+            bound = max(d + leaf_reach[tree.leaf[x]] for d, x in zip(away, asked, strict=True))
+            out[n] = bound * (1 + _SLACK) + _SLACK
+    return out
 
-def _reach(queries: DataFrame, refs: DataFrame, pivots: np.ndarray, k: int) -> dict[int, float]:
-    """Per query cell the distance from its pivot within which all neighbours must lie."""
+
+def _reach(queries: DataFrame, refs: DataFrame, tree: PivotTree, k: int) -> dict[int, float]:
+    """Per leaf with queries the distance from its pivot within which all neighbours must lie."""
     radius = {r["cell"]: r["u"] for r in queries.groupBy("cell").agg(F.max("own").alias("u")).collect()}
     order = Window.partitionBy("cell").orderBy("own", "id")
     nearest = (
         refs.select("cell", "own", "id").withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= k).select("cell", "own").collect()  # k rows per pivot
+        .filter(F.col("place") <= k).select("cell", "own").collect()  # k rows per leaf
     )
-    between = _distances(pivots, pivots)
+    pivots = tree.pivots[tree.leaves]
+    rows: dict[int, list[float]] = {}
+    for r in nearest:
+        rows.setdefault(r["cell"], []).append(r["own"])
+    cells = np.array(sorted(rows), np.int64)
     reach = {}
     for cell, u in radius.items():
-        bounds = sorted(u + between[cell, r["cell"]] + r["own"] for r in nearest)
-        reach[cell] = (bounds[k - 1] if len(bounds) >= k else math.inf) + u
+        away = _distances(pivots[[cell]], pivots[cells])[0]
+        close = np.argsort(away, kind="stable")  # any leaves bound the distance; the close ones bound it best
+        bounds: list[float] = []
+        for i in close:
+            bounds += [away[i] + d for d in rows[int(cells[i])]]
+            if len(bounds) >= 8 * k:
+                break
+        bounds.sort()
+        reach[cell] = (bounds[k - 1] + u if len(bounds) >= k else math.inf) + u
     return {c: r * (1 + _SLACK) + _SLACK for c, r in reach.items()}
 
 
@@ -119,30 +233,38 @@ def _merge_block(k: int, self_join: bool, schema: T.StructType):
 
 def knn_join(
     queries: DataFrame, refs: DataFrame, key: str, vector: str, k: int, self_join: bool = False,
-    pivots: int = 16, query_block: int = QUERY_BLOCK, reference_block: int = REFERENCE_BLOCK,
+    leaf_rows: int = LEAF_ROWS, query_block: int = QUERY_BLOCK, reference_block: int = REFERENCE_BLOCK,
 ) -> DataFrame:
     """(id, neighbour, distance, place): the exact ``k`` nearest reference rows of every query.
 
     Equal distances are ordered by the neighbour's id.  ``self_join`` leaves out the row
     itself when both sides are one table.
     """
-    centres = choose_pivots(refs, key, vector, pivots)
-    q = stage(_to_cells(queries, key, vector, centres), "knn-queries")
-    r = q if self_join else stage(_to_cells(refs, key, vector, centres), "knn-references")
-    reach = _reach(q, r, centres, k + 1 if self_join else k)
-
-    # A reference row is sent to the query cells whose reach it lies in.
-    limits = F.lit([float(reach.get(c, -1.0)) for c in range(len(centres))])
-    cells = F.filter(
-        F.sequence(F.lit(0), F.lit(len(centres) - 1)),
-        lambda c: F.element_at("to_pivots", c + 1) <= F.element_at(limits, c + 1),
+    id_type = queries.schema[key].dataType
+    schema = T.StructType(
+        [T.StructField("id", id_type), T.StructField("neighbour", id_type), T.StructField("distance", T.DoubleType())]
     )
-    routed = r.select("id", "vector", F.explode(cells).alias("cell"))
+    tree = choose_tree(refs, key, vector, leaf_rows)
+    if tree is None:
+        return queries.sparkSession.createDataFrame([], schema).withColumn("place", F.lit(1))
+    q = stage(_to_cells(queries, key, vector, tree), "knn-queries")
+    r = q if self_join else stage(_to_cells(refs, key, vector, tree), "knn-references")
+    reach = node_reach(tree, _reach(q, r, tree, k + 1 if self_join else k))
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                row, leaf = routed(tree, reach, _matrix(batch["vector"]))
+                yield pd.DataFrame({"id": batch["id"].to_numpy()[row], "vector": batch["vector"].to_numpy()[row], "cell": leaf.astype("int32")})
+
+    # A reference row is sent to the leaves whose reach it lies in.
+    sent = r.select("id", "vector").mapInPandas(route, f"id {id_type.simpleString()}, vector array<double>, cell int")
+    met = stage(sent, "knn-routed")
 
-    # Cells are cut into blocks; both counts come from small per-cell aggregates.
+    # Leaves are cut into blocks; both counts come from small per-leaf aggregates.
     n_q = {x["cell"]: x["n"] for x in q.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_r = {x["cell"]: x["n"] for x in routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    blocks = range(len(centres))
+    n_r = {x["cell"]: x["n"] for x in met.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    blocks = range(len(tree.leaves))
     q_blocks = F.element_at(F.lit([max(1, -(-n_q.get(c, 0) // query_block)) for c in blocks]), F.col("cell") + 1)
     r_blocks = F.element_at(F.lit([max(1, -(-n_r.get(c, 0) // reference_block)) for c in blocks]), F.col("cell") + 1)
 
@@ -153,11 +275,7 @@ def knn_join(
         return F.explode(F.sequence(F.lit(0), count - 1))
 
     left = q.select("id", "vector", "cell", own(q_blocks).alias("qb"), every(r_blocks).alias("rb"))
-    right = routed.select("id", "vector", "cell", own(r_blocks).alias("rb"), every(q_blocks).alias("qb"))
-    id_type = queries.schema[key].dataType
-    schema = T.StructType(
-        [T.StructField("id", id_type), T.StructField("neighbour", id_type), T.StructField("distance", T.DoubleType())]
-    )
+    right = met.select("id", "vector", "cell", own(r_blocks).alias("rb"), every(q_blocks).alias("qb"))
     block = ["cell", "qb", "rb"]
     near = (
         left.groupBy(*block).cogroup(right.groupBy(*block))
@@ -173,13 +291,13 @@ def mean_neighbour_distance(neighbours: DataFrame) -> DataFrame:
 
 def applicability_domain(
     train: DataFrame, test: DataFrame, key: str, vector: str, y: str, p: str, half_width: float,
-    k: int = 5, prob: float = 0.95, pivots: int = 16,
+    k: int = 5, prob: float = 0.95, leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
     """Share of test rows as close to the training data as training rows are to each other,
     with error and interval coverage inside and outside.  One row per side, plus the threshold."""
-    inner = mean_neighbour_distance(knn_join(train, train, key, vector, k, True, pivots))
+    inner = mean_neighbour_distance(knn_join(train, train, key, vector, k, True, leaf_rows))
     threshold = exact_quantiles(inner, ["mean_distance"], [prob]).first()[0]
-    outer = mean_neighbour_distance(knn_join(test, train, key, vector, k, False, pivots))
+    outer = mean_neighbour_distance(knn_join(test, train, key, vector, k, False, leaf_rows))
     scored = test.select(F.col(key).alias("id"), y, p).join(outer, "id")
     err = abs_error(y, p)
     return (

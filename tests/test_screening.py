@@ -90,13 +90,53 @@ def test_knn_is_exact_with_copies_and_clusters(spark, self_join, blocks):
     assert sorted((r["id"], r["neighbour"], round(r["distance"], 9)) for r in got) == want
 
 
-def test_far_cells_are_not_compared(spark):
+def test_far_leaves_are_not_compared(spark):
     rows = [(i, [float(i % 2) * 1e6 + i * 0.001, 0.0]) for i in range(200)]
     df = spark.createDataFrame(rows, "id long, v array<double>")
-    centres = neighbours.choose_pivots(df, "id", "v", 8)
-    cells = neighbours._to_cells(df, "id", "v", centres)
-    reach = neighbours._reach(cells, cells, centres, 3)
-    assert max(reach.values()) < 1000
+    tree = neighbours.choose_tree(df, "id", "v", 25)
+    cells = neighbours._to_cells(df, "id", "v", tree)
+    reach = neighbours._reach(cells, cells, tree, 3)
+    assert len(tree.leaves) == 8 and max(reach.values()) < 1000
+
+
+@pytest.mark.parametrize("leaves", [1, 2, 7, 40])
+def test_tree_sends_each_row_to_every_leaf_it_matters_to(leaves):
+    rng = np.random.default_rng(leaves)
+    sample = rng.normal(0, 20, (12, 4))[rng.integers(0, 12, 400)] + rng.normal(0, 1, (400, 4))
+    tree = neighbours.grown_tree(sample, leaves, branches=3)
+    assert len(tree.leaves) == leaves and sorted(tree.leaf[n] for n in tree.leaves) == list(range(leaves))
+    leaf_reach = {int(i): float(rng.uniform(1, 30)) for i in rng.choice(leaves, (leaves + 1) // 2, replace=False)}
+    rows = rng.normal(0, 20, (100, 4))
+    got = set(zip(*(x.tolist() for x in neighbours.routed(tree, neighbours.node_reach(tree, leaf_reach), rows))))
+    pivots = tree.pivots[tree.leaves]
+    for r in range(100):
+        for leaf, reach in leaf_reach.items():
+            if np.linalg.norm(rows[r] - pivots[leaf]) <= reach:
+                assert (r, leaf) in got
+    cell, own = neighbours.assigned(tree, rows)
+    assert np.allclose(own, np.linalg.norm(rows - pivots[cell], axis=1))
+
+
+def test_alike_rows_cannot_be_split():
+    tree = neighbours.grown_tree(np.ones((50, 3)), 9)
+    assert tree.leaves == [0] and neighbours.assigned(tree, np.zeros((2, 3)))[0].tolist() == [0, 0]
+
+
+def test_comparisons_grow_in_proportion_on_clustered_vectors(spark):
+    """Four times the rows, in four times the clusters: pairs that are compared grow about as much, not by sixteen."""
+    rng = np.random.default_rng(5)
+    pairs = {}
+    for n in (1_000, 4_000):
+        centres = rng.normal(0, 100, (n // 50, 6))
+        vectors = centres[np.arange(n) % len(centres)] + rng.normal(0, 0.5, (n, 6))
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, v array<double>")
+        tree = neighbours.choose_tree(df, "id", "v", 12)
+        cells = neighbours._to_cells(df, "id", "v", tree)
+        reach = neighbours.node_reach(tree, neighbours._reach(cells, cells, tree, 4))
+        asked = np.bincount(neighbours.assigned(tree, vectors)[0], minlength=len(tree.leaves))
+        _, leaves = neighbours.routed(tree, reach, vectors)
+        pairs[n] = int((asked * np.bincount(leaves, minlength=len(tree.leaves))).sum())
+    assert pairs[4_000] < 8 * pairs[1_000] and pairs[4_000] < 4_000**2 / 8
 
 
 def test_default_space():
