@@ -248,8 +248,8 @@ def _number_apart(a: tuple[int, int], b: tuple[int, int]) -> int:
     return (x ^ y).bit_count()
 
 
-def _few_across(block: dict[str, list], rule: NgramRule) -> list[tuple[int, int, int]]:
-    """All pairs of a small block that can link: positions, bits apart."""
+def _few_across(block: dict[str, list], rule: NgramRule, closest_only: bool) -> list[tuple[int, int]]:
+    """Pairs of nodes of a small block that can link; of each two components the closest, if that is all that is asked for."""
     bits = [(int.from_bytes(b, "little"), 8 * len(b)) for b in block["bits"]]
     node, n, comp, side = block["node"], block["n"], block["comp"], block["side"]
     found = []
@@ -258,61 +258,91 @@ def _few_across(block: dict[str, list], rule: NgramRule) -> list[tuple[int, int,
             if comp[i] != comp[j] and (side[i] != side[j] or side[i] == 2):
                 apart = _number_apart(bits[i], bits[j])
                 if apart <= rule.apart(n[i] + n[j]):
-                    found.append((i, j, apart))
-    return found
-
-
-def _many_across(block: dict[str, list], rule: NgramRule) -> list[tuple[int, int, int]]:
+                    found.append((apart, i, j))
+    if closest_only:
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for pair in found:
+            key = (min(comp[pair[1]], comp[pair[2]]), max(comp[pair[1]], comp[pair[2]]))
+            best[key] = min(best.get(key, pair), pair)
+        found = list(best.values())
+    return [(min(node[i], node[j]), max(node[i], node[j])) for _, i, j in found]
+
+
+def _many_across(block: dict[str, list], rule: NgramRule, closest_only: bool) -> Iterator[np.ndarray]:
+    """The same for a large block as arrays of positions and bits apart, a run of rows at a time, the closest ones of each run."""
     rows = _folded(block["bits"])
-    size, comp, side = (np.array(block[c]) for c in ("n", "comp", "side"))
+    size, side = (np.array(block[c]) for c in ("n", "side"))
     # Members of the largest component are met by the others only; the others meet each other, too.
-    names, count = np.unique(comp, return_counts=True)
-    found = []
-    for i in np.flatnonzero(comp != names[count.argmax()]):
+    _, comp, count = np.unique(block["comp"], return_inverse=True, return_counts=True)
+    largest = count.argmax()
+    found, held = [], 0
+    for i in np.flatnonzero(comp != largest):
         apart = np.bitwise_count(rows ^ rows[i]).sum(axis=1, dtype=np.int64)
-        at = np.flatnonzero((apart <= rule.apart(size + size[i])) & (comp != comp[i]) & ((side != side[i]) | (side == 2)))
-        found += [(int(i), int(j), int(apart[j])) for j in at]
-    return found
+        once = (comp == largest) | (np.arange(len(comp)) < i)
+        at = np.flatnonzero((apart <= rule.apart(size + size[i])) & (comp != comp[i]) & ((side != side[i]) | (side == 2)) & once)
+        found.append(np.stack([np.full(len(at), i), at, apart[at]], axis=1).astype(np.int32))
+        held += len(at)
+        if held > 500_000:
+            found = [_closest(np.concatenate(found), comp) if closest_only else np.concatenate(found)]
+            if (held := len(found[0])) > 250_000:
+                yield found[0]
+                found, held = [], 0
+    if found:
+        yield _closest(np.concatenate(found), comp) if closest_only else np.concatenate(found)
+
+
+def _closest(found: np.ndarray, comp: np.ndarray) -> np.ndarray:
+    """Of pairs (positions, bits apart) the closest one of each two components: one link joins them."""
+    a, b = comp[found[:, 0]], comp[found[:, 1]]
+    key = np.minimum(a, b) * (int(comp.max()) + 1) + np.maximum(a, b)
+    order = np.lexsort((found[:, 1], found[:, 0], found[:, 2], key))
+    first = np.concatenate([[True], key[order][1:] != key[order][:-1]]) if len(order) else np.zeros(0, bool)
+    return found[order[first]]
 
 
 def _across(rule: NgramRule, closest_only: bool):
     """Within each block of a bucket (rows come sorted by block), pairs of different components that can link."""
     columns = ("node", "comp", "n", "bits", "side")
 
-    def pairs_of(block: dict[str, list]) -> set[tuple[int, int]]:
-        found = (_few_across if len(block["node"]) <= 12 else _many_across)(block, rule)
-        if closest_only:
-            # One link joins two components: the closest pair of each two goes first.
-            best: dict[tuple[int, int], tuple[int, int, int]] = {}
-            comp = block["comp"]
-            for i, j, apart in found:
-                key = (min(comp[i], comp[j]), max(comp[i], comp[j]))
-                best[key] = min(best.get(key, (apart, i, j)), (apart, i, j))
-            found = [(x, y, apart) for apart, x, y in best.values()]
-        node = block["node"]
-        return {(min(node[i], node[j]), max(node[i], node[j])) for i, j, _ in found}
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+        few: list[tuple[int, int]] = []
+        many: list[np.ndarray] = []
+        rows = 0
+
+        def out() -> pa.RecordBatch:
+            """What was found since the last time; a pair may come more than once."""
+            nonlocal rows
+            pairs = np.concatenate([np.array(few, np.int64).reshape(-1, 2), *many])
+            few.clear()
+            many.clear()
+            rows = 0
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, i].copy()) for i in (0, 1)], ["a", "b"])
+
+        def compared(block: dict[str, list]) -> Iterator[pa.RecordBatch]:
+            nonlocal rows
+            if len(block["node"]) <= 12:
+                few.extend(_few_across(block, rule, closest_only))
+            else:
+                node = np.array(block["node"], np.int64)
+                for found in _many_across(block, rule, closest_only):
+                    many.append(np.sort(node[found[:, :2]], axis=1))
+                    rows += len(found)
+                    if rows > 50_000:
+                        yield out()
+            if len(few) > 20_000:
+                yield out()
 
-        pairs: set[tuple[int, int]] = set()
         name, block = None, {c: [] for c in columns}
         for batch in batches:
-            rows = batch.to_pydict()
-            for r, at in enumerate(zip(rows["key"], rows["i"], rows["j"], strict=True)):
+            values = batch.to_pydict()
+            for r, at in enumerate(zip(values["key"], values["i"], values["j"], strict=True)):
                 if at != name:
-                    if len(block["node"]) > 1:
-                        pairs |= pairs_of(block)
+                    yield from compared(block)
                     name, block = at, {c: [] for c in columns}
                 for c in columns:
-                    block[c].append(rows[c][r])
-            if len(pairs) > 50_000:
-                yield out(pairs)
-                pairs = set()
-        if len(block["node"]) > 1:
-            pairs |= pairs_of(block)
-        yield out(pairs)
+                    block[c].append(values[c][r])
+        yield from compared(block)
+        yield out()
 
     return compare
 
