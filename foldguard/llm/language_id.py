@@ -264,10 +264,10 @@ def train(docs: DataFrame, settings: CrfSettings = CrfSettings()) -> Crf:
     key = F.xxhash64("doc_id", F.lit(settings.seed))
     usable = rows.filter(F.length("text").between(1, settings.most_chars)).select("lang", key.alias("key"), "doc_id")
     # The smallest hashes of each language, kept per task before anything is shuffled.
-    chosen = _smallest(usable, settings.documents_per_language).select("doc_id").distinct()
-    sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi").orderBy("lang", "doc_id", "text").limit(
-        2 * settings.documents_per_language * max(1, len(lexicons))
-    ).collect()
+    chosen = _smallest(usable, settings.documents_per_language).select("lang", "doc_id").distinct()
+    # A row for each of them, however often an id repeats: no language gets fewer because another has more.
+    texts = rows.filter(F.length("text").between(1, settings.most_chars)).join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi")
+    sample = texts.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).orderBy("lang", "doc_id").collect()
     if not sample:
         return Crf([])
     return fit([r.text for r in sample], [r.lang for r in sample], lexicons, settings)

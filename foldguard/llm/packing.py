@@ -14,6 +14,7 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -101,9 +102,13 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     """Sequences that pieces of these lengths need at least, by two families of dual-feasible functions."""
-    if len(lengths) == 0:
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def bound_of_counts(count: np.ndarray, capacity: int) -> int:
+    """The same from the number of pieces of each length, 0 to the capacity."""
+    if not count.any():
         return 0
-    count = np.bincount(lengths, minlength=capacity + 1)
     size = np.arange(capacity + 1)
     total, pairs = count * size, capacity * count
     sums = [int(total.sum())]
@@ -147,11 +152,12 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, np.array(free, np.int64)
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, unit_rows: int = UNIT_ROWS, rounds: int = ROUNDS) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = CAPACITY, unit_rows: int = UNIT_ROWS) -> DataFrame:
     """Pieces with ``sequence_id`` and ``offset``; ``parts`` comes from ``token_pieces`` and is written already.
 
-    ``certified`` tells whether the sequence belongs to a unit that reached its lower bound. Ties between equal lengths go
-    by the order of ``uid``. An empty table gives no rows.
+    Units that miss their bound give the pieces of sequences with room to the next round, which deals them to other units. Rounds go on as
+    long as they save a sequence; one that saves none is undone. ``certified`` tells whether the sequence belongs
+    to a unit that reached its lower bound. Ties between equal lengths go by the order of ``uid``. An empty table gives no rows.
     """
 
     def pack_unit(unit: pd.DataFrame) -> pd.DataFrame:
@@ -164,24 +170,39 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, unit_rows: int = UNIT_ROWS,
     full = parts.filter(F.col("length") == capacity).select(
         *parts.columns, (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"), F.lit(True).alias("certified")
     )
+    counted = [F.count(F.lit(1)).alias("rows"), F.sum((F.col("offset") == 0).cast("int")).alias("sequences")]
     done, rest = [full], parts.filter(F.col("length") < capacity)
-    number = rest.count()
-    for turn in range(rounds):
+    number, before, last, turn = rest.count(), None, None, 0
+    while number:
         units = max(1, round(number / unit_rows))
         dealt = rest.select(*parts.columns, F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(units)).alias("unit"))
         packed = stage(dealt.groupBy("unit").applyInPandas(pack_unit, _PACKED), "packed")
-        rest = packed.filter("open")
-        number = rest.count()
-        final = turn == rounds - 1 or units == 1 or number == 0
         sequence = F.lit(turn << 56) + F.shiftleft(F.col("unit"), 28) + F.col("bin")
-        closed = packed if final else packed.filter("NOT open")
-        done.append(closed.select(*parts.columns, sequence.alias("sequence_id"), "offset", (~F.col("gap")).alias("certified")))
-        if final:
+        named = packed.select(*parts.columns, sequence.alias("sequence_id"), "offset", (~F.col("gap")).alias("certified"), "open")
+        now = {r.open: r for r in named.groupBy("open").agg(*counted).collect()}
+        if before is not None and sum(r.sequences for r in now.values()) >= before:
+            break  # nothing saved: the sequences that the round before left open stay
+        left = now.get(True)
+        done.append(named.filter("NOT open").drop("open"))
+        last = rest = named.filter("open").drop("open")
+        number, before, turn = (left.rows, left.sequences, turn + 1) if left else (0, None, turn)
+        if left is None:
+            last = None
+        if units == 1:
             break
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+    if last is not None:
+        done.append(last)
+    return reduce(DataFrame.unionByName, done)
+
+
+def packing_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: ``sequences``, the ``bound`` that no packing of these pieces goes below, and the ``gap`` between them."""
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in packed.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # at most one row per length
+        counts[r.length] = r.n
+    bound = bound_of_counts(counts, capacity)
+    used = packed.agg(F.sum((F.col("offset") == 0).cast("bigint")).alias("sequences"))
+    return used.select(F.coalesce("sequences", F.lit(0)).alias("sequences"), F.lit(bound).cast("bigint").alias("bound")).withColumn("gap", F.col("sequences") - F.col("bound"))
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:

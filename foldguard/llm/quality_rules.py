@@ -224,7 +224,9 @@ def learn_references(docs: DataFrame, rules: QualityRules = QualityRules()) -> R
     labelled = reachable(docs).filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
     sums = labelled.mapInArrow(partial, "lang string, what string, value double").groupBy("lang", "what").agg(F.sum("value").alias("value"))
     sums = stage(sums, "quality-sums")
-    totals = sums.filter("NOT what LIKE 'word %'").collect()
+    # Languages with too few documents are left out before anything comes to the driver.
+    enough = sums.filter((F.col("what") == "documents") & (F.col("value") >= rules.reference_min_documents)).select("lang")
+    totals = sums.filter("NOT what LIKE 'word %'").join(enough, "lang", "left_semi").collect()
     total: dict[str, dict[str, float]] = {}
     for r in totals:
         total.setdefault(r.lang, {})[r.what] = r.value

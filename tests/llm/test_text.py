@@ -87,6 +87,22 @@ def test_packing_exchanges_between_units_and_nears_the_bound(spark):
     assert check_sequences(got) <= 1.01 * len(packing.best_fit(lengths, 1024)[2])
 
 
+def test_rounds_go_on_while_they_save_sequences(spark):
+    rng = np.random.default_rng(11)
+    lengths = rng.integers(200, 500, 6000)  # two or three to a sequence: small units leave much room
+    rows = [(i, i, 0, 0, int(n), 0) for i, n in enumerate(lengths)]
+    parts = spark.createDataFrame(rows, packing._PIECES)
+    got = packing.pack(parts, unit_rows=200)
+    found = got.collect()
+    assert sorted(r.doc_id for r in found) == list(range(6000))
+    used = check_sequences(found)
+    report = packing.packing_report(got).first()
+    assert (report.sequences, report.bound) == (used, packing.lower_bound(lengths, 1024)) and report.gap == used - report.bound
+    one_round = sum(len(packing.best_fit(lengths[rng.permutation(6000)][i : i + 200], 1024)[2]) for i in range(0, 6000, 200))
+    assert packing.lower_bound(lengths, 1024) <= used <= one_round
+    assert packing.packing_report(packing.pack(parts.limit(0))).first().asDict() == {"sequences": 0, "bound": 0, "gap": 0}
+
+
 def test_lower_bound_is_one_and_best_fit_reaches_it():
     rng = np.random.default_rng(5)
     for _ in range(50):
@@ -259,6 +275,14 @@ def test_queries_agree_with_sql(spark, name):
     assert got == sorted(map(tuple, want), key=repr)
 
 
+def test_repeated_ids_take_no_language_from_the_sample(spark, table):
+    """A language whose ids repeat fills no other language's place among the learning rows."""
+    some = [(i, f"alpha beta gamma {i}", "aa", "s") for i in range(1, 60)] * 30 + [(i, f"один два три {i}", "zz", "s") for i in range(100, 160)]
+    model = language_id.train(table(some), language_id.CrfSettings(documents_per_language=20))
+    out = language_id.predict(table([(7, "один два", None, "s"), (8, "alpha gamma", None, "s")]), model)
+    assert {r.doc_id: r.lang_pred for r in out.collect()} == {7: "zz", 8: "aa"}
+
+
 def test_no_reference_rejects_documents_it_cannot_speak_for(table):
     rng = random.Random(4)
     common = ["the", "of", "and", "a", "to", "in"]
