@@ -13,37 +13,6 @@ from .ranking import global_rank
 
 Axis = Sequence | DataFrame
 
-# The default axes (share levels and category columns) of the candidate space.
-DEFAULT_AXES: dict[str, dict[str, dict[str, float]]] = {
-    "A": {
-        "FA": {"A_FA": 1.0},
-        "MA": {"A_MA": 1.0},
-        "FA0.83_Cs0.17": {"A_FA": 0.83, "A_Cs": 0.17},
-        "FA0.85_MA0.15": {"A_FA": 0.85, "A_MA": 0.15},
-        "FA0.8_MA0.1_Cs0.1": {"A_FA": 0.8, "A_MA": 0.1, "A_Cs": 0.1},
-        "MA0.9_Cs0.1": {"A_MA": 0.9, "A_Cs": 0.1},
-        "Cs0.2_FA0.8": {"A_Cs": 0.2, "A_FA": 0.8},
-    },
-    "B": {"Pb": {"B_Pb": 1.0}, "Pb0.5_Sn0.5": {"B_Pb": 0.5, "B_Sn": 0.5}},
-    "X": {
-        "I": {"X_I": 1.0},
-        "I0.83_Br0.17": {"X_I": 0.83, "X_Br": 0.17},
-        "I0.6_Br0.4": {"X_I": 0.6, "X_Br": 0.4},
-    },
-    "arch": {"nip": {"arch_nip": 1.0}, "pin": {"arch_pin": 1.0}},
-    "ETL": {
-        "TiO2_c___TiO2_mp": {"ETL_TiO2_c___TiO2_mp": 1.0},
-        "SnO2_np": {"ETL_SnO2_np": 1.0},
-        "PCBM_60": {"ETL_PCBM_60": 1.0},
-    },
-    "HTL": {
-        "Spiro_MeOTAD": {"HTL_Spiro_MeOTAD": 1.0},
-        "PTAA": {"HTL_PTAA": 1.0},
-        "PEDOT_PSS": {"HTL_PEDOT_PSS": 1.0},
-    },
-}
-DEFAULT_CONTEXT_HOT = {"solv_DMF__DMSO": 1.0}
-
 
 def axis_sizes(axes: Mapping[str, Axis]) -> dict[str, int]:
     return {name: axis.count() if isinstance(axis, DataFrame) else len(axis) for name, axis in axes.items()}

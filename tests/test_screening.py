@@ -8,6 +8,38 @@ from pyspark.sql import functions as F
 from foldguard.operators import candidates as cand
 from foldguard.operators import conformal, neighbours, screening, topk
 
+# Axes (share levels and category columns) of the candidate space.
+AXES: dict[str, dict[str, dict[str, float]]] = {
+    "A": {
+        "FA": {"A_FA": 1.0},
+        "MA": {"A_MA": 1.0},
+        "FA0.83_Cs0.17": {"A_FA": 0.83, "A_Cs": 0.17},
+        "FA0.85_MA0.15": {"A_FA": 0.85, "A_MA": 0.15},
+        "FA0.8_MA0.1_Cs0.1": {"A_FA": 0.8, "A_MA": 0.1, "A_Cs": 0.1},
+        "MA0.9_Cs0.1": {"A_MA": 0.9, "A_Cs": 0.1},
+        "Cs0.2_FA0.8": {"A_Cs": 0.2, "A_FA": 0.8},
+    },
+    "B": {"Pb": {"B_Pb": 1.0}, "Pb0.5_Sn0.5": {"B_Pb": 0.5, "B_Sn": 0.5}},
+    "X": {
+        "I": {"X_I": 1.0},
+        "I0.83_Br0.17": {"X_I": 0.83, "X_Br": 0.17},
+        "I0.6_Br0.4": {"X_I": 0.6, "X_Br": 0.4},
+    },
+    "arch": {"nip": {"arch_nip": 1.0}, "pin": {"arch_pin": 1.0}},
+    "ETL": {
+        "TiO2_c___TiO2_mp": {"ETL_TiO2_c___TiO2_mp": 1.0},
+        "SnO2_np": {"ETL_SnO2_np": 1.0},
+        "PCBM_60": {"ETL_PCBM_60": 1.0},
+    },
+    "HTL": {
+        "Spiro_MeOTAD": {"HTL_Spiro_MeOTAD": 1.0},
+        "PTAA": {"HTL_PTAA": 1.0},
+        "PEDOT_PSS": {"HTL_PEDOT_PSS": 1.0},
+    },
+}
+CONTEXT_HOT = {"solv_DMF__DMSO": 1.0}
+
+
 
 @pytest.fixture(scope="module")
 def preds():
@@ -140,16 +172,16 @@ def test_comparisons_grow_in_proportion_on_clustered_vectors(spark):
 
 
 def test_default_space():
-    assert cand.expected_count({a: list(v) for a, v in cand.DEFAULT_AXES.items()}) == 756
+    assert cand.expected_count({a: list(v) for a, v in AXES.items()}) == 756
 
 
 def test_encoded_candidates(spark):
-    axes = cand.DEFAULT_AXES
+    axes = AXES
     levels = {a: list(v) for a, v in axes.items()}
     space = cand.enumerate_space(spark, levels)
     assert cand.check_count(space, levels) == 756 and space.drop("candidate_id").distinct().count() == 756
     names = ["A_FA", "A_MA", "A_Cs", "X_I", "X_Br", "arch_nip", "arch_pin", "HTL_PTAA", "band_gap", "solv_DMF__DMSO", "unseen"]
-    enc = cand.encode_space(space, axes, names, {"band_gap": 1.6} | cand.DEFAULT_CONTEXT_HOT)
+    enc = cand.encode_space(space, axes, names, {"band_gap": 1.6} | CONTEXT_HOT)
     assert enc.columns[-len(names):] == names
     d = enc.toPandas()
     assert np.allclose(d.A_FA + d.A_MA + d.A_Cs, 1) and np.allclose(d.X_I + d.X_Br, 1)
