@@ -32,6 +32,7 @@ from .base import id_and_text, runs, shuffle_parts
 from .components import components
 
 TILE_ROWS = 4096
+_HELD_PAIRS = 1_000_000  # pairs of nodes that a task holds (16 bytes each) before it passes them on
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 _SHIFTS = (np.uint64(29), np.uint64(32))
 
@@ -300,6 +301,12 @@ def _closest(found: np.ndarray, comp: np.ndarray) -> np.ndarray:
     return found[order[first]]
 
 
+def _once(pairs: np.ndarray) -> np.ndarray:
+    """Rows of two numbers, each once."""
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    return pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)])] if len(pairs) else pairs
+
+
 def _across(rule: NgramRule, closest_only: bool):
     """Within each block of a bucket (rows come sorted by block), pairs of different components that can link."""
     columns = ("node", "comp", "n", "bits", "side")
@@ -310,9 +317,9 @@ def _across(rule: NgramRule, closest_only: bool):
         rows = 0
 
         def out() -> pa.RecordBatch:
-            """What was found since the last time; a pair may come more than once."""
+            """What was found since the last time, each pair once: near copies meet in many buckets."""
             nonlocal rows
-            pairs = np.concatenate([np.array(few, np.int64).reshape(-1, 2), *many])
+            pairs = _once(np.concatenate([np.array(few, np.int64).reshape(-1, 2), *many]))
             few.clear()
             many.clear()
             rows = 0
@@ -327,10 +334,14 @@ def _across(rule: NgramRule, closest_only: bool):
                 for found in _many_across(block, rule, closest_only):
                     many.append(np.sort(node[found[:, :2]], axis=1))
                     rows += len(found)
-                    if rows > 50_000:
-                        yield out()
-            if len(few) > 20_000:
-                yield out()
+                    if rows > _HELD_PAIRS:
+                        many[:] = [_once(np.concatenate(many))]
+                        if (rows := len(many[0])) > _HELD_PAIRS // 2:
+                            yield out()
+            if len(few) > 100_000:
+                few[:] = set(few)
+                if len(few) > 50_000:
+                    yield out()
 
         name, block = None, {c: [] for c in columns}
         for batch in batches:
