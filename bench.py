@@ -34,7 +34,7 @@ HEADLINE = [
 
 
 #: A query that takes longer is stopped and reported as null.
-LIMIT_S = 300
+LIMIT_S = 700
 
 
 def timed(spark, name: str, sf_dir: str) -> float | None:

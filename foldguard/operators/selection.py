@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import stage
+from ..session import importable, stage
 from .ranking import quantile_name
 
 DIGIT_BITS = 16
@@ -58,7 +58,7 @@ def selected(df: DataFrame, value: str, positions: Sequence[Column], group_cols:
     groups = [f"g{i}" for i in range(len(group_cols))]
     plain = df.filter(F.col(value).isNotNull()).select(*[F.col(c).alias(g) for c, g in zip(group_cols, groups, strict=True)], F.col(value).cast("double").alias("key"))
     kinds = ", ".join(f"{f.name} {'bigint' if f.name == 'key' else f.dataType.simpleString()}" for f in plain.schema)
-    keys = stage(plain.mapInArrow(_arrow(_ordered, plain.columns, "key", pa.int64()), kinds), "selection-keys")
+    keys = stage(importable(plain).mapInArrow(_arrow(_ordered, plain.columns, "key", pa.int64()), kinds), "selection-keys")
 
     def same(prefix: str) -> Column:
         return reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"{prefix}{g}")) for g in groups], F.lit(True))
