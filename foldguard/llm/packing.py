@@ -29,7 +29,6 @@ from .tokens import Remembered, pieces, vocabulary_path
 CAPACITY = 1024
 END_ID = 2  # ends every document
 UNIT_ROWS = 20_000
-ROUNDS = 4
 REMEMBERED_IDS = 1_200_000  # pieces of text whose ids a worker keeps
 
 _PIECES = "uid bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"

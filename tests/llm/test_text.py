@@ -2,8 +2,8 @@
 
 import collections
 import random
-import time
 import re
+import time
 import zlib
 
 import numpy as np
