@@ -15,6 +15,8 @@ BLANK_BYTES = BLANKS.encode()
 
 #: Texts of a batch are worked on in runs of about this many characters, so that the arrays stay small.
 RUN_CHARS = 4_000_000
+#: The same for operators that make several arrays of numbers for every word.
+SHORT_RUN_CHARS = 1_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,8 +43,8 @@ def id_and_text(docs: DataFrame, keep_null: bool = False) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.cast("string").alias("text"))
 
 
-def runs(batches: Iterator[pa.RecordBatch], size_of: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut batches into slices of about ``RUN_CHARS`` characters; a longer text is a slice by itself."""
+def runs(batches: Iterator[pa.RecordBatch], size_of: str = "text", chars: int = RUN_CHARS) -> Iterator[pa.RecordBatch]:
+    """Cut batches into slices of about ``chars`` characters; a longer text is a slice by itself."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -54,7 +56,7 @@ def runs(batches: Iterator[pa.RecordBatch], size_of: str = "text") -> Iterator[p
         lengths = pa.compute.binary_length(sizes).fill_null(0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for i, n in enumerate(lengths):
-            if held and held + n > RUN_CHARS:
+            if held and held + n > chars:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += int(n)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .base import id_and_text, runs, shuffle_parts
+from .base import SHORT_RUN_CHARS, id_and_text, runs, shuffle_parts
 from .components import components
 
 TILE_ROWS = 4096
@@ -157,7 +157,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def _sets(rule: NgramRule):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runs(batches):
+        for batch in runs(batches, chars=SHORT_RUN_CHARS):
             sets = ngram_sets(batch.column("text").to_pylist(), rule.words)
             cls = np.array([_mix(_mix(s, 5).sum(keepdims=True), len(s))[0] for s in sets], np.uint64)
             check = np.array([_mix(s, 6).sum() for s in sets], np.uint64)
@@ -171,7 +171,7 @@ def _sets(rule: NgramRule):
 
 def _keys(rule: NgramRule):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runs(batches):
+        for batch in runs(batches, chars=SHORT_RUN_CHARS):
             sets = ngram_sets(batch.column("text").to_pylist(), rule.words)
             keys = [bucket_keys(s, rule) for s in sets]
             cls = np.array([_mix(_mix(s, 5).sum(keepdims=True), len(s))[0] for s in sets], np.uint64)
@@ -219,7 +219,7 @@ def _links(docs: DataFrame, pairs: DataFrame, rule: NgramRule) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("wanted")).union(pairs.select(F.col("b").alias("wanted"))).distinct()
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runs(batches):
+        for batch in runs(batches, chars=SHORT_RUN_CHARS):
             sets = ngram_sets(batch.column("text").to_pylist(), rule.words)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["member", "grams"])
 

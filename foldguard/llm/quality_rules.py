@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .base import BLANK_BYTES, reachable, runs
+from .base import BLANK_BYTES, SHORT_RUN_CHARS, reachable, runs
 
 #: Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -201,7 +201,7 @@ def learn_references(docs: DataFrame, rules: QualityRules = QualityRules()) -> R
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runs(batches):
+        for batch in runs(batches, chars=SHORT_RUN_CHARS):
             langs = np.array(batch.column("lang").to_pylist(), dtype=object)
             m = _Measured(batch.column("text").to_pylist())
             good = ~rules.base_failed(m.n_words, m.n_repeat_words) & (m.n_words >= rules.reference_min_words)
@@ -271,7 +271,7 @@ def quality_rules(docs: DataFrame, references: References, rules: QualityRules =
         word_reference[lang] = q
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runs(batches):
+        for batch in runs(batches, chars=SHORT_RUN_CHARS):
             m = _Measured(batch.column("text").to_pylist())
             n, k = batch.num_rows, len(forms) + 1
             to = np.array([place.get(f, k - 1) for f in m.common_forms(rules.common_word_letters)] or [k - 1], np.int64)
