@@ -4,8 +4,11 @@ Space is cut by a tree of pivots: a node's vectors go to the nearest of its chil
 ``leaf_rows`` reference rows, so the number of leaves grows with the table and the cost of a comparison does not. For every leaf with
 queries the triangle inequality bounds how far its neighbours can lie from its pivot; a node above has the bound that
 covers its leaves. A reference row walks down the tree and leaves a branch as soon as it lies beyond the branch's bound,
-so it meets the leaves that it can matter to, without being compared with all pivots. A leaf is worked on in blocks
-of bounded size on both sides: no task holds a whole leaf, and a block returns k rows per query, never its pairs.
+so it meets the leaves that it can matter to, without being compared with all pivots.
+
+The join packs neighbouring leaves into blocks of bounded size, each with its centre and extent, and compares the query blocks with the
+reference blocks in reach. A task holds one pair of blocks and keeps k rows per query, never its pairs; rows are packed once on either side,
+so where vectors of many dimensions leave nearly every leaf in reach, no row is copied for each of them.
 """
 
 from __future__ import annotations
@@ -16,18 +19,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from ..functions.hashing import seeded_md5
-from ..session import importable, stage
+from ..session import BATCH_CONF, importable, stage
 from .metrics import abs_error
 from .ranking import exact_quantiles
 
-QUERY_BLOCK = 4096
-REFERENCE_BLOCK = 16384
+QUERY_BLOCK = 1024
+REFERENCE_BLOCK = 4096
+#: Limits in bytes: of a block, of the blocks that one task writes, and of the reference blocks that one task holds.
+BLOCK_BYTES, FILE_BYTES, HELD_BYTES = 4 << 20, 32 << 20, 64 << 20
 LEAF_ROWS = 256
 #: The tree is made of a sample and goes to every task: so many leaves at most, and so many sampled rows for each.
 MOST_LEAVES, SAMPLED = 4096, 16
@@ -195,40 +202,161 @@ def _reach(queries: DataFrame, refs: DataFrame, tree: PivotTree, k: int) -> dict
     return {c: r * (1 + _SLACK) + _SLACK for c, r in reach.items()}
 
 
-def _first_copies(r: pd.DataFrame, n: int) -> pd.DataFrame:
-    """Of references with the same vector only the ``n`` lowest ids can be among the nearest."""
-    same = r["vector"].map(lambda v: np.asarray(v, dtype=np.float64).tobytes())
-    ordered = r.assign(_same=same).sort_values("id", kind="stable")
-    return ordered.groupby("_same", sort=False).head(n)
-
-
-def _merge_block(k: int, self_join: bool, schema: T.StructType):
-    def nearest(q_ids, qv, r_ids, rv) -> pd.DataFrame:
-        rough = _distances(qv, rv)
-        if self_join:
-            rough[q_ids[:, None] == r_ids[None, :]] = np.inf
-        keep = min(k, rough.shape[1])
-        limit = np.partition(rough, keep - 1, axis=1)[:, keep - 1]
-        near_q, near_r = np.nonzero(rough <= limit[:, None] * (1 + _SLACK) + _SLACK)
-        exact = np.sqrt(((qv[near_q] - rv[near_r]) ** 2).sum(1))
-        out = pd.DataFrame({"id": q_ids[near_q], "neighbour": r_ids[near_r], "distance": exact})
-        if self_join:
-            out = out[out["id"] != out["neighbour"]]
-        out = out.sort_values(["id", "distance", "neighbour"], kind="stable")
-        return out.groupby("id", sort=False).head(k)
-
-    def merge(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(r):
-            return pd.DataFrame({f.name: [] for f in schema})
-        r = _first_copies(r, k + 1)
-        qv, rv = _matrix(q["vector"]), _matrix(r["vector"])
-        q_ids, r_ids = q["id"].to_numpy(), r["id"].to_numpy()
-        steps = range(0, len(q), _QUERY_STEP)
-        return pd.concat(
-            [nearest(q_ids[i : i + _QUERY_STEP], qv[i : i + _QUERY_STEP], r_ids, rv) for i in steps]
+def regions(tree: PivotTree, rows: dict[int, int], most: int) -> list[int]:
+    """Per leaf the node that its rows are packed under: the highest above it with at most ``most`` rows, or the leaf itself."""
+    held = [rows.get(i, 0) for i in tree.leaf]
+    region = list(range(len(tree.children)))
+    for n in reversed(region):  # children have larger numbers
+        held[n] += sum(held[c] for c in tree.children[n])
+    for n, below in enumerate(tree.children):
+        for c in below:
+            region[c] = region[n] if held[region[n]] <= most else c
+    return [region[n] for n in tree.leaves]
+
+
+def _vectors(packed: bytes, rows: int, dim: int) -> np.ndarray:
+    kind = np.float32 if len(packed) == 4 * rows * dim else np.float64
+    return np.frombuffer(packed, kind).reshape(rows, dim).astype(np.float64)
+
+
+def _packed(vectors: np.ndarray) -> bytes:
+    """The bytes of the vectors, as single precision where that holds every value."""
+    with np.errstate(over="ignore"):
+        single = vectors.astype(np.float32)
+    return (single if (single == vectors).all() else vectors).tobytes()
+
+
+def _blocks(cells: DataFrame, tree: PivotTree, reach: dict[int, float], most: int, copies: int | None, label: str) -> DataFrame:
+    """Rows packed by region into blocks of at most ``most``: ids, vectors, their centre, how far they lie from it, and how far their neighbours can lie.
+
+    Of rows with the same vector only the ``copies`` lowest ids of a block are kept.
+    """
+    dim = tree.pivots.shape[1]
+    most = max(1, min(most, BLOCK_BYTES // (8 * dim)))
+    counts = {x["cell"]: x["n"] for x in cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    region = regions(tree, counts, most)
+    bounds = np.array([reach.get(c, -1.0) for c in range(len(tree.leaves))])
+
+    def block(ids: list, vectors: np.ndarray, cell: np.ndarray, own: np.ndarray) -> list:
+        if copies is not None:
+            order = sorted(range(len(ids)), key=ids.__getitem__)
+            seen: dict[bytes, int] = {}
+            keep = []
+            for i in order:
+                value = vectors[i].tobytes()
+                seen[value] = seen.get(value, 0) + 1
+                if seen[value] <= copies:
+                    keep.append(i)
+            ids, vectors = [ids[i] for i in keep], vectors[keep]
+        centre = vectors.mean(axis=0)
+        away = float(np.sqrt(((vectors - centre) ** 2).sum(1)).max())
+        # A query lies within its leaf's radius of the pivot, so what its leaf reaches less its own distance bounds its neighbours.
+        near = float((bounds[cell] - own).max())
+        return [ids, _packed(vectors), centre.tolist(), away, near]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, count = None, [], 0
+
+        def out() -> pa.RecordBatch:
+            ids = [i for part in held for i in part[0]]
+            row = block(ids, *[np.concatenate([part[j] for part in held]) for j in (1, 2, 3)])
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
+
+        for batch in batches:
+            types = [pa.list_(batch.column("id").type), pa.binary(), pa.list_(pa.float64()), pa.float64(), pa.float64()]
+            place = np.asarray(batch.column("region"))
+            starts = [0, *(np.flatnonzero(place[1:] != place[:-1]) + 1).tolist(), len(place)]
+            for start, end in zip(starts, starts[1:], strict=False):
+                if start == end:
+                    continue
+                if held and place[start] != now:
+                    yield out()
+                    held, count = [], 0
+                now = place[start]
+                while start < end:
+                    n = min(end - start, most - count)
+                    part = batch.slice(start, n)
+                    vectors = np.asarray(part.column("vector").flatten()).reshape(n, dim)
+                    held.append((part.column("id").to_pylist(), vectors, np.asarray(part.column("cell")), np.asarray(part.column("own"))))
+                    start, count = start + n, count + n
+                    if count == most:
+                        yield out()
+                        held, count = [], 0
+        if held:
+            yield out()
+
+    names = ["ids", "vectors", "centre", "away", "near"]
+    id_type = cells.schema["id"].dataType.simpleString()
+    ordered = cells.withColumn("region", F.element_at(F.lit(region), F.col("cell") + 1))
+    parts = max(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sum(counts.values()) * dim * 8 // FILE_BYTES))
+    dealt = ordered.repartitionByRange(parts, "region", "cell", "id").sortWithinPartitions("region", "cell", "id")
+    schema = f"ids array<{id_type}>, vectors binary, centre array<double>, away double, near double"
+    return stage(dealt.select("id", "vector", "cell", "own", "region").mapInArrow(pack, schema), label)
+
+
+class _Nearest:
+    """The nearest references so far of the queries of one block."""
+
+    def __init__(self, ids: list, vectors: np.ndarray, k: int, self_join: bool):
+        self.ids, self.vectors, self.k, self.self_join = np.asarray(ids), vectors, k, self_join
+        self.limit = np.full(len(ids), np.inf)
+        self.best = pd.DataFrame({"q": np.zeros(0, np.int64), "neighbour": [], "distance": np.zeros(0)})
+
+    def meet(self, r_ids: np.ndarray, rv: np.ndarray) -> None:
+        found = []
+        lengths = (rv * rv).sum(1)
+        sides = np.concatenate([rv, lengths[:, None]], axis=1).T
+        itself = np.isin(self.ids, r_ids) if self.self_join else np.zeros(len(self.ids), bool)
+        for i in range(0, len(self.ids), _QUERY_STEP):
+            qv, q_ids = self.vectors[i : i + _QUERY_STEP], self.ids[i : i + _QUERY_STEP]
+            own = (qv * qv).sum(1)
+            rough = np.concatenate([-2.0 * qv, np.ones((len(qv), 1))], axis=1) @ sides  # squared distances less the query's own square
+            for j in np.flatnonzero(itself[i : i + _QUERY_STEP]):
+                rough[j, r_ids == q_ids[j]] = np.inf
+            error = 1e-12 * (own + lengths.max())
+            limit = (self.limit[i : i + _QUERY_STEP] * (1 + _SLACK) + _SLACK) ** 2 - own
+            open_rows = np.flatnonzero(np.isinf(limit))
+            if len(open_rows) and rough.shape[1] > self.k:
+                limit[open_rows] = np.partition(rough[open_rows], self.k - 1, axis=1)[:, self.k - 1] + error[open_rows]
+            near_q, near_r = np.nonzero((rough <= (limit + error)[:, None]) & (rough < np.inf) if itself.any() else rough <= (limit + error)[:, None])
+            exact = np.sqrt(((qv[near_q] - rv[near_r]) ** 2).sum(1))
+            found.append(pd.DataFrame({"q": near_q + i, "neighbour": r_ids[near_r], "distance": exact}))
+        found = pd.concat(found)
+        if not len(found):
+            return
+        both = pd.concat([self.best, found]) if len(self.best) else found
+        both = both.sort_values(["q", "distance", "neighbour"], kind="stable")
+        self.best = both.groupby("q", sort=False).head(self.k)
+        full = self.best.groupby("q")["distance"].agg(["size", "max"])
+        full = full[full["size"] == self.k]
+        self.limit[full.index.to_numpy()] = full["max"].to_numpy()
+
+
+def _met(k: int, self_join: bool, id_type: pa.DataType):
+    """From pairs of a query block and a reference block, those of a query block one after another, the nearest of each query."""
+
+    def out(nearest: _Nearest) -> pa.RecordBatch:
+        best = nearest.best
+        return pa.RecordBatch.from_arrays(
+            [pa.array(nearest.ids[best["q"].to_numpy(np.int64)], id_type), pa.array(best["neighbour"].to_numpy(), id_type), pa.array(best["distance"].to_numpy(np.float64))],
+            ["id", "neighbour", "distance"],
         )
 
-    return merge
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nearest = None, None
+        for batch in batches:
+            for row in batch.to_pylist():
+                dim = len(row["q_centre"])
+                if row["q_block"] != now:
+                    if nearest is not None:
+                        yield out(nearest)
+                    now = row["q_block"]
+                    nearest = _Nearest(row["q_ids"], _vectors(row["q_vectors"], len(row["q_ids"]), dim), k, self_join)
+                nearest.meet(np.asarray(row["r_ids"]), _vectors(row["r_vectors"], len(row["r_ids"]), dim))
+        if nearest is not None:
+            yield out(nearest)
+
+    return meet
 
 
 def knn_join(
@@ -249,38 +377,18 @@ def knn_join(
         return queries.sparkSession.createDataFrame([], schema).withColumn("place", F.lit(1))
     q = stage(_to_cells(queries, key, vector, tree), "knn-queries")
     r = q if self_join else stage(_to_cells(refs, key, vector, tree), "knn-references")
-    reach = node_reach(tree, _reach(q, r, tree, k + 1 if self_join else k))
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                row, leaf = routed(tree, reach, _matrix(batch["vector"]))
-                yield pd.DataFrame({"id": batch["id"].to_numpy()[row], "vector": batch["vector"].to_numpy()[row], "cell": leaf.astype("int32")})
-
-    # A reference row is sent to the leaves whose reach it lies in.
-    sent = r.select("id", "vector").mapInPandas(route, f"id {id_type.simpleString()}, vector array<double>, cell int")
-    met = stage(sent, "knn-routed")
-
-    # Leaves are cut into blocks; both counts come from small per-leaf aggregates.
-    n_q = {x["cell"]: x["n"] for x in q.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_r = {x["cell"]: x["n"] for x in met.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    blocks = range(len(tree.leaves))
-    q_blocks = F.element_at(F.lit([max(1, -(-n_q.get(c, 0) // query_block)) for c in blocks]), F.col("cell") + 1)
-    r_blocks = F.element_at(F.lit([max(1, -(-n_r.get(c, 0) // reference_block)) for c in blocks]), F.col("cell") + 1)
-
-    def own(count):
-        return F.pmod(F.xxhash64("id"), count).cast("int")
-
-    def every(count):
-        return F.explode(F.sequence(F.lit(0), count - 1))
-
-    left = q.select("id", "vector", "cell", own(q_blocks).alias("qb"), every(r_blocks).alias("rb"))
-    right = met.select("id", "vector", "cell", own(r_blocks).alias("rb"), every(q_blocks).alias("qb"))
-    block = ["cell", "qb", "rb"]
-    near = (
-        left.groupBy(*block).cogroup(right.groupBy(*block))
-        .applyInPandas(_merge_block(k, self_join, schema), schema)
-    )
+    reach = _reach(q, r, tree, k + 1 if self_join else k)
+    q_blocks = _blocks(q, tree, reach, query_block, None, "knn-query-blocks")
+    r_blocks = _blocks(r, tree, {}, reference_block, k + 1, "knn-reference-blocks")
+    rows = r.count()
+    left = q_blocks.select(F.monotonically_increasing_id().alias("q_block"), *[F.col(c).alias(f"q_{c}") for c in q_blocks.columns])
+    # Each task goes over few partitions of references, which Spark holds one at a time: they are neither copied nor shuffled.
+    right = r_blocks.select(*[F.col(c).alias(f"r_{c}") for c in r_blocks.columns]).coalesce(max(1, -(-rows * tree.pivots.shape[1] * 8 // HELD_BYTES)))
+    squares = F.aggregate(F.zip_with("q_centre", "r_centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    within = F.sqrt(squares) <= (F.col("q_near") + F.col("q_away") + F.col("r_away")) * (1 + _SLACK) + _SLACK
+    pairs = left.join(right.hint("shuffle_replicate_nl"), within).select("q_block", "q_ids", "q_vectors", "q_centre", "r_ids", "r_vectors")
+    met = pairs.mapInArrow(_met(k, self_join, to_arrow_type(id_type)), schema)
+    near = stage(met, "knn-near", {BATCH_CONF: "1"})  # a row has two blocks
     order = Window.partitionBy("id").orderBy("distance", "neighbour")
     return near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from foldguard import session
 from foldguard.operators import candidates as cand
 from foldguard.operators import conformal, neighbours, screening, topk
 
@@ -122,6 +123,29 @@ def test_knn_is_exact_with_copies_and_clusters(spark, self_join, blocks):
     assert sorted((r["id"], r["neighbour"], round(r["distance"], 9)) for r in got) == want
 
 
+def test_rows_are_packed_once_however_many_leaves_are_in_reach(spark):
+    """Directions in many dimensions: nearly every leaf is in reach of every other, and yet no row is copied for them."""
+    rng = np.random.default_rng(3)
+    vectors = {i: rng.normal(0, 1, 24) for i in range(600)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "id long, v array<double>")
+    staged = []
+
+    def noted(rows, label="stage", settings=None):
+        out = session.stage(rows, label, settings)
+        staged.append((label, out))
+        return out
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(neighbours, "stage", noted)
+        got = neighbours.knn_join(df, df, "id", "v", 3, True, 20, 64, 64).collect()
+    assert sorted((r["id"], r["neighbour"], round(r["distance"], 9)) for r in got) == brute(vectors, vectors, 3, True)
+    for label, out in staged:
+        if "blocks" in label:
+            assert out.selectExpr("sum(size(ids))").first()[0] == 600 and out.selectExpr("max(size(ids))").first()[0] <= 64
+        elif label != "knn-near":
+            assert out.count() <= 600
+
+
 def test_far_leaves_are_not_compared(spark):
     rows = [(i, [float(i % 2) * 1e6 + i * 0.001, 0.0]) for i in range(200)]
     df = spark.createDataFrame(rows, "id long, v array<double>")
