@@ -23,6 +23,33 @@ from .metrics import metrics_over_folds, one_row, regression_metrics
 from .ranking import global_rank
 
 PREDICTION = "prediction"
+#: Trees that a forest grows at a time. Spark keeps a number for every row and tree of a fit.
+TREES_AT_ONCE = 10
+
+
+class ForestOfGroups(Model):
+    """Forests over the same columns as one: the mean over all their trees."""
+
+    def __init__(self, groups: Sequence[Model], prediction: str):
+        super().__init__()
+        self.groups, self.prediction = list(groups), prediction
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        names = [f"_group_{i}" for i in range(len(self.groups))]
+        out = reduce(lambda rows, at: at[1].setPredictionCol(at[0]).transform(rows), zip(names, self.groups, strict=True), dataset)
+        total = reduce(lambda a, b: a + b, [F.col(c) * g.getNumTrees for c, g in zip(names, self.groups, strict=True)])
+        return out.withColumn(self.prediction, total / sum(g.getNumTrees for g in self.groups)).drop(*names)
+
+
+class GroupedForest(RandomForestRegressor):
+    """Spark's forest, grown a few trees at a time: what a fit keeps of the rows does not grow with the number of trees."""
+
+    def _fit(self, dataset: DataFrame) -> Model:
+        trees = self.getNumTrees()
+        count = max(1, trees // TREES_AT_ONCE)  # no group of one tree: Spark draws no rows for it
+        sizes = [trees // count + (i < trees % count) for i in range(count)]
+        groups = [RandomForestRegressor._fit(self.copy({self.numTrees: n, self.seed: self.getSeed() + i}), dataset) for i, n in enumerate(sizes)]
+        return ForestOfGroups(groups, self.getPredictionCol()) if count > 1 else groups[0]
 
 
 def model_registry(
@@ -37,8 +64,7 @@ def model_registry(
     ridge = LinearRegression(
         featuresCol="_scaled", labelCol=target, elasticNetParam=0.0, regParam=1.0 / max(1, rows), standardization=False
     )
-    # A row keeps its node in every tree, so a level does not walk down from the roots again.
-    forest = RandomForestRegressor(featuresCol="_vector", labelCol=target, seed=seed, maxDepth=6, numTrees=trees, cacheNodeIds=True)
+    forest = GroupedForest(featuresCol="_vector", labelCol=target, seed=seed, maxDepth=6, numTrees=trees)
     return {
         "ridge": Pipeline(stages=[assemble, scale, ridge]),
         "forest": Pipeline(stages=[assemble, forest]),

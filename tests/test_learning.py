@@ -91,6 +91,27 @@ def test_fold_local_model(rows):
     assert out.filter("prediction is null").count() == 0 and out.count() == 1200
 
 
+def test_a_forest_keeps_little_of_the_rows_however_many_trees(spark, monkeypatch):
+    """No fit holds more than a group of trees; together they are all trees, each of its own draw, and predict their mean."""
+    fitted = []
+    plain = learning.RandomForestRegressor._fit
+
+    def noted(self, dataset):
+        fitted.append((self.getNumTrees(), self.getSeed(), self.getCacheNodeIds()))
+        return plain(self, dataset)
+
+    monkeypatch.setattr(learning.RandomForestRegressor, "_fit", noted)
+    rows = spark.range(400).selectExpr("id", "id % 17 AS x1", "id % 5 AS x2", "CAST((id % 17) * 3 + (id % 5) AS DOUBLE) AS y")
+    model = learning.model_registry(["x1", "x2"], "y", 400, trees=25)["forest"].fit(rows)
+    assert sorted(n for n, _, _ in fitted) == [12, 13] and len({s for _, s, _ in fitted}) == 2 and not any(c for _, _, c in fitted)
+    got = model.transform(rows)
+    assert got.columns == [*rows.columns, "_vector", "prediction"]
+    trees = [t for g in model.stages[-1].groups for t in g.trees]
+    assert len(trees) == 25
+    for r in got.orderBy("id").limit(40).collect():
+        assert abs(r["prediction"] - sum(t.predict(r["_vector"]) for t in trees) / 25) < 1e-9
+
+
 def test_tree_queries_run_the_whole_job(spark, monkeypatch):
     from foldguard.plans import learning as plans
 
