@@ -23,8 +23,8 @@ from .metrics import metrics_over_folds, one_row, regression_metrics
 from .ranking import global_rank
 
 PREDICTION = "prediction"
-#: Trees that a forest grows at a time. Spark keeps a number for every row and tree of a fit.
-TREES_AT_ONCE = 10
+#: Trees that a forest grows at a time: at least so many, and more while rows times trees stay below this. Spark keeps a number for each.
+TREES_AT_ONCE, KEPT_DRAWS = 10, 32_000_000
 
 
 class ForestOfGroups(Model):
@@ -46,7 +46,9 @@ class GroupedForest(RandomForestRegressor):
 
     def _fit(self, dataset: DataFrame) -> Model:
         trees = self.getNumTrees()
-        count = max(1, trees // TREES_AT_ONCE)  # no group of one tree: Spark draws no rows for it
+        at_once = max(TREES_AT_ONCE, KEPT_DRAWS // max(1, dataset.count()))
+        count = max(1, -(-trees // at_once))
+        count = min(count, max(1, trees // 2))  # no group of one tree: Spark draws no rows for it
         sizes = [trees // count + (i < trees % count) for i in range(count)]
         groups = [RandomForestRegressor._fit(self.copy({self.numTrees: n, self.seed: self.getSeed() + i}), dataset) for i, n in enumerate(sizes)]
         return ForestOfGroups(groups, self.getPredictionCol()) if count > 1 else groups[0]

@@ -101,6 +101,7 @@ def test_a_forest_keeps_little_of_the_rows_however_many_trees(spark, monkeypatch
         return plain(self, dataset)
 
     monkeypatch.setattr(learning.RandomForestRegressor, "_fit", noted)
+    monkeypatch.setattr(learning, "KEPT_DRAWS", 400 * 13)
     rows = spark.range(400).selectExpr("id", "id % 17 AS x1", "id % 5 AS x2", "CAST((id % 17) * 3 + (id % 5) AS DOUBLE) AS y")
     model = learning.model_registry(["x1", "x2"], "y", 400, trees=25)["forest"].fit(rows)
     assert sorted(n for n, _, _ in fitted) == [12, 13] and len({s for _, s, _ in fitted}) == 2 and not any(c for _, _, c in fitted)
