@@ -15,6 +15,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain, compress, pairwise
 
 import numpy as np
 import pandas as pd
@@ -24,12 +25,13 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 from .base import id_and_text, runs
-from .tokens import Remembered, pieces, vocabulary_path
+from .tokens import Remembered, distinct_pieces, vocabulary_path
 
 CAPACITY = 1024
 END_ID = 2  # ends every document
 UNIT_ROWS = 20_000
 REMEMBERED_IDS = 1_200_000  # pieces of text whose ids a worker keeps
+TOGETHER = 32  # new pieces that are encoded as one text
 
 _PIECES = "uid bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 _PACKED = f"{_PIECES}, unit bigint, bin bigint, offset bigint, open boolean, gap boolean"
@@ -45,15 +47,38 @@ def _encoder(path: str) -> Remembered:
 
         tokenizer = Tokenizer.from_file(path)
 
-        def solve(new: list[str]) -> list[bytes]:
-            out = []
-            for i in range(0, len(new), 20_000):
-                coded = tokenizer.encode_batch_fast(new[i : i + 20_000], add_special_tokens=False)
-                out += [array("I", c.ids) for c in coded]
+        vocabulary = tokenizer.get_vocab()
+        spaced = np.zeros(max(vocabulary.values()) + 1, bool)  # ids of tokens that begin with a space
+        spaced[[i for token, i in vocabulary.items() if token.startswith((" ", "Ġ"))]] = True
+
+        def encode(texts: list[str]) -> list[array]:
+            return [array("I", c.ids) for c in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+        def stored(ids: array) -> bytes:
             if sys.byteorder == "big":
-                for ids in out:
-                    ids.byteswap()
-            return [ids.tobytes() for ids in out]
+                ids.byteswap()
+            return ids.tobytes()
+
+        def solve_some(new: list[str]) -> list[bytes]:
+            # Pieces whose only space is the first character, put together, are cut where a token begins with a space.
+            spaces = [p.rfind(" ") == 0 and not p[-1].isspace() for p in new]
+            words, others = list(compress(new, spaces)), [p for p, s in zip(new, spaces, strict=True) if not s]
+            ids = array("I")
+            for some in encode(["".join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)]):
+                ids += some
+            at = (4 * np.flatnonzero(spaced[np.frombuffer(ids, np.uint32)])).tolist()
+            if len(at) == len(words):
+                raw = stored(ids)
+                found = [raw[a:b] for a, b in pairwise([*at, len(raw)])]
+            else:  # a vocabulary whose tokens hold spaces elsewhere
+                found = map(stored, encode(words))
+            if not others:
+                return found
+            found, rest = iter(found), map(stored, encode(others))
+            return [next(found if s else rest) for s in spaces]
+
+        def solve(new: list[str]) -> list[bytes]:
+            return list(chain.from_iterable(solve_some(new[i : i + 20_000]) for i in range(0, len(new), 20_000)))
 
         _ENCODERS[path] = Remembered(solve, REMEMBERED_IDS)
     return _ENCODERS[path]
@@ -74,20 +99,23 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID
         known, end = _encoder(path), np.array([end_id], "<u4").tobytes()
         uid = TaskContext.get().partitionId() << 36
         for batch in runs(batches):
-            texts = [pieces(t) for t in batch.column("text").to_pylist()]
-            known.learn(texts)
+            words, places, sizes = distinct_pieces(batch.column("text"))
+            found = known.results(words)
+            bounds = np.zeros(len(found) + 1, np.int64)
+            np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4, out=bounds[1:])
+            by_word = pa.LargeListArray.from_arrays(bounds, np.frombuffer(b"".join(found), np.uint32))
+            ids = by_word.take(places).flatten().to_numpy(zero_copy_only=False).tobytes()
+            ends = np.append(0, np.cumsum(np.diff(bounds)[np.asarray(places)]))[np.cumsum(sizes)].tolist()
             out: list[list] = [[] for _ in range(7)]
-            for doc_id, parts in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                ids = b"".join(map(known.__getitem__, parts)) + end
-                n = len(ids) // 4
+            for doc_id, first, last in zip(batch.column("doc_id").to_pylist(), [0, *ends], ends, strict=False):
+                n = last - first + 1
                 at = 0
                 for number in range(-(-n // capacity)):
                     to = at + (n - at - 1) % capacity + 1
-                    own = ids[4 * at : 4 * to]
+                    own = ids[4 * (first + at) : 4 * min(first + to, last)] + (end if to == n else b"")
                     for column, value in zip(out, (uid, doc_id, number, at, to - at, zlib.crc32(own), own), strict=True):
                         column.append(value)
                     at, uid = to, uid + 1
-            known.forget_long()
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             columns = [pa.array(c, k) for c, k in zip(out, kinds, strict=False)]
             names = ["uid", "doc_id", "piece", "start", "length", "ids_crc32"]

@@ -11,9 +11,14 @@ from __future__ import annotations
 import re
 from itertools import filterfalse
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 _TWO_BLANKS = re.compile(r"\s\s")
 _LINES = re.compile(r"(?<=\S)\n(?=\S)")
 _SPACES = re.compile(r"(?<=\S) (?=\S)")
+_ODD = r"\x00|[\s\x0b\x1c-\x1f\x{85}\p{Z}]{2}"  # what ``pieces`` looks for, in the words of Arrow's patterns
 
 #: Pieces remembered by one worker.
 REMEMBERED = 400_000
@@ -40,6 +45,22 @@ def pieces(text: str) -> list[str]:
     return out
 
 
+def distinct_pieces(texts: pa.Array) -> tuple[list[str], pa.Array, np.ndarray]:
+    """The different ones of the ``pieces`` of all texts; for every piece, in order, its place among them; the pieces of each text."""
+    texts = texts.cast(pa.large_string())
+    odd = pc.match_substring_regex(texts, _ODD)
+    plain = pc.if_else(odd, "", texts)
+    cut = pc.split_pattern(pc.replace_substring(pc.replace_substring(plain, " ", "\0 "), "\n", "\0\n\0"), "\0")
+    one_by_one = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+    if len(one_by_one):
+        own = pa.array([pieces(t) for t in texts.take(pa.array(one_by_one)).to_pylist()], cut.type)
+        place = np.arange(len(texts))
+        place[one_by_one] = len(texts) + np.arange(len(one_by_one))
+        cut = pa.concat_arrays([cut, own]).take(pa.array(place))
+    encoded = cut.flatten().dictionary_encode()
+    return encoded.dictionary.to_numpy(zero_copy_only=False).tolist(), encoded.indices, np.asarray(pc.list_value_length(cut))
+
+
 class Remembered(dict):
     """Results by piece; ``solve`` gives those of a list of new pieces. Long pieces are not remembered for long."""
 
@@ -47,6 +68,17 @@ class Remembered(dict):
         self.solve, self.limit = solve, limit
         self.long: list[str] = []
 
+    def results(self, words: list[str]) -> list:
+        """Results of ``words``, which are all different; short new ones are remembered."""
+        if len(self) > self.limit:
+            self.clear()
+        found = list(map(self.get, words))
+        new = [p for p, r in zip(words, found, strict=True) if r is None]
+        solved = self.solve(new)
+        self.update((p, r) for p, r in zip(new, solved, strict=True) if len(p) <= LONGEST_REMEMBERED)
+        rest = iter(solved)
+        return [next(rest) if r is None else r for r in found]
+
     def learn(self, texts: list[list[str]]) -> None:
         """After this, every piece of ``texts`` has its result."""
         if len(self) > self.limit:

@@ -7,6 +7,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +65,44 @@ def test_packing_places_every_token_once(edges, no_rows, spark):
     assert packing.pack_documents(no_rows).count() == 0
 
 
+ODD_PARTS = ["a", "the", " ", "  ", "\n", "\t", "'s", "é", "你好", "🙂", "23", "!", "<|endoftext|>", "<|endo", "|>", "\x85", "\x1c", "\0", "\r\n", "\u3000", "\xa0", "\x0b", "Ġ"]
+
+
+def test_arrow_cuts_texts_like_single_ones():
+    rng = random.Random(3)
+    texts = ["", " ", "\n", *("".join(rng.choice(ODD_PARTS) for _ in range(rng.randint(0, 12))) for _ in range(3000))]
+    for column in (pa.array(texts), pa.array(["left out", *texts], pa.large_string()).slice(1)):
+        words, places, sizes = tokens.distinct_pieces(column)
+        assert len(set(words)) == len(words)
+        flat = iter([words[i] for i in places.to_pylist()])
+        assert [[next(flat) for _ in range(n)] for n in sizes] == [tokens.pieces(t) for t in texts]
+
+
+def test_pieces_are_encoded_together_and_as_the_library_does(monkeypatch):
+    import tokenizers
+
+    calls, path = [], tokens.vocabulary_path()
+    real = tokenizers.Tokenizer.from_file(path)
+
+    class Counting:
+        get_vocab = real.get_vocab
+
+        def encode_batch_fast(self, texts, **kw):
+            calls.append(len(texts))
+            return real.encode_batch_fast(texts, **kw)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", type("Tokenizer", (), {"from_file": staticmethod(lambda _: Counting())}))
+    monkeypatch.setattr(packing, "_ENCODERS", {})
+    known = packing._encoder(path)
+    rng = random.Random(5)
+    plain = [" " + "".join(rng.choice(["ab", "c", "é", "!", "7", "你", "<|endoftext|>"]) for _ in range(rng.randint(1, 9))) for _ in range(4000)]
+    words = sorted(set(plain) | {"", " ", "\n", " a b", " a ", " x" * 3, "no", " \tx", " a\xa0", " x\ty", " " + "long" * 40})
+    want = [np.array(real.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+    assert known.results(words) == want
+    assert sum(calls) < len(words) / 16  # most travel together
+    assert known.results(words[::-1]) == want[::-1] and " " + "long" * 40 not in known and sum(calls) < len(words) / 16
+
+
 def check_sequences(rows):
     by = collections.defaultdict(list)
     for r in rows:
