@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from foldguard.llm import components, exact_dedup, ngram_join, suffix_dedup, suffix_sort
@@ -98,6 +99,46 @@ def test_deep_shallow_sorting_orders_suffixes():
     assert all(names.setdefault(key(i), c) == c for i, c in enumerate(cls)) and len(set(names.values())) == len(names)
 
 
+def test_copies_of_a_passage_are_settled_without_tries(monkeypatch):
+    rng = np.random.default_rng(2)
+    passages = [rng.integers(97, 123, 90).astype(np.uint8) for _ in range(40)]
+    text = np.concatenate([p for p in passages for _ in range(3)])
+    starts = np.concatenate([np.arange(41) + 90 * k for k in range(120)])
+    group = np.repeat(np.arange(40), 3 * 41)
+    monkeypatch.setattr(suffix_sort, "blind_sort", lambda *_: pytest.fail("copies need no trie"))
+    order, cls = suffix_sort.sort_suffixes(text, starts, group, 50)
+    key = [(g, text[s : s + 50].tobytes()) for g, s in zip(group.tolist(), starts.tolist(), strict=True)]
+    assert [key[i] for i in order] == sorted(key)
+    assert len(set(zip(key, cls.tolist(), strict=True))) == len(set(key)) == len(set(cls.tolist())) == 40 * 41
+
+
+@pytest.mark.parametrize("limit", [8, 24, 50, 61])
+def test_sorting_mixes_copies_and_near_copies(limit):
+    rng = np.random.default_rng(limit)
+    text = rng.integers(97, 99, 90)
+    copies = [np.where(rng.random(90) < p, 99, text) for p in (0, 0, 0, 0.01, 0.02, 0.02, 0.1, 0.5) for _ in range(6)]
+    text = np.concatenate(copies).astype(np.uint8)
+    starts = np.concatenate([np.arange(90 - limit + 1) + 90 * k for k in range(len(copies))])
+    group = rng.integers(0, 3, len(starts))
+    order, cls = suffix_sort.sort_suffixes(text, starts, group, limit)
+    key = [(g, text[s : s + limit].tobytes()) for g, s in zip(group.tolist(), starts.tolist(), strict=True)]
+    assert [key[i] for i in order] == sorted(key)
+    assert len(set(zip(key, cls.tolist(), strict=True))) == len(set(key)) == len(set(cls.tolist()))
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_anchors_of_several_ids_need_no_order_of_ids(size):
+    rng = random.Random(size)
+    big = 1 << 62
+    pairs = sorted(((big + rng.randint(0, 60), rng.choice([5, 5, 5, 2, 9])) for _ in range(150)), key=lambda r: r[0])
+    batches = [pa.record_batch([pa.array([r[0] for r in part]), pa.array([r[1] for r in part])], ["anchor", "doc_id"]) for part in (pairs[i : i + size] for i in range(0, 150, size))]
+    empty = batches[0].slice(0, 0)
+    got = [tuple(r.values()) for b in suffix_dedup._of_several(iter([empty, *batches, empty])) for r in b.to_pylist()]
+    ids = {a: {d for b, d in pairs if a == b} for a, _ in pairs}
+    assert set(got) == {r for r in pairs if len(ids[r[0]]) > 1} and [a for a, _ in got] == sorted(a for a, _ in got)
+    assert len(got) == sum(len(ids[a]) > 1 and (k == 0 or pairs[k - 1] != (a, d)) for k, (a, d) in enumerate(pairs))
+
+
 def want_components(documents, words=4, percent=85):
     sets = []
     for i, t in documents:
