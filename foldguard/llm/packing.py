@@ -123,6 +123,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID
                 columns.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in out[6]], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        pa.default_memory_pool().release_unused()  # the worker lives on for other stages
 
     return id_and_text(docs).mapInArrow(cut, _PIECES + ", ids array<int>" * with_ids)
 
