@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .base import BLANK_BYTES, id_and_text, shuffle_parts
+from .base import BLANK_BYTES, id_and_text, lent, runs, shuffle_parts
 
 HEAD_BYTES = 16  # of the normalised text, as the leading part of the sort key
 
@@ -30,8 +30,9 @@ _NORMAL = "doc_id bigint, n_cp bigint, head binary, digest binary, body binary"
 _LOCAL = "doc_id bigint, sha string, size bigint, best_cp bigint, best_id bigint, first boolean, part int, edge boolean"
 
 
+@lent
 def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in runs(batches):
         texts = batch.column("text").to_pylist()
         bodies = [t.encode("utf-8", "surrogatepass").translate(None, BLANK_BYTES) for t in texts]
         yield pa.RecordBatch.from_arrays(
@@ -53,6 +54,7 @@ class _Group:
         self.body, self.n_cp, self.best, self.ids = body, n_cp, doc_id, []
 
 
+@lent
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .base import SHORT_RUN_CHARS, id_and_text, runs, shuffle_parts
+from .base import SHORT_RUN_CHARS, id_and_text, lent, runs, shuffle_parts
 from .components import components
 
 TILE_ROWS = 4096
@@ -156,6 +156,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _sets(rule: NgramRule):
+    @lent
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runs(batches, chars=SHORT_RUN_CHARS):
             sets = ngram_sets(batch.column("text").to_pylist(), rule.words)
@@ -170,6 +171,7 @@ def _sets(rule: NgramRule):
 
 
 def _keys(rule: NgramRule):
+    @lent
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runs(batches, chars=SHORT_RUN_CHARS):
             sets = ngram_sets(batch.column("text").to_pylist(), rule.words)
@@ -180,6 +182,7 @@ def _keys(rule: NgramRule):
     return make
 
 
+@lent
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by key and class, those of keys with several classes, each with the key's first class."""
     key = lead = last = None
@@ -201,6 +204,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _passes(rule: NgramRule):
     """Pairs whose bitmaps leave a link possible, with the bits that they differ in."""
 
+    @lent
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = batch.to_pydict()
@@ -218,11 +222,13 @@ def _links(docs: DataFrame, pairs: DataFrame, rule: NgramRule) -> DataFrame:
     """Of pairs of documents those that link, by exact intersection of their sorted sets."""
     wanted = pairs.select(F.col("a").alias("wanted")).union(pairs.select(F.col("b").alias("wanted"))).distinct()
 
+    @lent
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runs(batches, chars=SHORT_RUN_CHARS):
             sets = ngram_sets(batch.column("text").to_pylist(), rule.words)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["member", "grams"])
 
+    @lent
     def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -311,6 +317,7 @@ def _across(rule: NgramRule, closest_only: bool):
     """Within each block of a bucket (rows come sorted by block), pairs of different components that can link."""
     columns = ("node", "comp", "n", "bits", "side")
 
+    @lent
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         few: list[tuple[int, int]] = []
         many: list[np.ndarray] = []

@@ -24,13 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .base import id_and_text, runs
+from .base import id_and_text, lent, runs
 from .tokens import Remembered, distinct_pieces, vocabulary_path
 
 CAPACITY = 1024
 END_ID = 2  # ends every document
 UNIT_ROWS = 20_000
-REMEMBERED_IDS = 1_200_000  # pieces of text whose ids a worker keeps
+REMEMBERED_IDS = 1_200_000  # pieces of text whose ids a worker keeps in a task ...
+KEPT_IDS = 100_000  # ... and from one task to the next
 TOGETHER = 32  # new pieces that are encoded as one text
 
 _PIECES = "uid bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -93,6 +94,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID
     """
     path = path or vocabulary_path()
 
+    @lent
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -123,7 +125,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID
                 columns.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in out[6]], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
-        pa.default_memory_pool().release_unused()  # the worker lives on for other stages
+        known.keep_first(KEPT_IDS)
 
     return id_and_text(docs).mapInArrow(cut, _PIECES + ", ids array<int>" * with_ids)
 

@@ -9,7 +9,7 @@ it has seen, in a table that is emptied when it is full.
 from __future__ import annotations
 
 import re
-from itertools import filterfalse
+from itertools import filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +79,13 @@ class Remembered(dict):
         rest = iter(solved)
         return [next(rest) if r is None else r for r in found]
 
+    def keep_first(self, kept: int) -> None:
+        """Only the ``kept`` pieces that were met first stay: frequent pieces are met early."""
+        if len(self) > kept:
+            first = dict(islice(self.items(), kept))
+            self.clear()
+            self.update(first)
+
     def learn(self, texts: list[list[str]]) -> None:
         """After this, every piece of ``texts`` has its result."""
         if len(self) > self.limit:
