@@ -10,6 +10,7 @@ from multiprocessing.pool import ThreadPool
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -19,12 +20,15 @@ from pyspark.sql import functions as F
 from ..functions.hashing import seeded_md5
 from ..session import stage
 from .boosting import BoostSettings, CellBoosting
+from .forest import MOST_CELLS, CellForest, Growth, grid_of, grown_trees
 from .metrics import metrics_over_folds, one_row, regression_metrics
 from .ranking import global_rank
 
 PREDICTION = "prediction"
 #: Trees that a forest grows at a time: at least so many, and more while rows times trees stay below this. Spark keeps a number for each.
 TREES_AT_ONCE, KEPT_DRAWS = 10, 32_000_000
+#: Rows from which a forest grows on cells.
+CELL_ROWS = 1 << 16
 
 
 class ForestOfGroups(Model):
@@ -42,17 +46,38 @@ class ForestOfGroups(Model):
 
 
 class GroupedForest(RandomForestRegressor):
-    """Spark's forest, grown a few trees at a time: what a fit keeps of the rows does not grow with the number of trees."""
+    """Spark's forest, grown a few trees at a time: what a fit keeps of the rows does not grow with the number of trees.
+
+    Spark looks at every row at every level of every tree. From ``CELL_ROWS`` rows on the same trees grow on cells instead, if those are few enough.
+    """
 
     def _fit(self, dataset: DataFrame) -> Model:
-        trees = self.getNumTrees()
-        at_once = max(TREES_AT_ONCE, KEPT_DRAWS // max(1, dataset.count()))
+        trees, rows = self.getNumTrees(), dataset.count()
+        if rows >= CELL_ROWS and (model := self._on_cells(dataset)):
+            return model
+        at_once = max(TREES_AT_ONCE, KEPT_DRAWS // max(1, rows))
         count = max(1, -(-trees // at_once))
         count = min(count, max(1, trees // 2))  # no group of one tree: Spark draws no rows for it
         sizes = [trees // count + (i < trees % count) for i in range(count)]
         groups = [RandomForestRegressor._fit(self.copy({self.numTrees: n, self.seed: self.getSeed() + i}), dataset) for i, n in enumerate(sizes)]
         return ForestOfGroups(groups, self.getPredictionCol()) if count > 1 else groups[0]
 
+    def _on_cells(self, dataset: DataFrame) -> Model | None:
+        """The forest on cells; None where it is not one: other settings than these, values that Spark refuses, too many cells."""
+        plain = {self.subsamplingRate: 1.0, self.bootstrap: True, self.featureSubsetStrategy: "auto", self.minWeightFractionPerNode: 0.0, self.leafCol: ""}
+        if any(self.getOrDefault(p) != v for p, v in plain.items()) or (self.isDefined(self.weightCol) and self.getWeightCol()):
+            return None
+        if "nominal" in dataset.schema[self.getFeaturesCol()].metadata.get("ml_attr", {}).get("attrs", {}):
+            return None
+        vector = F.col(self.getFeaturesCol())
+        found = dataset.select(vector_to_array(vector).alias("_x"), F.col(self.getLabelCol()).cast("double").alias("_y"))
+        features = found.select(F.max(F.size("_x"))).first()[0]
+        grid = grid_of(found, features, self.getMaxBins()) if features and features > 0 else None
+        if grid is None or grid.cells > MOST_CELLS:
+            return None
+        growth = Growth(self.getMaxDepth(), self.getMinInstancesPerNode(), self.getMinInfoGain())
+        return CellForest(grid, grown_trees(found, grid, self.getNumTrees(), self.getSeed(), growth), self.getFeaturesCol(), self.getPredictionCol())
+
 
 def model_registry(
     features: Sequence[str], target: str, rows: int, seed: int = 42, trees: int = 300, rounds: int = 500
