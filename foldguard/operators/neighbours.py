@@ -31,7 +31,7 @@ from ..session import BATCH_CONF, importable, stage
 from .metrics import abs_error
 from .ranking import exact_quantiles
 
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 2048
 REFERENCE_BLOCK = 4096
 #: Limits in bytes: of a block, of the blocks that one task writes, and of the reference blocks that one task holds.
 BLOCK_BYTES, FILE_BYTES, HELD_BYTES = 4 << 20, 32 << 20, 64 << 20
@@ -39,7 +39,7 @@ LEAF_ROWS = 256
 #: The tree is made of a sample and goes to every task: so many leaves at most, and so many sampled rows for each.
 MOST_LEAVES, SAMPLED = 4096, 16
 BRANCHES = 16
-_QUERY_STEP = 256  # rows of one distance matrix
+_QUERY_STEP = 512  # rows of one distance matrix
 _SLACK = 1e-9  # bounds are widened by this relative amount, so rounding cannot lose a neighbour
 
 
@@ -203,19 +203,26 @@ def _reach(queries: DataFrame, refs: DataFrame, tree: PivotTree, k: int) -> dict
 
 
 def regions(tree: PivotTree, rows: dict[int, int], most: int) -> list[int]:
-    """Per leaf the node that its rows are packed under: the highest above it with at most ``most`` rows, or the leaf itself."""
+    """Per leaf the node that its rows are packed under: the highest above it with at most ``most`` rows, or the leaf itself.
+
+    Siblings in a row that have at most ``most`` rows together are packed under the first of them, as many small blocks cost more than a few wide ones.
+    """
     held = [rows.get(i, 0) for i in tree.leaf]
     region = list(range(len(tree.children)))
     for n in reversed(region):  # children have larger numbers
         held[n] += sum(held[c] for c in tree.children[n])
     for n, below in enumerate(tree.children):
+        first, together = n, most
         for c in below:
-            region[c] = region[n] if held[region[n]] <= most else c
+            together += held[c]
+            if together > most:
+                first, together = c, held[c]
+            region[c] = region[n] if held[n] <= most else first
     return [region[n] for n in tree.leaves]
 
 
-def _vectors(packed: bytes, rows: int, dim: int) -> np.ndarray:
-    kind = np.float32 if len(packed) == 4 * rows * dim else np.float64
+def _vectors(packed: bytes | pa.Buffer, rows: int, dim: int) -> np.ndarray:
+    kind = np.float32 if memoryview(packed).nbytes == 4 * rows * dim else np.float64
     return np.frombuffer(packed, kind).reshape(rows, dim).astype(np.float64)
 
 
@@ -295,66 +302,120 @@ def _blocks(cells: DataFrame, tree: PivotTree, reach: dict[int, float], most: in
 
 
 class _Nearest:
-    """The nearest references so far of the queries of one block."""
+    """The nearest references so far of the queries of one block.
+
+    All pairs are compared in single precision, about a point near the queries, by a bound that no rounding lets exceed the true distance;
+    distances are computed in double precision, for the pairs that the bound lets pass.
+    """
 
-    def __init__(self, ids: list, vectors: np.ndarray, k: int, self_join: bool):
-        self.ids, self.vectors, self.k, self.self_join = np.asarray(ids), vectors, k, self_join
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, self_join: bool):
+        self.ids, self.vectors, self.k, self.self_join = ids, vectors, k, self_join
         self.limit = np.full(len(ids), np.inf)
-        self.best = pd.DataFrame({"q": np.zeros(0, np.int64), "neighbour": [], "distance": np.zeros(0)})
+        self.best: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None  # place of the query, neighbour, distance; in this order of distances
+        self.centre = vectors.mean(axis=0)
+        shifted = vectors - self.centre
+        self.own = (shifted * shifted).sum(1)
+        self.shifted = {np.float64: np.concatenate([-2.0 * shifted, np.ones((len(shifted), 1))], axis=1)}
+        self.room: dict[type, np.ndarray] = {}
+
+    def _kind(self, lengths: np.ndarray) -> type:
+        """Single precision, unless squares could leave its range or something is not finite."""
+        top = max(float(self.own.max()), float(lengths.max()))
+        return np.float32 if 1e-24 < top < 1e24 else np.float64
 
     def meet(self, r_ids: np.ndarray, rv: np.ndarray) -> None:
-        found = []
-        lengths = (rv * rv).sum(1)
-        sides = np.concatenate([rv, lengths[:, None]], axis=1).T
+        moved = rv - self.centre
+        lengths = (moved * moved).sum(1)
+        kind = self._kind(lengths)
+        if kind not in self.shifted:
+            self.shifted[kind] = self.shifted[np.float64].astype(kind)
+        dim, unit = rv.shape[1], float(np.finfo(kind).eps)
+        # A sum of dim + 1 products is off by less than dim + 2 roundings of the sum of their sizes; each factor was rounded once before.
+        widest = float(np.sqrt(self.own.max()))
+        error = (dim + 8) * unit * (2.0 * widest * np.sqrt(lengths) + lengths + self.own.max()) + (1e-38 if kind is np.float32 else 0.0)
+        sides = np.concatenate([moved, (lengths - error)[:, None]], axis=1).astype(kind).T
+        most = 2.0 * float(error.max())
         itself = np.isin(self.ids, r_ids) if self.self_join else np.zeros(len(self.ids), bool)
+        found = []
         for i in range(0, len(self.ids), _QUERY_STEP):
-            qv, q_ids = self.vectors[i : i + _QUERY_STEP], self.ids[i : i + _QUERY_STEP]
-            own = (qv * qv).sum(1)
-            rough = np.concatenate([-2.0 * qv, np.ones((len(qv), 1))], axis=1) @ sides  # squared distances less the query's own square
+            rough = self._product(kind, self.shifted[kind][i : i + _QUERY_STEP], sides)  # squared distances less the query's own square
+            q_ids, own = self.ids[i : i + _QUERY_STEP], self.own[i : i + _QUERY_STEP]
             for j in np.flatnonzero(itself[i : i + _QUERY_STEP]):
                 rough[j, r_ids == q_ids[j]] = np.inf
-            error = 1e-12 * (own + lengths.max())
             limit = (self.limit[i : i + _QUERY_STEP] * (1 + _SLACK) + _SLACK) ** 2 - own
             open_rows = np.flatnonzero(np.isinf(limit))
             if len(open_rows) and rough.shape[1] > self.k:
-                limit[open_rows] = np.partition(rough[open_rows], self.k - 1, axis=1)[:, self.k - 1] + error[open_rows]
-            near_q, near_r = np.nonzero((rough <= (limit + error)[:, None]) & (rough < np.inf) if itself.any() else rough <= (limit + error)[:, None])
-            exact = np.sqrt(((qv[near_q] - rv[near_r]) ** 2).sum(1))
-            found.append(pd.DataFrame({"q": near_q + i, "neighbour": r_ids[near_r], "distance": exact}))
-        found = pd.concat(found)
-        if not len(found):
+                limit[open_rows] = np.partition(rough[open_rows], self.k - 1, axis=1)[:, self.k - 1] + most
+            bound = (limit + 4 * unit * (np.abs(limit) + own)).astype(kind)[:, None]
+            near = rough <= bound
+            if itself[i : i + _QUERY_STEP].any() or np.isinf(bound).any():
+                near &= rough < np.inf
+            at = np.flatnonzero(near)
+            if len(at):
+                found.append((at // rough.shape[1] + i, at % rough.shape[1]))
+        if not found:
             return
-        both = pd.concat([self.best, found]) if len(self.best) else found
-        both = both.sort_values(["q", "distance", "neighbour"], kind="stable")
-        self.best = both.groupby("q", sort=False).head(self.k)
-        full = self.best.groupby("q")["distance"].agg(["size", "max"])
-        full = full[full["size"] == self.k]
-        self.limit[full.index.to_numpy()] = full["max"].to_numpy()
+        q, r = (np.concatenate(x) for x in zip(*found, strict=True))
+        distance = self._exact(q, r, rv)
+        near = distance <= self.limit[q]
+        if near.any():
+            self._keep(q[near], r_ids[r[near]], distance[near])
+
+    def _product(self, kind: type, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``a @ b`` into memory that is used again: fresh pages cost more than the product."""
+        need = len(a) * b.shape[1]
+        if kind not in self.room or self.room[kind].size < need:
+            self.room[kind] = np.empty(need, kind)
+        return np.matmul(a, b, out=self.room[kind][:need].reshape(len(a), b.shape[1]))
+
+    def _exact(self, q: np.ndarray, r: np.ndarray, rv: np.ndarray) -> np.ndarray:
+        step = max(1, BLOCK_BYTES // (8 * rv.shape[1]))
+        parts = [np.sqrt(((self.vectors[q[i : i + step]] - rv[r[i : i + step]]) ** 2).sum(1)) for i in range(0, len(q), step)]
+        return np.concatenate(parts)
+
+    def _keep(self, q: np.ndarray, neighbour: np.ndarray, distance: np.ndarray) -> None:
+        if self.best is not None:
+            q, neighbour, distance = (np.concatenate(x) for x in zip(self.best, (q, neighbour, distance), strict=True))
+        named = pd.factorize(neighbour, sort=True)[0] if neighbour.dtype == object else neighbour
+        order = np.lexsort((named, distance, q))
+        q = q[order]
+        starts = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+        place = np.arange(len(q)) - np.repeat(starts, np.diff([*starts, len(q)]))
+        kept = order[place < self.k]
+        last = np.flatnonzero(place == self.k - 1)
+        self.limit[q[last]] = distance[order[last]]
+        self.best = (q[place < self.k], neighbour[kept], distance[kept])
+
+
+def _list(column: pa.ListArray, row: int) -> np.ndarray:
+    """The values of one list of a column."""
+    values = column.slice(row, 1).flatten()
+    return np.array(values.to_pylist(), object) if values.null_count else values.to_numpy(zero_copy_only=False)
 
 
 def _met(k: int, self_join: bool, id_type: pa.DataType):
     """From pairs of a query block and a reference block, those of a query block one after another, the nearest of each query."""
 
-    def out(nearest: _Nearest) -> pa.RecordBatch:
-        best = nearest.best
-        return pa.RecordBatch.from_arrays(
-            [pa.array(nearest.ids[best["q"].to_numpy(np.int64)], id_type), pa.array(best["neighbour"].to_numpy(), id_type), pa.array(best["distance"].to_numpy(np.float64))],
-            ["id", "neighbour", "distance"],
-        )
+    def out(nearest: _Nearest) -> Iterator[pa.RecordBatch]:
+        if nearest.best is not None:
+            q, neighbour, distance = nearest.best
+            columns = [pa.array(nearest.ids[q], id_type), pa.array(neighbour, id_type), pa.array(distance)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "neighbour", "distance"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, nearest = None, None
         for batch in batches:
-            for row in batch.to_pylist():
-                dim = len(row["q_centre"])
-                if row["q_block"] != now:
+            for row in range(batch.num_rows):
+                block, dim = batch.column("q_block")[row].as_py(), len(_list(batch.column("q_centre"), row))
+                if block != now:
                     if nearest is not None:
-                        yield out(nearest)
-                    now = row["q_block"]
-                    nearest = _Nearest(row["q_ids"], _vectors(row["q_vectors"], len(row["q_ids"]), dim), k, self_join)
-                nearest.meet(np.asarray(row["r_ids"]), _vectors(row["r_vectors"], len(row["r_ids"]), dim))
+                        yield from out(nearest)
+                    now, ids = block, _list(batch.column("q_ids"), row)
+                    nearest = _Nearest(ids, _vectors(batch.column("q_vectors")[row].as_buffer(), len(ids), dim), k, self_join)
+                ids = _list(batch.column("r_ids"), row)
+                nearest.meet(ids, _vectors(batch.column("r_vectors")[row].as_buffer(), len(ids), dim))
         if nearest is not None:
-            yield out(nearest)
+            yield from out(nearest)
 
     return meet
 
